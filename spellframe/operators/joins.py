@@ -141,9 +141,10 @@ def top_matches(left: DataFrame, right: DataFrame, on: list[str], order: list, n
     return left.join(best, on, "inner")
 
 
-def membership_flag(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
+def membership_flag(df: DataFrame, ids: DataFrame, key: str, flag: str,
+                    hot: DataFrame | None = None) -> DataFrame:
     known = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    return df.join(known, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return salted_join(df, known, [key], "left", hot=hot).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def spread(df: DataFrame, **dimensions) -> DataFrame:
