@@ -14,9 +14,10 @@ from .skew import HOT_ROWS, MAX_HOT, salted_join
 
 
 class Deduplicated(NamedTuple):
-    kept: DataFrame
-    quarantine: DataFrame
-    counts: DataFrame
+    kept: DataFrame        # one row per sound key
+    quarantine: DataFrame  # every row with a NULL or conflicting key, with its reason
+    counts: DataFrame      # one row of totals
+    keyed: DataFrame       # one row per non-NULL key: ``conflicting`` and the columns (NULL if so)
 
 
 def _copies(df: DataFrame) -> DataFrame:
@@ -59,7 +60,9 @@ def dedupe_quarantine(df: DataFrame, key: list[str], columns: list[str]) -> Dedu
         F.coalesce(F.sum(F.when(many, n)), zero).alias("rows_in_conflicting_keys"),
         F.coalesce(F.sum(F.when(null, n)), zero).alias("null_key_rows"),
         F.count_if(one).alias("rows_kept"))
-    return Deduplicated(kept, quarantine, counts)
+    sound = lambda c: F.when(~clash, F.col("_row")[c]).alias(c)
+    keyed = keys.where(~null).select(*key, clash.alias("conflicting"), *[sound(c) for c in columns])
+    return Deduplicated(kept, quarantine, counts, keyed)
 
 
 def key_checks(df: DataFrame, key: list[str] | None) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Session settings the jobs are written for, and the shared checkpoint folder."""
+"""Session settings the jobs are written for, and staged tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,17 +31,25 @@ def local_session(cores: int = 8, app: str = "spellframe") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for staged tables: the one the cluster names, a scratch one only in local tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="spellframe-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    Only where that is unset (tests) is a scratch folder made.
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a frame that several later steps read, and read it back.
+
+    Cuts the lineage reliably (a lost executor re-reads files instead of recomputing the
+    job) and gives later steps column pruning and file statistics.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder first")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spellframe-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
