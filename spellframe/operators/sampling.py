@@ -36,17 +36,17 @@ def sample_record(df: DataFrame, ident: str, sample: DataFrame) -> DataFrame:
     return digest.select("*", population.scalar().alias("population"))
 
 
-def pilot_sample(df: DataFrame, k: int, seed: str, ident: Column | None = None) -> DataFrame:
-    """``k`` rows with the smallest random-looking priority; samples of parts can be merged.
+def pilot_sample(df: DataFrame, k: int, seed: int, ident: Column | None = None) -> DataFrame:
+    """``k`` rows with the smallest random priority; samples of parts can be merged.
 
-    Copies of one row would share a hash, so the priority also covers the row's place in
-    its file when the source exposes it.
+    ``ident`` (a column that tells rows apart) makes the pick repeatable; without one the
+    priority is a seeded random number, so that copies of a row are drawn like any rows.
     """
     name = "pilot_priority"
     while name in df.columns:
         name += "_"
-    what = ident if ident is not None else F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    return df.withColumn(name, salted_hash(seed, what)).orderBy(name).limit(k)
+    priority = F.rand(seed) if ident is None else F.conv(F.substring(salted_hash(str(seed), ident), 1, 13), 16, 10).cast("double")
+    return df.withColumn(name, priority).orderBy(name).limit(k)
 
 
 def merge_pilots(a: DataFrame, b: DataFrame, k: int, priority: str = "pilot_priority") -> DataFrame:
@@ -101,7 +101,8 @@ def accept_first_n(df: DataFrame, accepted: Column, reason: Column, n: int, iden
 
 def distinct_content(df: DataFrame, ident: str, content: str) -> DataFrame:
     """Keep the smallest id of every repeated content."""
-    return df.groupBy(F.col(content)).agg(F.min_by(F.struct(*df.columns), ident).alias("_r")).select("_r.*")
+    rest = [c for c in df.columns if c != content]
+    return df.groupBy(content).agg(F.min_by(F.struct(*rest), ident).alias("_r")).select(content, "_r.*")
 
 
 def stratified_pick(df: DataFrame, ident: str, content: str, stratum: str, quota: dict[str, int], seed) -> tuple[DataFrame, DataFrame]:
