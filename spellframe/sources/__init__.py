@@ -1,0 +1 @@
+"""Tables, catalogues, manifests and guarded exports."""
