@@ -1,6 +1,6 @@
 """All registered queries and their DuckDB counterparts."""
 
-from workload import history
+from workload import history, reports
 
-QUERIES = {**history.QUERIES}
-ORACLE = {**history.ORACLE}
+QUERIES = {**history.QUERIES, **reports.QUERIES}
+ORACLE = {**history.ORACLE, **reports.ORACLE}

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellframe.functions import label_of
 from spellframe.operators import endpoints as E
 from spellframe.operators import panel as P
 from spellframe.operators import spells as S
@@ -325,5 +324,3 @@ def dense_history(spark, sf):
     p = panel(spark, sf).select("user_id", "end_rule", "qidx", "quarter", "obs_type", "primary_position_id", "loc_country_fallback")
     return P.dense_history(p)
 
-
-__all__ = ["QUERIES", "ORACLE", "label_of"]
