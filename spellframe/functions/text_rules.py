@@ -6,6 +6,7 @@ on the driver; matching runs in the JVM inside the scan stage.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,8 +21,16 @@ _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
 def java_pattern(pattern: str) -> str:
-    """Same meaning in Java regex: ASCII word boundary, no vertical tab in \\s."""
-    return pattern.replace(r"\b", _BOUNDARY).replace(r"\s", r"[\t\n\f\r ]")
+    r"""Same meaning in Java regex: ASCII word boundary, no vertical tab in \s.
+
+    Next to a literal word character one look-around decides a boundary; anywhere else both
+    directions are tested.
+    """
+    opening = re.compile(r"\\b(?=[A-Za-z0-9_](?![?*{]))")
+    closing = re.compile(r"(?<=[^\\][A-Za-z0-9_])\\b|(?<=[^\\][A-Za-z0-9_][A-Za-z0-9_]\?)\\b")
+    out = closing.sub(lambda _: f"(?!{_WORD})", pattern)
+    out = opening.sub(lambda _: f"(?<!{_WORD})", out)
+    return out.replace(r"\b", _BOUNDARY).replace(r"\s", r"[\t\n\f\r ]")
 
 
 def matches(c, pattern: str) -> Column:
@@ -39,14 +48,18 @@ def _excluded(c, category: dict) -> Column:
     return reduce(lambda a, b: a | b, rules, F.lit(False))
 
 
+def _any_include(c, taxonomy: dict) -> Column:
+    """One pass that tells most texts apart: does any rule of any category match at all."""
+    return matches(c, "|".join(f"(?:{p})" for n in taxonomy["order"] for _, p in taxonomy["categories"][n]["include"]))
+
+
 def taxonomy_match(c, taxonomy: dict) -> Column:
     """First category (in ``order``) with an include hit and no exclude hit; NULL text -> NULL."""
     def hit(name):
         category = taxonomy["categories"][name]
-        # One alternation per category: a single regex pass instead of one per rule.
         joined = "|".join(f"(?:{p})" for _, p in category["include"])
         return F.when(matches(c, joined) & ~_excluded(c, category), F.lit(name))
-    return F.coalesce(*[hit(name) for name in taxonomy["order"]])
+    return F.when(_any_include(c, taxonomy), F.coalesce(*[hit(name) for name in taxonomy["order"]]))
 
 
 def taxonomy_rule_ids(c, taxonomy: dict) -> Column:
@@ -57,4 +70,5 @@ def taxonomy_rule_ids(c, taxonomy: dict) -> Column:
         allowed = ~_excluded(c, category)
         entries += [F.when(matches(c, p) & allowed, F.lit(f"{name}/{rule}"))
                     for rule, p in category["include"]]
-    return F.array_compact(F.array(*entries))
+    return (F.when(_any_include(c, taxonomy), F.array_compact(F.array(*entries)))
+             .otherwise(F.array().cast("array<string>")))

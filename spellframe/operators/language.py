@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.periods import _col
+from .skew import spread_small
 
 GRAM = 3
 VOCABULARY = 50_000        # rows of the model: bounds what is broadcast
@@ -28,20 +29,20 @@ def letters(text) -> Column:
 
 
 def _grams(text: Column) -> Column:
+    """All overlapping character n-grams of the padded, letters-only text, in one linear regex pass."""
     padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
-    last = F.length(padded) - GRAM + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(GRAM))))
+    return F.regexp_extract_all(padded, F.lit(f"(?=(.{{{GRAM}}}))"), F.lit(1))
 
 
 def passages(df: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, pos, passage): consecutive pieces that together are the whole text."""
-    return df.select(ident, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_PASSAGE), F.lit(0))).alias("pos", "passage"))
+    return spread_small(df.select(ident, text)).select(ident, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_PASSAGE), F.lit(0))).alias("pos", "passage"))
 
 
 def language_profiles(labelled: DataFrame, text: str, label: str, labels: list[str], alpha: float = 0.5,
                       vocabulary: int = VOCABULARY) -> DataFrame:
     """(gram, logp array in the order of ``labels``) for the most frequent grams."""
-    pieces = labelled.where(F.col(label).isin(*labels)).select(
+    pieces = spread_small(labelled.where(F.col(label).isin(*labels)).select(label, text)).select(
         label, F.explode(F.regexp_extract_all(F.col(text), F.lit(_PASSAGE), F.lit(0))).alias("p"))
     counts = (pieces.select(label, F.explode(_grams(F.col("p"))).alias("gram"))
               .groupBy("gram").agg(F.count(F.lit(1)).alias("_all"),

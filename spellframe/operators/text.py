@@ -14,8 +14,10 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
+from .skew import spread_small
 
 _TELLTALE = re.compile("</?(?:" + "|".join(V.HTML_TELLTALE) + r")\b", re.IGNORECASE)
 _BLOCK = "(?:" + "|".join(V.HTML_SPACING_BLOCKS) + ")"
@@ -90,7 +92,7 @@ def clean_one(text: str) -> tuple[str, str]:
     return markup, plain
 
 
-@F.pandas_udf("struct<html:string,text:string>")
+@F.pandas_udf(T.StructType([T.StructField("html", T.StringType()), T.StructField("text", T.StringType())]))
 def _clean_udf(texts: pd.Series) -> pd.DataFrame:
     pairs = [clean_one(t) if t is not None else (None, None) for t in texts]
     return pd.DataFrame(pairs, columns=["html", "text"])
@@ -98,11 +100,11 @@ def _clean_udf(texts: pd.Series) -> pd.DataFrame:
 
 def clean_html(df: DataFrame, column: str, html: str = "clean_html", text: str = "clean_text") -> DataFrame:
     """Adds safe markup and plain text of ``column``; one pass over the partition's batches."""
-    return (df.withColumn("_clean", _clean_udf(column))
+    return (spread_small(df).withColumn("_clean", _clean_udf(column))
               .select("*", F.col("_clean.html").alias(html), F.col("_clean.text").alias(text)).drop("_clean"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded_text(texts: pd.Series) -> pd.Series:
     """Letters and digits only after compatibility folding."""
     fold = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t) if c.isalnum())

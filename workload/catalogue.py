@@ -1,6 +1,6 @@
 """All registered queries and their DuckDB counterparts."""
 
-from workload import history, reports
+from workload import history, reports, texts
 
-QUERIES = {**history.QUERIES, **reports.QUERIES}
-ORACLE = {**history.ORACLE, **reports.ORACLE}
+QUERIES = {**history.QUERIES, **reports.QUERIES, **texts.QUERIES}
+ORACLE = {**history.ORACLE, **reports.ORACLE, **texts.ORACLE}
