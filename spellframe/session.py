@@ -31,6 +31,9 @@ def local_session(cores: int = 8, app: str = "spellframe") -> SparkSession:
     return spark
 
 
+_scratch: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for staged tables: the one the cluster names, a scratch one only in local tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,9 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spellframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _scratch.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spellframe-"))
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
