@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import any_null
-from .skew import salted_join
+from .skew import find_hot, salted_join
 
 
 def unique_or_fail(df: DataFrame, on: list[str], label: str = "join") -> DataFrame:
@@ -24,10 +24,9 @@ def unique_or_fail(df: DataFrame, on: list[str], label: str = "join") -> DataFra
                    .select(*on, *[F.col("_row")[c].alias(c) for c in rest]))
 
 
-def checked_left_join(left: DataFrame, right: DataFrame, on: list[str], label: str = "join",
-                      hot: DataFrame | None = None) -> DataFrame:
+def checked_left_join(left: DataFrame, right: DataFrame, on: list[str], label: str = "join") -> DataFrame:
     """Left join that cannot change the number of left rows."""
-    return salted_join(left, unique_or_fail(right, on, label), on, "left", hot=hot)
+    return salted_join(left, unique_or_fail(right, on, label), on, "left", hot=find_hot(left, on))
 
 
 def validated_merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
@@ -40,7 +39,8 @@ def validated_merge(left: DataFrame, right: DataFrame, on: list[str], how: str =
     if validate == "one_to_one":
         nulls = left.where(any_null(on))
         left = unique_or_fail(left, on, "left side").unionByName(nulls)
-    out = salted_join(left, right, on, how)
+    # keys of a one-to-one join are unique on both sides
+    out = salted_join(left, right, on, how, hot=None if validate == "one_to_one" else find_hot(left, on))
     if indicator:
         out = out.withColumn(indicator, F.when(F.col("_r"), "both").otherwise("left_only"))
     return out.drop("_r")
@@ -141,8 +141,9 @@ def top_matches(left: DataFrame, right: DataFrame, on: list[str], order: list, n
     return left.join(best, on, "inner")
 
 
-def membership_flag(df: DataFrame, ids: DataFrame, key: str, flag: str,
-                    hot: DataFrame | None = None) -> DataFrame:
+def membership_flag(df: DataFrame, ids: DataFrame, key: str, flag: str, measure: DataFrame | None = None) -> DataFrame:
+    """True where ``key`` is among ``ids``; ``measure`` is a cheaper frame with the same keys to look for hot ones."""
+    hot = find_hot(df if measure is None else measure, [key])
     known = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
     return salted_join(df, known, [key], "left", hot=hot).withColumn(flag, F.coalesce(flag, F.lit(False)))
 

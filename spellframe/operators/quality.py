@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from typing import NamedTuple
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import any_null, blank_to_null, first_reason
-from .skew import HOT_ROWS, MAX_HOT, salted_join
-
-
-class Deduplicated(NamedTuple):
-    kept: DataFrame        # one row per sound key
-    quarantine: DataFrame  # every row with a NULL or conflicting key, with its reason
-    counts: DataFrame      # one row of totals
-    keyed: DataFrame       # one row per non-NULL key: ``conflicting`` and the columns (NULL if so)
+from .skew import find_hot, salted_join
+
+
+class Deduplicated:
+    """Outcome of ``dedupe_quarantine``; every frame is lazy, ``quarantine`` also in its hot-key check."""
+
+    def __init__(self, rows: DataFrame, keys: DataFrame, key: list[str], columns: list[str]):
+        self._rows, self._keys, self._key, self._columns = rows, keys, key, columns
+        self._null, self._clash = any_null(key), F.col("_versions") > 1
+
+    @property
+    def kept(self) -> DataFrame:
+        """One row per sound key."""
+        return self._keys.where(~self._null & ~self._clash).select(
+            *self._key, *[F.col("_row")[c].alias(c) for c in self._columns])
+
+    @property
+    def keyed(self) -> DataFrame:
+        """One row per non-NULL key: ``conflicting`` and the columns (NULL if so)."""
+        return self._keys.where(~self._null).select(
+            *self._key, self._clash.alias("conflicting"),
+            *[F.when(~self._clash, F.col("_row")[c]).alias(c) for c in self._columns])
+
+    @cached_property
+    def quarantine(self) -> DataFrame:
+        """Every row with a NULL or conflicting key, copies included, with its reason."""
+        clashing = self._keys.where(~self._null & self._clash).select(*self._key)
+        keyed = self._rows.where(~self._null)
+        conflicts = salted_join(keyed, clashing, self._key, "left_semi", hot=find_hot(keyed, self._key))
+        return (conflicts.withColumn("quarantine_reason", F.lit("conflicting_duplicate_key"))
+                .unionByName(self._rows.where(self._null).withColumn("quarantine_reason", F.lit("missing_key"))))
+
+    @property
+    def counts(self) -> DataFrame:
+        """One row; kept + collapsed + conflicting + null = rows_in."""
+        n, null, clash = F.col("_copies"), self._null, self._clash
+        one, many = ~null & ~clash, ~null & clash
+        total = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), F.lit(0).cast("bigint"))
+        return self._keys.agg(
+            total(F.lit(True), n).alias("rows_in"), F.count_if(~null).alias("distinct_keys"),
+            total(one, n - 1).alias("exact_duplicate_rows_collapsed"), F.count_if(many).alias("conflicting_keys"),
+            total(many, n).alias("rows_in_conflicting_keys"), total(null, n).alias("null_key_rows"),
+            F.count_if(one).alias("rows_kept"))
 
 
 def _copies(df: DataFrame) -> DataFrame:
@@ -35,34 +69,9 @@ def _per_key(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def dedupe_quarantine(df: DataFrame, key: list[str], columns: list[str]) -> Deduplicated:
-    """Collapse exact copies; set aside rows with a NULL key or a key with several contents.
-
-    ``counts`` (one row) satisfies kept + collapsed + conflicting + null = rows_in.
-    """
+    """Collapse exact copies; set aside rows with a NULL key or a key with several contents."""
     rows = df.select(*key, *columns)
-    keys = _per_key(rows, key)
-    null, clash = any_null(key), F.col("_versions") > 1
-    payload = [F.col("_row")[c].alias(c) for c in columns]
-    kept = keys.where(~null & ~clash).select(*key, *payload)
-    clashing = keys.where(~null & clash)
-    heavy = (clashing.where(F.col("_copies") >= HOT_ROWS)
-                     .orderBy(F.col("_copies").desc(), *key).limit(MAX_HOT).select(*key))
-    conflicts = salted_join(rows.where(~null), clashing.select(*key), key, "left_semi", hot=heavy)
-    quarantine = (conflicts.withColumn("quarantine_reason", F.lit("conflicting_duplicate_key"))
-                  .unionByName(rows.where(null).withColumn("quarantine_reason", F.lit("missing_key"))))
-    n, one, many = F.col("_copies"), ~null & ~clash, ~null & clash
-    zero = F.lit(0).cast("bigint")
-    counts = keys.agg(
-        F.coalesce(F.sum(n), zero).alias("rows_in"),
-        F.count_if(~null).alias("distinct_keys"),
-        F.coalesce(F.sum(F.when(one, n - 1)), zero).alias("exact_duplicate_rows_collapsed"),
-        F.count_if(many).alias("conflicting_keys"),
-        F.coalesce(F.sum(F.when(many, n)), zero).alias("rows_in_conflicting_keys"),
-        F.coalesce(F.sum(F.when(null, n)), zero).alias("null_key_rows"),
-        F.count_if(one).alias("rows_kept"))
-    sound = lambda c: F.when(~clash, F.col("_row")[c]).alias(c)
-    keyed = keys.where(~null).select(*key, clash.alias("conflicting"), *[sound(c) for c in columns])
-    return Deduplicated(kept, quarantine, counts, keyed)
+    return Deduplicated(rows, _per_key(rows, key), key, columns)
 
 
 def key_checks(df: DataFrame, key: list[str] | None) -> DataFrame:

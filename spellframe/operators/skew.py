@@ -1,10 +1,11 @@
 """Keeping one hot key from landing in one task.
 
-``hot_keys`` names at most ``MAX_HOT`` keys that hold ``min_rows`` rows or more.  The
-list is bounded by construction, so it may be broadcast; a key that misses the list
-because it is full holds less than ``1/MAX_HOT`` of all rows, which a normal hash
-partition carries.  Which keys are listed never changes a result, only where its
-rows are processed.
+``find_hot`` measures which keys hold very many rows: a pass over the key column and a
+shuffle of one row in a hundred.  It lists at most ``MAX_HOT`` keys, so the list may be
+collected and broadcast; a key that misses the list because it is full holds less than
+``1/MAX_HOT`` of all rows, which a normal hash partition carries.  Which keys are listed
+never changes a result, only where its rows are processed, and without hot keys the
+plan stays a plain join.
 """
 
 from __future__ import annotations
@@ -17,13 +18,23 @@ from ..functions import any_null
 HOT_ROWS = 1_000_000
 MAX_HOT = 1_000
 SALTS = 256
+LOOK = 0.01
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, limit: int = MAX_HOT) -> DataFrame:
-    """Column-pruned, map-side combined count; top ``limit`` heavy keys."""
-    return (df.where(~any_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") >= min_rows)
-              .orderBy(F.col("_n").desc(), *keys).limit(limit).select(*keys))
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, limit: int = MAX_HOT, look: float = LOOK) -> DataFrame:
+    """Heaviest keys with about ``min_rows`` rows or more, judged from a sample of the key columns."""
+    seen = df.select(*keys).where(~any_null(keys))
+    if look < 1:
+        seen = seen.sample(look, seed=1)
+    return (seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows * look)
+                .orderBy(F.col("_n").desc(), *keys).limit(limit).select(*keys))
+
+
+def find_hot(df: DataFrame, keys: list[str], min_rows: int | None = None, look: float = LOOK) -> DataFrame | None:
+    """The hot keys as a local frame, None when there are none."""
+    wanted = hot_keys(df, keys, HOT_ROWS if min_rows is None else min_rows, look=look)
+    found = wanted.collect()
+    return df.sparkSession.createDataFrame(found, wanted.schema) if found else None
 
 
 def row_salt(df: DataFrame, salts: int = SALTS) -> Column:
@@ -40,18 +51,26 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
                 hot: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
     """Equi-join of many left rows to a right side with one row per key.
 
-    Left rows of hot keys, and left rows without a key, are spread over ``salts``
-    partitions; only the hot right rows (at most MAX_HOT) are repeated.
+    Left rows of the ``hot`` keys are spread over ``salts`` partitions and the matching right
+    rows, at most MAX_HOT, are repeated.  Left rows without a key, which match nothing, are
+    spread too where the join keeps them.
     """
-    hot = hot_keys(left, on) if hot is None else hot
+    if how in ("inner", "left_semi"):
+        left = left.where(~any_null(on))
+    right = right.where(~any_null(on))
+    lone = F.when(any_null(on), row_salt(left, salts))
+    if hot is None:
+        nullable = how not in ("inner", "left_semi") and any(left.schema[c].nullable for c in on)
+        if not nullable:
+            return left.join(right, on, how)
+        return (left.withColumn("_salt", lone.otherwise(0))
+                    .join(right.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt"))
     flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    spread = F.col("_hot").isNotNull() | any_null(on)
     lsalt = (left.join(flag, on, "left")
-                 .withColumn("_salt", F.when(spread, row_salt(left, salts)).otherwise(0)).drop("_hot"))
-    rsalt = (right.where(~any_null(on)).join(flag, on, "left")
-                  .withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(),
-                                                        F.sequence(F.lit(0), F.lit(salts - 1)))
-                                                  .otherwise(F.array(F.lit(0))))).drop("_hot"))
+                 .withColumn("_salt", lone.when(F.col("_hot"), row_salt(left, salts)).otherwise(0)).drop("_hot"))
+    everywhere = F.sequence(F.lit(0), F.lit(salts - 1))
+    rsalt = (right.join(flag, on, "left")
+                  .withColumn("_salt", F.explode(F.when(F.col("_hot"), everywhere).otherwise(F.array(F.lit(0))))).drop("_hot"))
     return lsalt.join(rsalt, [*on, "_salt"], how).drop("_salt")
 
 

@@ -86,6 +86,7 @@ def classify_runs(runs: DataFrame, variants: list[tuple[int, int]], by: list[str
                                              F.col(status))))
     person = Window.partitionBy(*who)
     along = person.orderBy("block_no", "run_no")
+    ever = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # same sort as ``along``
     block = Window.partitionBy(*who, "block_no").orderBy("run_no")
     before = block.rowsBetween(Window.unboundedPreceding, -1)
     whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -93,8 +94,8 @@ def classify_runs(runs: DataFrame, variants: list[tuple[int, int]], by: list[str
     seen = cut.select(
         "*", F.last("_anchor", ignorenulls=True).over(before).alias("confirmed_before"),
         F.last("_anchor", ignorenulls=True).over(whole).alias("block_final"),
-        F.max("block_no").over(person).alias("last_block"),
-        F.min(F.when(s, F.col("start_q"))).over(person).alias("first_home_q"),
+        F.max("block_no").over(ever).alias("last_block"),
+        F.min(F.when(s, F.col("start_q"))).over(ever).alias("first_home_q"),
         (~F.lead("block_no").over(along).eqNullSafe(F.col("block_no"))).alias("last_in_block"))
     classed = seen.withColumn("run_class", F.when(F.col("first_in_block"), "block_start")
                               .when(s == F.col("confirmed_before"), "stay")
@@ -169,8 +170,9 @@ def home_spells(runs: DataFrame, horizon: int = NO_HORIZON, by: list[str] = BY)
     """Runs with home status as numbered spells with censoring flags (not cut at the horizon)."""
     person = Window.partitionBy(*by)
     along = person.orderBy("block_no", "run_no")
+    ever = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = runs.where(F.col("start_q") <= horizon).select(
-        "*", F.min("start_q").over(person).alias("_first"), F.max("end_q").over(person).alias("_last"),
+        "*", F.min("start_q").over(ever).alias("_first"), F.max("end_q").over(ever).alias("_last"),
         (~F.lead("block_no").over(along).eqNullSafe(F.col("block_no"))).alias("_last_in_block"))
     left, right = F.col("start_q") == F.col("_first"), F.col("end_q") == F.col("_last")
     return seen.where("home").select(

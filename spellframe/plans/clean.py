@@ -13,7 +13,6 @@ from ..functions import (blank_to_null, distinct_from, first_reason, month_index
                          quarter_of_month, taxonomy_match, taxonomy_rule_ids, title_status)
 from ..operators.joins import membership_flag
 from ..operators.quality import Deduplicated, dedupe_quarantine
-from ..operators.skew import hot_keys
 from .config import HistoryConfig
 
 TEXT_FIELDS = ("country", "state", "metro_area", "city", "region", "msa")
@@ -130,8 +129,7 @@ def clean(positions: DataFrame, users: DataFrame, cohort: DataFrame, cfg: Histor
         d[name] = dedupe_quarantine(frame, [key], rest(frame, key))
         keys[name] = key
         joined = attach_lookup(joined, d[name], key, flag)
-    hot = hot_keys(positions, ["user_id"])
-    joined = membership_flag(joined, d["cohort"].kept, "user_id", "in_cohort", hot=hot)
+    joined = membership_flag(joined, d["cohort"].kept, "user_id", "in_cohort", measure=positions)
     ruled = keep(apply_rules(joined, cfg), "positions")
     universe = keep(user_universe(ruled, d["cohort"], d["users"], cfg), "users")
     bad = ruled.where(F.col("quarantine_reason").isNotNull())
