@@ -44,13 +44,15 @@ def language_profiles(labelled: DataFrame, text: str, label: str, labels: list[s
     """(gram, logp array in the order of ``labels``) for the most frequent grams."""
     pieces = spread_small(labelled.where(F.col(label).isin(*labels)).select(label, text)).select(
         label, F.explode(F.regexp_extract_all(F.col(text), F.lit(_PASSAGE), F.lit(0))).alias("p"))
-    counts = (pieces.select(label, F.explode(_grams(F.col("p"))).alias("gram"))
-              .groupBy("gram").agg(F.count(F.lit(1)).alias("_all"),
-                                   *[F.count_if(F.col(label) == v).alias(f"_c{i}") for i, v in enumerate(labels)]))
+    number = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label))  # compared per gram: an int is cheaper
+    grams = pieces.select(number.alias("_l"), _grams(F.col("p")).alias("_g")).select("_l", F.explode("_g").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_all"),
+                                       *[F.count_if(F.col("_l") == i + 1).alias(f"_c{i}") for i in range(len(labels))])
     kept = counts.orderBy(F.col("_all").desc(), "gram").limit(vocabulary)
-    sums = kept.agg(*[F.sum(f"_c{i}").alias(f"_n{i}") for i in range(len(labels))], F.count(F.lit(1)).alias("_v"))
-    n = lambda i: sums.select((F.col(f"_n{i}") + F.lit(alpha) * F.col("_v"))).scalar()
-    return kept.select("gram", F.array(*[F.log((F.col(f"_c{i}") + alpha) / n(i)) for i in range(len(labels))]).alias("logp"))
+    model = Window.partitionBy()  # at most ``vocabulary`` rows
+    size = F.count(F.lit(1)).over(model)
+    share = lambda c: F.log((F.col(c) + alpha) / (F.sum(c).over(model) + F.lit(alpha) * size))
+    return kept.select("gram", F.array(*[share(f"_c{i}") for i in range(len(labels))]).alias("logp"))
 
 
 def _log_scores(pieces: DataFrame, keys: list[str], profiles: DataFrame, labels: list[str], text: str) -> DataFrame:
@@ -74,8 +76,10 @@ def score_passages(df: DataFrame, ident: str, text: str, profiles: DataFrame, la
     """Spans (id, start, end, language, letters, confidence, second) of every scorable passage."""
     parts = passages(df, ident, text)
     # Length and letters are summed with the scores in one aggregate, so passages travel once.
-    grams = parts.select(ident, "pos", F.length("passage").alias("_len"), letters("passage").alias("_letters"),
-                         F.explode_outer(_grams(F.col("passage"))).alias("gram"))
+    # Measured in a projection of their own: next to explode they would be computed per gram.
+    sized = parts.select(ident, "pos", F.length("passage").alias("_len"), letters("passage").alias("_letters"),
+                         _grams(F.col("passage")).alias("_g"))
+    grams = sized.select(ident, "pos", "_len", "_letters", F.explode_outer("_g").alias("gram"))
     hit = grams.join(F.broadcast(profiles), "gram", "left")
     scored = hit.groupBy(ident, "pos").agg(
         F.max("_len").alias("_len"), F.max("_letters").alias("letters"),

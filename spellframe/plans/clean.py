@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from typing import NamedTuple
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +17,30 @@ from .config import HistoryConfig
 TEXT_FIELDS = ("country", "state", "metro_area", "city", "region", "msa")
 
 
-class Cleaned(NamedTuple):
-    positions: DataFrame        # one row per sound position key, with quarantine_reason (NULL = valid)
-    valid: DataFrame
-    quarantine: DataFrame       # rule-based and key-based quarantine together
-    users: DataFrame
-    other_quarantine: DataFrame
-    dedupe: dict[str, Deduplicated]
+class Cleaned:
+    """Outcome of ``clean``; the quarantine frames are planned only when asked for."""
+
+    def __init__(self, positions: DataFrame, users: DataFrame, dedupe: dict[str, Deduplicated], keys: dict[str, str]):
+        self.positions = positions  # one row per sound position key, with quarantine_reason (NULL = valid)
+        self.users, self.dedupe, self._keys = users, dedupe, keys
+
+    @property
+    def valid(self) -> DataFrame:
+        return self.positions.where(F.col("quarantine_reason").isNull()).drop("quarantine_reason")
+
+    @cached_property
+    def quarantine(self) -> DataFrame:
+        """Spells set aside by rule and by key."""
+        bad = self.positions.where(F.col("quarantine_reason").isNotNull())
+        return bad.unionByName(self.dedupe["positions"].quarantine, allowMissingColumns=True)
+
+    @cached_property
+    def other_quarantine(self) -> DataFrame:
+        """Rows set aside in the other tables, counted per key and reason."""
+        parts = [q.quarantine.groupBy(F.lit(name).alias("source_table"), F.col(self._keys[name]).cast("string").alias("key_value"),
+                                      "quarantine_reason").agg(F.count(F.lit(1)).alias("rows"))
+                 for name, q in self.dedupe.items() if name != "positions"]
+        return reduce(DataFrame.unionByName, parts)
 
 
 def join_titles(positions: DataFrame, raw: Deduplicated) -> DataFrame:
@@ -132,13 +148,7 @@ def clean(positions: DataFrame, users: DataFrame, cohort: DataFrame, cfg: Histor
     joined = membership_flag(joined, d["cohort"].kept, "user_id", "in_cohort", measure=positions)
     ruled = keep(apply_rules(joined, cfg), "positions")
     universe = keep(user_universe(ruled, d["cohort"], d["users"], cfg), "users")
-    bad = ruled.where(F.col("quarantine_reason").isNotNull())
-    quarantine = bad.unionByName(d["positions"].quarantine, allowMissingColumns=True)
-    other = [q.quarantine.groupBy(F.lit(name).alias("source_table"), F.col(keys[name]).cast("string").alias("key_value"),
-                                  "quarantine_reason").agg(F.count(F.lit(1)).alias("rows"))
-             for name, q in d.items() if name != "positions"]
-    return Cleaned(ruled, ruled.where(F.col("quarantine_reason").isNull()).drop("quarantine_reason"),
-                   quarantine, universe, reduce(DataFrame.unionByName, other), d)
+    return Cleaned(ruled, universe, d, keys)
 
 
 def dedupe_report(cleaned: Cleaned) -> DataFrame:

@@ -15,6 +15,8 @@ RECOMMENDED = {
     # A frame already partitioned by person also serves joins on (person, quarter, ...).
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.parquet.compression.codec": "zstd",
+    # A job compiles several hundred expression classes; the default of 100 evicts them between stages.
+    "spark.sql.codegen.cache.maxEntries": "2000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
