@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import any_null
-from .skew import find_hot, salted_join
+from .skew import find_hot, salted_join, semi_join
 
 
 def unique_or_fail(df: DataFrame, on: list[str], label: str = "join") -> DataFrame:
@@ -112,7 +112,7 @@ def unmatched_count(structured: DataFrame, raw: DataFrame, keys: list[str], null
 def lookup_validated(ids: DataFrame, table: DataFrame, key: str, category: str, home) -> tuple[DataFrame, DataFrame]:
     """(rows of ``table`` for the ids, violations: duplicate, foreign or missing ids)."""
     wanted = ids.select(key).distinct()
-    rows = table.join(wanted, key, "left_semi")
+    rows = semi_join(table, wanted, [key])
     seen = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
                                  F.count_if(~F.col(category).eqNullSafe(F.lit(home))).alias("_x"))
     problems = wanted.join(seen, key, "left").select(key, F.explode(F.array_compact(F.array(
@@ -126,7 +126,7 @@ def guarded_key_join(raw: DataFrame, structured: DataFrame, key: str) -> DataFra
     side = structured.select(F.col(key).cast("bigint").alias("_key"),
                              *[c for c in structured.columns if c != key])
     narrow = raw.withColumn("_key", F.col(key).try_cast("bigint"))
-    return narrow.join(side, "_key", "left").drop("_key")
+    return salted_join(narrow, side, ["_key"]).drop("_key")  # rows without a 64-bit id are spread
 
 
 def top_matches(left: DataFrame, right: DataFrame, on: list[str], order: list, n: int) -> DataFrame:
@@ -138,7 +138,7 @@ def top_matches(left: DataFrame, right: DataFrame, on: list[str], order: list, n
     w = Window.partitionBy(*on).orderBy(*order)
     best = (right.where(~any_null(on)).withColumn("match_rank", F.row_number().over(w))
                  .where(F.col("match_rank") <= n))
-    return left.join(best, on, "inner")
+    return salted_join(left, best, on, "inner", hot=find_hot(left, on))
 
 
 def membership_flag(df: DataFrame, ids: DataFrame, key: str, flag: str, measure: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .joins import semi_match, unmatched_count
+from .skew import find_hot, salted_join, semi_join
 
 
 def country_cohort(users: DataFrame, spells: DataFrame, country, person: str = "user_id",
@@ -46,7 +47,7 @@ def _in(df: DataFrame, ids: DataFrame, column: str, key: str) -> DataFrame:
     """Rows whose id equals one of ``ids`` by value."""
     number = lambda c: F.coalesce(F.col(c).cast("string").try_cast("decimal(38,6)").cast("string"), F.col(c).cast("string"))
     wanted = ids.select(number(key).alias("_id"))
-    return df.withColumn("_id", number(column)).join(wanted, "_id", "left_semi").drop("_id")
+    return semi_join(df.withColumn("_id", number(column)), wanted, ["_id"]).drop("_id")
 
 
 def linked_extract(tables: dict[str, DataFrame], country) -> dict[str, DataFrame]:
@@ -63,10 +64,10 @@ def linked_extract(tables: dict[str, DataFrame], country) -> dict[str, DataFrame
     t = tables
     here = F.col("country") == country
     cohort = country_cohort(t["individual_user"], t["individual_positions"], country)
-    member = t["individual_positions"].join(cohort, "user_id", "left_semi")
+    member = semi_join(t["individual_positions"], cohort, ["user_id"])
     positions = member.unionByName(t["individual_positions"].where(F.col("user_id").isNull() & here))
     postings = t["postings_cosmos"].where(here)
-    education = t["individual_user_education"].join(cohort, "user_id", "left_semi")
+    education = semi_join(t["individual_user_education"], cohort, ["user_id"])
     companies, schools = linked_companies_schools(t, positions, postings, education, country)
     out = {}
     for name, df in t.items():
@@ -83,7 +84,7 @@ def linked_extract(tables: dict[str, DataFrame], country) -> dict[str, DataFrame
         elif name == "postings_cosmos_raw":
             out[name] = semi_match(df, postings, ["job_id"])
         elif name in PERSON_TABLES:
-            out[name] = df.join(cohort, "user_id", "left_semi")
+            out[name] = semi_join(df, cohort, ["user_id"])
         elif name in COMPANY_TABLES:
             out[name] = _in(df, companies, "rcid", "entity_id")
         elif name == "school_mapping":
@@ -138,5 +139,6 @@ def split_disjoint(df: DataFrame, key: str, size: int, batch: str = "batch") ->
     if size < 1:
         raise ValueError("batch size must be positive")
     slots = ordered_rank(df, key).select(key, F.floor(F.col("rank0") / size).alias(batch))
-    keyed = df.where(F.col(key).isNotNull()).join(slots, key, "left")
+    some = df.where(F.col(key).isNotNull())
+    keyed = salted_join(some, slots, [key], hot=find_hot(some, [key]))
     return keyed.unionByName(df.where(F.col(key).isNull()).withColumn(batch, F.lit(-1).cast("bigint")))

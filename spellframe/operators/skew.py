@@ -74,6 +74,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     return lsalt.join(rsalt, [*on, "_salt"], how).drop("_salt")
 
 
+def semi_join(df: DataFrame, ids: DataFrame, on: list[str], measure: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is among ``ids``; a key with very many rows is spread.
+
+    ``measure`` is a cheaper frame with the same keys to look for hot ones.
+    """
+    wanted = ids.select(*on).distinct()
+    return salted_join(df, wanted, on, "left_semi", hot=find_hot(df if measure is None else measure, on))
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Use all cores for costly per-row work on an input of few, small files.
 

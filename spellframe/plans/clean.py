@@ -12,6 +12,7 @@ from ..functions import (blank_to_null, distinct_from, first_reason, month_index
                          quarter_of_month, taxonomy_match, taxonomy_rule_ids, title_status)
 from ..operators.joins import membership_flag
 from ..operators.quality import Deduplicated, dedupe_quarantine
+from ..operators.skew import find_hot, salted_join
 from .config import HistoryConfig
 
 TEXT_FIELDS = ("country", "state", "metro_area", "city", "region", "msa")
@@ -58,13 +59,14 @@ def join_titles(positions: DataFrame, raw: Deduplicated) -> DataFrame:
                   .drop("_clash", "_raw_user", "_title"))
 
 
-def attach_lookup(positions: DataFrame, lookup: Deduplicated, key: str, flag: str) -> DataFrame:
+def attach_lookup(positions: DataFrame, lookup: Deduplicated, key: str, flag: str, measure: DataFrame) -> DataFrame:
     """Many-to-one look-up; flags keys the look-up does not know.
 
-    Look-ups are dimensions: the planner broadcasts them when their measured size allows.
+    The planner broadcasts a look-up whose measured size allows it; otherwise popular keys
+    are spread.
     """
     side = lookup.kept.withColumn("_known", F.lit(True))
-    return (positions.join(side, key, "left")
+    return (salted_join(positions, side, [key], hot=find_hot(measure, [key]))
             .withColumn(flag, F.when(F.col(key).isNotNull() & F.col("_known").isNull(), True)).drop("_known"))
 
 
@@ -144,7 +146,7 @@ def clean(positions: DataFrame, users: DataFrame, cohort: DataFrame, cfg: Histor
     for name, (frame, key, flag) in (lookups or {}).items():
         d[name] = dedupe_quarantine(frame, [key], rest(frame, key))
         keys[name] = key
-        joined = attach_lookup(joined, d[name], key, flag)
+        joined = attach_lookup(joined, d[name], key, flag, positions)
     joined = membership_flag(joined, d["cohort"].kept, "user_id", "in_cohort", measure=positions)
     ruled = keep(apply_rules(joined, cfg), "positions")
     universe = keep(user_universe(ruled, d["cohort"], d["users"], cfg), "users")
