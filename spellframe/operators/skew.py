@@ -30,9 +30,9 @@ def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, limit: in
                 .orderBy(F.col("_n").desc(), *keys).limit(limit).select(*keys))
 
 
-def find_hot(df: DataFrame, keys: list[str], min_rows: int | None = None, look: float = LOOK) -> DataFrame | None:
+def find_hot(df: DataFrame, keys: list[str], min_rows: int | None = None, look: float | None = None) -> DataFrame | None:
     """The hot keys as a local frame, None when there are none."""
-    wanted = hot_keys(df, keys, HOT_ROWS if min_rows is None else min_rows, look=look)
+    wanted = hot_keys(df, keys, min_rows or HOT_ROWS, look=look or LOOK)
     found = wanted.collect()
     return df.sparkSession.createDataFrame(found, wanted.schema) if found else None
 

@@ -25,3 +25,11 @@ def table(spark):
     def make(data, schema):
         return spark.createDataFrame(data, schema)
     return make
+
+
+@pytest.fixture
+def everything_hot(monkeypatch):
+    """Treat every key with two rows as hot, so that small data takes the spreading paths."""
+    from spellframe.operators import skew
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    monkeypatch.setattr(skew, "LOOK", 1.0)

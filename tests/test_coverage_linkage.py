@@ -127,3 +127,8 @@ def test_disjoint_batches(table):
 def test_numeric_ids(table):
     df = table([("203",), ("203.0",), ("1.50",), ("100",), ("18446744073709551615",), ("x1",), (None,)], "id string")
     assert rows(L.numeric_ids(df, "id")) == [("1.5",), ("100",), ("18446744073709551615",), ("203",), ("x1",)]
+
+
+def test_hot_paths_select_the_same(table, everything_hot):
+    test_linked_extract(table)
+    test_disjoint_batches(table)

@@ -169,13 +169,13 @@ def test_reports(job):
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
-def test_results_do_not_depend_on_partitions_or_hot_split(job, spark, partitions):
+def test_results_do_not_depend_on_partitions_or_hot_split(job, spark, everything_hot, partitions):
     c = job["clean"]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
-        hot = P.person_quarter_panel(c.valid, c.users, CFG, hot_rows=2, look=1)   # most people take the hot path
-        plain = P.person_quarter_panel(c.valid, c.users, CFG, hot_rows=None)
+        hot = P.person_quarter_panel(c.valid, c.users, CFG, split_hot=True)   # most people take the hot path
+        plain = P.person_quarter_panel(c.valid, c.users, CFG, split_hot=False)
         want = rows(job["panel"].drop("alt_countries"))
         assert rows(hot.select(job["panel"].columns).drop("alt_countries")) == want
         assert rows(plain.select(job["panel"].columns).drop("alt_countries")) == want

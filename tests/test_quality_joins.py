@@ -20,8 +20,7 @@ def test_dedupe_keeps_null_contents_apart(table):
     assert c["rows_kept"] + c["exact_duplicate_rows_collapsed"] + c["rows_in_conflicting_keys"] + c["null_key_rows"] == c["rows_in"] == 6
 
 
-def test_dedupe_hot_conflict_is_complete(table, monkeypatch):
-    monkeypatch.setattr(Q, "find_hot", lambda df, keys: skew.find_hot(df, keys, 2, look=1))
+def test_dedupe_hot_conflict_is_complete(table, everything_hot):
     df = table([(1, i % 7) for i in range(500)] + [(2, 1)], "k int, v int")
     d = Q.dedupe_quarantine(df, ["k"], ["v"])
     assert d.quarantine.count() == 500 and rows(d.kept) == [(2, 1)]
@@ -132,3 +131,14 @@ def test_identifier():
     for bad in ("a.b", "1a", "a;", "", "a b"):
         with pytest.raises(ValueError):
             validate_identifier(bad)
+
+
+def test_hot_paths_give_the_same_joins(table, everything_hot):
+    test_validated_joins(table)
+    test_lookup_and_records(table)
+    test_wide_ids_stay(table)
+    left = table([(1, i) for i in range(40)] + [(2, 0), (None, 1)], "k int, i int")
+    right = table([(1, v) for v in range(30)] + [(2, 5)], "k int, v int")
+    got = J.top_matches(left, right, ["k"], ["v"], 2)
+    assert got.count() == 81 and got.where("match_rank > 2 OR v > 5").count() == 0
+    assert J.membership_flag(left, right, "k", "f").where("f").count() == 41

@@ -160,3 +160,8 @@ def test_scripts(table):
     texts = {"软件开发": "simplified", "軟體開發": "traditional", "中文": None, "软件軟體": None, "软软": None, "a-b^c": None}
     got = table([(t,) for t in texts], "t string").select("t", G.script_variant("t", "软发开^-]", "軟體開"))
     assert {r[0]: r[1] for r in got.collect()} == {**texts, "a-b^c": "simplified"}
+
+
+def test_hot_paths_audit_the_same(table, everything_hot):
+    test_evidence(table)
+    test_requests_and_export(table)

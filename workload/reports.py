@@ -12,6 +12,7 @@ from spellframe.operators import linkage as L
 from spellframe.operators import quality as Q
 from spellframe.operators import spells as S
 from spellframe.operators import trends as T
+from spellframe.operators.panel import person_quarter_panel
 from spellframe.plans import coverage_report as R
 from spellframe.plans import education as ED
 from spellframe.plans import inventory as I
@@ -21,7 +22,7 @@ from spellframe.sources import export as X
 from spellframe.sources import manifests as M
 from workload import history as H
 from workload import orders_as_spells as W
-from workload.oracle import history, qlabel
+from workload.oracle import HISTORY, history, qlabel
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -506,15 +507,43 @@ def title_audit(spark, sf):
     return D.title_audit(H.cleaned(spark, sf, keep=lambda df, name: df).valid)
 
 
-@query()
+def _report_sql() -> str:
+    """The sections' own statements next to each other."""
+    part = lambda n: "(" + ORACLE[n][len(HISTORY):] + ")"
+    rows = [
+        ("positions_by_year", "measure, NULL, 'year', period, country_group, value, denominator, NULL, false", part("activity_by_year")),
+        ("missing_fields", "measure, NULL, 'year', period, 'All', value, denominator, NULL, false", part("missing_by_year")),
+        ("quarantined_positions", "measure, NULL, 'all', 'all', country_group, value, denominator, NULL, false", part("quarantine_summary")),
+        ("profile_refresh", "measure, NULL, period_type, period, country_group, value, NULL, value_text, is_partial_period", part("profile_refresh")),
+        ("population", "measure, NULL, 'all', 'all', 'All', value, NULL, NULL, false", part("population_counts")),
+        ("quarterly_activity", "measure, end_rule, 'quarter', period, 'All', value, NULL, NULL, false", part("quarterly_activity")),
+        ("overlap_effects", "measure, end_rule, 'year', period, 'All', value, denominator, NULL, false", part("overlap_effects")),
+        ("country_year_coverage", "'people_by_primary_position_country', 'carry_to_cutoff', 'year', substr(quarter, 1, 4), country_group, value, denominator, NULL, false",
+         part("category_period_coverage")),
+        ("quarterly_activity", "measure, end_rule, 'quarter', '2000Q4', country_group, value, NULL, NULL, true", part("partial_period")),
+        ("join_coverage", "'position_title:' || title_status, NULL, 'all', 'all', 'All', n, NULL, NULL, false",
+         "(SELECT title_status, count(*) AS n FROM positions GROUP BY 1)"),
+        ("join_coverage", "'positions_to_users:' || m, NULL, 'all', 'all', 'All', CASE m WHEN 'left_null_key_rows' THEN nulls ELSE 0 END, n, NULL, false",
+         "(SELECT count(*) AS n, count(*) - count(user_id) AS nulls FROM src), (VALUES ('unmatched_rows'), ('left_null_key_rows'), ('row_multiplication_if_naive')) v(m)"),
+        ("duplicates", "t || ':' || m, NULL, 'all', 'all', 'All', 0, CASE WHEN t IN ('positions', 'raw_titles') THEN p ELSE u END, NULL, false",
+         "(SELECT (SELECT count(*) FROM src) AS p, (SELECT count(*) FROM people) AS u), (VALUES ('positions'), ('users'), ('cohort'), ('raw_titles')) t(t), "
+         "(VALUES ('exact_duplicate_rows_collapsed'), ('conflicting_keys'), ('rows_in_conflicting_keys'), ('null_key_rows')) v(m)")]
+    union = " UNION ALL ".join(f"SELECT '{s}' AS section, {c} FROM {f} x{i}" if not f.startswith("(SELECT count") and not f.startswith("(SELECT (")
+                               else f"SELECT '{s}' AS section, {c} FROM {f}" for i, (s, c, f) in enumerate(rows))
+    return history(f""", rep(section, measure, end_rule, period_type, period, country_group, value, denominator, value_text, part) AS ({union})
+SELECT section, measure, end_rule, period_type, period, country_group, value, denominator, value_text,
+ CASE WHEN denominator > 0 THEN round(value / denominator, 6) END AS share, part OR (period_type = 'year' AND period = '2000') AS is_partial_period FROM rep""")
+
+
+@query(_report_sql())
 def coverage_report(spark, sf):
-    """Every section together; its parts have their own queries and SQL."""
+    """Every section in one table."""
     c = H.cleaned(spark, sf)
-    from spellframe.operators.panel import person_quarter_panel
     panel = stage(person_quarter_panel(c.valid, c.users, CFG), "panel")
     audit = J.join_audit(W.positions(spark, sf), W.people(spark, sf), ["user_id"], right_key=["user_id"]).select(
         F.lit("positions_to_users").alias("name"), F.lit("positions").alias("left_table"), F.lit("users").alias("right_table"), F.lit("ok").alias("status"), "*")
-    return R.coverage_report(c, panel, CFG, "2000-01-01", audit)
+    return R.coverage_report(c, panel, CFG, "2000-01-01", audit).select(
+        "section", "measure", "end_rule", "period_type", "period", "country_group", "value", "denominator", "value_text", "share", "is_partial_period")
 
 
 # --- trends ------------------------------------------------------------------------------
@@ -698,12 +727,36 @@ def coerced_orders(spark, sf):
     return out.withColumn("price", F.col("price").cast("string"))
 
 
-@query()
+KEYS = {"orders": ["o_orderkey"], "lineitem": LINE_KEY, "customer": ["c_nationkey"], "supplier": ["s_suppkey"], "labels": ["quality"]}
+
+
+def _keys_sql(t: str, key: list[str]) -> str:
+    k = ", ".join(key)
+    return f"""SELECT '{t}' AS "table", '{','.join(key)}' AS declared_key, 0 AS null_key_rows, count(*) AS duplicate_key_groups, coalesce(sum(n), 0)::BIGINT AS rows_in_duplicate_keys,
+count(*) FILTER (WHERE v > 1) AS conflicting_keys, coalesce(sum(n) FILTER (WHERE v > 1), 0)::BIGINT AS rows_in_conflicting_keys, coalesce(sum(n - v), 0)::BIGINT AS exact_duplicate_rows
+FROM (SELECT {k}, sum(c) AS n, count(*) AS v FROM (SELECT *, count(*) AS c FROM {t} GROUP BY ALL) GROUP BY {k} HAVING sum(c) > 1)"""
+
+
+def _inventory(spark, sf):
+    tables = {n: W.table(spark, sf, n) for n in KEYS}
+    return I.inventory(tables, KEYS, [{"name": "lines_to_orders", "left": "lineitem", "right": "orders", "left_on": ["l_orderkey"], "right_on": ["o_orderkey"]}],
+                       ["o_custkey", "c_nationkey"])
+
+
+@query(" UNION ALL ".join(_keys_sql(t, k) for t, k in KEYS.items()))
+def inventory_keys(spark, sf):
+    """Key checks of five whole tables as the inventory job reports them."""
+    return _inventory(spark, sf).keys
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS rows, count({c}) AS non_null, {f'count(DISTINCT {c})' if c in ('o_custkey', 'c_nationkey') else 'NULL'} AS distinct_values FROM {t}"""
+                          for t, cols in {"orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+                                          "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+                                          "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+                                          "labels": "doc_id quality toxic"}.items() for c in cols.split()))
 def inventory_columns(spark, sf):
-    """Profiles of five whole tables as the inventory job reports them."""
-    tables = {n: W.table(spark, sf, n) for n in ("orders", "lineitem", "customer", "supplier", "labels")}
-    return I.inventory(tables, {"orders": ["o_orderkey"], "lineitem": LINE_KEY, "customer": ["c_custkey"], "supplier": ["s_suppkey"], "labels": ["doc_id"]},
-                       [{"name": "lines_to_orders", "left": "lineitem", "right": "orders", "left_on": ["l_orderkey"], "right_on": ["o_orderkey"]}]).columns
+    """Column profiles of the same tables."""
+    return _inventory(spark, sf).columns.select("table", "column", "rows", "non_null", "distinct_values")
 
 
 @query("""SELECT user_id, sum(c)::INTEGER AS run_no_total, count(*) AS runs FROM (SELECT 1 AS c, user_id FROM (

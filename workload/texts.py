@@ -341,18 +341,41 @@ def profiles(spark, sf):
     return stage(G.language_profiles(docs(spark, sf), "text", "lang", LANGS), "profiles")
 
 
-@query()
+MODEL = """WITH pl AS (SELECT doc_id, source, lang, regexp_extract_all(text, '[^\\n.!?。！？]{0,400}[\\n.!?。！？]+|[^\\n.!?。！？]{1,400}') AS l FROM documents),
+pc AS (SELECT doc_id, source, lang, pos, l[pos] AS p FROM (SELECT *, unnest(generate_series(1, len(l))) AS pos FROM pl)),
+px AS (SELECT *, ' ' || trim(regexp_replace(lower(p), '[^\\p{L}]+', ' ', 'g')) || ' ' AS x FROM pc),
+gr AS (SELECT doc_id, source, lang, pos, substr(x, i, 3) AS gram FROM (SELECT *, unnest(generate_series(1, length(x) - 2)) AS i FROM px)),
+ct AS (SELECT gram, count(*) AS n, [count(*) FILTER (WHERE lang = 'en'), count(*) FILTER (WHERE lang = 'es'), count(*) FILTER (WHERE lang = 'fr'), count(*) FILTER (WHERE lang = 'de')] AS c
+ FROM gr GROUP BY gram ORDER BY n DESC, gram LIMIT 50000),
+lp AS (SELECT gram, list_transform([1, 2, 3, 4], lambda i: ln((c[i] + 0.5::DOUBLE) / (t[i] + 0.5::DOUBLE * v))) AS logp
+ FROM ct, (SELECT [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4])]::BIGINT[] AS t, count(*) AS v FROM ct))
+"""
+TOP2 = """, t2 AS (SELECT *, list_reverse_sort(list_transform([1, 2, 3, 4], lambda i: {'w': exp(s[i] - list_max(s)), 'l': ['en', 'es', 'fr', 'de'][i]})) AS r FROM sc),
+tt AS (SELECT *, r[1].l AS language, r[1].w / list_sum([x.w for x in r]) AS confidence, r[2].w / list_sum([x.w for x in r]) AS second FROM t2)
+"""
+SUMS = "[sum(logp[1]), sum(logp[2]), sum(logp[3]), sum(logp[4])] AS s"
+
+
+@query(MODEL + "SELECT gram, unnest(['en', 'es', 'fr', 'de']) AS language, round(unnest(logp), 6) AS logp FROM lp")
 def language_profiles(spark, sf):
-    return G.language_profiles(docs(spark, sf), "text", "lang", LANGS)
+    p = G.language_profiles(docs(spark, sf), "text", "lang", LANGS)
+    return p.select("gram", F.inline(F.arrays_zip(F.array(*[F.lit(v) for v in LANGS]).alias("language"), "logp"))).select(
+        "gram", "language", F.round("logp", 6).alias("logp"))
 
 
-@query()
+@query(MODEL + f""", sc AS (SELECT doc_id, pos, {SUMS} FROM gr JOIN lp USING (gram) GROUP BY doc_id, pos){TOP2}
+, ln AS (SELECT doc_id, pos, length(p) AS n, length(regexp_replace(p, '[^\\p{{L}}]', '', 'g')) AS letters, (sum(length(p)) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS e FROM pc)
+SELECT doc_id, e - n AS start, e AS "end", letters, language, round(confidence, 5) AS confidence, round(second, 5) AS second FROM tt JOIN ln USING (doc_id, pos)""")
 def language_scores(spark, sf):
     """Spans of every document scored by the trained model."""
-    return G.score_passages(docs(spark, sf), "doc_id", "text", profiles(spark, sf), LANGS)
+    out = G.score_passages(docs(spark, sf), "doc_id", "text", profiles(spark, sf), LANGS)
+    return out.withColumns({c: F.round(c, 5) for c in ("confidence", "second")})
 
 
-@query()
+@query(MODEL + f""", sc AS (SELECT doc_id, source, {SUMS} FROM gr JOIN lp USING (gram) GROUP BY doc_id, source){TOP2}
+, dm AS (SELECT d.doc_id, d.source, CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 40 AND confidence >= 0.6 AND confidence - second >= 0.2 THEN language ELSE 'uncertain' END AS language
+ FROM documents d LEFT JOIN tt USING (doc_id))
+SELECT source, language, count(*) AS documents, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM dm GROUP BY source, language""")
 def language_shares(spark, sf):
     """Dominant language per document, share per source."""
     d = docs(spark, sf)
