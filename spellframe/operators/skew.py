@@ -63,8 +63,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
         nullable = how not in ("inner", "left_semi") and any(left.schema[c].nullable for c in on)
         if not nullable:
             return left.join(right, on, how)
-        return (left.withColumn("_salt", lone.otherwise(0))
-                    .join(right.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt"))
+        # Always 0, but not a literal: a literal would be folded out of the join keys.
+        zero = F.pmod(F.hash(*on), F.lit(1))
+        return (left.withColumn("_salt", lone.otherwise(zero))
+                    .join(right.withColumn("_salt", zero), [*on, "_salt"], how).drop("_salt"))
     flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     lsalt = (left.join(flag, on, "left")
                  .withColumn("_salt", lone.when(F.col("_hot"), row_salt(left, salts)).otherwise(0)).drop("_hot"))

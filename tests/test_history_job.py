@@ -191,3 +191,31 @@ def test_cutoff_must_fit():
         HistoryConfig(cutoff="2026-08-31", last_complete_quarter="2026Q1", partial_quarter="2026Q3")
     with pytest.raises(ValueError, match="partial quarter"):
         HistoryConfig(cutoff="2026-05-31", last_complete_quarter="2026Q2", partial_quarter="2026Q3")
+
+
+def test_staged_job(spark, tmp_path):
+    from histories import frames as make
+    from spellframe.plans.history_job import HistoryJob
+    from spellframe.sources.tables import write_table
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    f = make(spark)
+    for name, df in f.items():
+        write_table(df, f"{src}/{name}")
+    settings = dict(tables={r: r for r in ("positions", "users", "cohort", "positions_raw")},
+                    lookups={"v3": ("role_lookup_v3", "role_k17000_v3", "role_v3_unmatched")})
+    bench = spark.createDataFrame([("stayed", 255911, "text")], "measure string, benchmark bigint, benchmark_source string")
+    job = HistoryJob(spark, src, out, CFG, benchmarks=bench, **settings)
+    with pytest.raises(RuntimeError, match="has not been run"):
+        job.run(["panel"])
+    job.run()
+    report = spark.read.option("header", True).option("escape", '"').csv(f"{out}/reports/replication_summary")
+    got = report.where("primary_specification = 'true' AND measure IN ('stayed', 'entered', 'departed', 'net')").select("measure", "estimate")
+    assert dict(rows(got)) == {"stayed": "9", "entered": "1", "departed": "6", "net": "-5"}
+    assert spark.read.parquet(f"{out}/sample").select("user_id").distinct().count() > 20
+    (tmp_path / "src" / "users" / "more.parquet").write_bytes(next((tmp_path / "src" / "users").glob("*.parquet")).read_bytes())
+    with pytest.raises(RuntimeError, match="input_listing"):
+        HistoryJob(spark, src, out, CFG, **settings).run(["migration"])
+    manifest = spark.createDataFrame([("positions", "complete", 1, None, 1, 1)], "table string, status string, rows bigint, expected_rows bigint, parts bigint, bytes bigint")
+    with pytest.raises(ValueError, match="reconciliation failed"):
+        HistoryJob(spark, src, out, CFG, manifest=manifest, **settings).run(["inventory"])
+    assert job.record_of("inventory")["status"] == "failed"

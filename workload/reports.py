@@ -504,7 +504,7 @@ c AS (SELECT rule_id, title, count(*) AS positions FROM r GROUP BY ALL), t AS (S
 SELECT rule_id, rule_positions, distinct_titles, title, positions, row_number() OVER (PARTITION BY rule_id ORDER BY positions DESC, title) AS title_rank
 FROM c JOIN t USING (rule_id) QUALIFY title_rank <= 25"""))
 def title_audit(spark, sf):
-    return D.title_audit(H.cleaned(spark, sf, keep=lambda df, name: df).valid)
+    return D.title_audit(H.cleaned(spark, sf).valid)
 
 
 def _report_sql() -> str:
