@@ -13,45 +13,46 @@ from .skew import find_hot, salted_join
 
 
 class Deduplicated:
-    """Outcome of ``dedupe_quarantine``; every frame is lazy, ``quarantine`` also in its hot-key check."""
+    """Outcome of ``dedupe_quarantine``; every frame is lazy."""
 
-    def __init__(self, rows: DataFrame, keys: DataFrame, key: list[str], columns: list[str]):
-        self._rows, self._keys, self._key, self._columns = rows, keys, key, columns
-        self._null, self._clash = any_null(key), F.col("_versions") > 1
+    def __init__(self, rows: DataFrame, keys: DataFrame, key: list[str], columns: list[str], hot: DataFrame | None):
+        self._rows, self._keys, self._key, self._columns, self._hot = rows, keys, key, columns, hot
+        self._clash = F.col("_versions") > 1
 
     @property
     def kept(self) -> DataFrame:
         """One row per sound key."""
-        return self._keys.where(~self._null & ~self._clash).select(
+        return self._keys.where(~self._clash).select(
             *self._key, *[F.col("_row")[c].alias(c) for c in self._columns])
 
     @property
     def keyed(self) -> DataFrame:
         """One row per non-NULL key: ``conflicting`` and the columns (NULL if so)."""
-        return self._keys.where(~self._null).select(
+        return self._keys.select(
             *self._key, self._clash.alias("conflicting"),
             *[F.when(~self._clash, F.col("_row")[c]).alias(c) for c in self._columns])
 
     @cached_property
     def quarantine(self) -> DataFrame:
         """Every row with a NULL or conflicting key, copies included, with its reason."""
-        clashing = self._keys.where(~self._null & self._clash).select(*self._key)
-        keyed = self._rows.where(~self._null)
-        conflicts = salted_join(keyed, clashing, self._key, "left_semi", hot=find_hot(keyed, self._key))
+        clashing = self._keys.where(self._clash).select(*self._key)
+        null = any_null(self._key)
+        keyed = self._rows.where(~null)
+        conflicts = salted_join(keyed, clashing, self._key, "left_semi", hot=self._hot)
         return (conflicts.withColumn("quarantine_reason", F.lit("conflicting_duplicate_key"))
-                .unionByName(self._rows.where(self._null).withColumn("quarantine_reason", F.lit("missing_key"))))
+                .unionByName(self._rows.where(null).withColumn("quarantine_reason", F.lit("missing_key"))))
 
     @property
     def counts(self) -> DataFrame:
         """One row; kept + collapsed + conflicting + null = rows_in."""
-        n, null, clash = F.col("_copies"), self._null, self._clash
-        one, many = ~null & ~clash, ~null & clash
-        total = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), F.lit(0).cast("bigint"))
-        return self._keys.agg(
-            total(F.lit(True), n).alias("rows_in"), F.count_if(~null).alias("distinct_keys"),
-            total(one, n - 1).alias("exact_duplicate_rows_collapsed"), F.count_if(many).alias("conflicting_keys"),
-            total(many, n).alias("rows_in_conflicting_keys"), total(null, n).alias("null_key_rows"),
-            F.count_if(one).alias("rows_kept"))
+        n, zero = F.col("_copies"), F.lit(0).cast("bigint")
+        total = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), zero)
+        lost = self._rows.where(any_null(self._key)).agg(F.count(F.lit(1)).alias("null_key_rows")).scalar()
+        got = self._keys.agg(
+            F.coalesce(F.sum(n), zero).alias("_keyed"), F.count(F.lit(1)).alias("distinct_keys"),
+            total(~self._clash, n - 1).alias("exact_duplicate_rows_collapsed"), F.count_if(self._clash).alias("conflicting_keys"),
+            total(self._clash, n).alias("rows_in_conflicting_keys"), F.count_if(~self._clash).alias("rows_kept"))
+        return got.select((F.col("_keyed") + lost).alias("rows_in"), *got.columns[1:], lost.alias("null_key_rows"))
 
 
 def _copies(df: DataFrame) -> DataFrame:
@@ -62,16 +63,25 @@ def _copies(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _per_key(df: DataFrame, key: list[str]) -> DataFrame:
-    return _copies(df).groupBy(*key).agg(
+def _per_key(df: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame:
+    """Per non-NULL key: number of contents, of rows, and one content.
+
+    Placed by key, both aggregates run behind one shuffle.  When some key is hot, rows stay
+    where they are and copies collapse map-side first, at the price of a second shuffle.
+    """
+    rows = df.where(~any_null(key))
+    placed = rows.repartition(*key) if hot is None else rows
+    payload = [c for c in df.columns if c not in key]
+    return _copies(placed).groupBy(*key).agg(
         F.count(F.lit(1)).alias("_versions"), F.sum("_n").alias("_copies"),
-        F.first(F.struct(*[c for c in df.columns if c not in key] or [F.lit(None).alias("_none")])).alias("_row"))
+        F.first(F.struct(*payload) if payload else F.struct(F.lit(None).alias("_none"))).alias("_row"))
 
 
 def dedupe_quarantine(df: DataFrame, key: list[str], columns: list[str]) -> Deduplicated:
     """Collapse exact copies; set aside rows with a NULL key or a key with several contents."""
     rows = df.select(*key, *columns)
-    return Deduplicated(rows, _per_key(rows, key), key, columns)
+    hot = find_hot(df, key)
+    return Deduplicated(rows, _per_key(rows, key, hot), key, columns, hot)
 
 
 def key_checks(df: DataFrame, key: list[str] | None) -> DataFrame:
