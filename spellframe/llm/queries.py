@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, pii
+from . import bpe, decontaminate, exact_dedup, jaccard, licenses, pii
 from .common import read
 
 WORD_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -23,6 +23,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), ids=False)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def _phrases() -> str:
     rows = [(p, v, "true") for p, v in licenses.BASE_PHRASES.items()] + [(p, v, "false") for p, v in licenses.WORDINGS.items()]
     return ", ".join(f"({i}, string_split('{p}', ' '), '{v}', {b})" for i, (p, v, b) in enumerate(rows))
@@ -119,6 +127,7 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op5_pii": op5_pii, "op6_exact_dedup": op6_exact_dedup,
+    "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe, "op5_pii": op5_pii,
+    "op6_exact_dedup": op6_exact_dedup, "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE = {"op2_license_scan": LICENSE_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op5_pii": PII_SQL, "op6_exact_dedup": EXACT_SQL}
