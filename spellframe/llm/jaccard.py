@@ -7,12 +7,11 @@
    similarity reaches the threshold is a Beta tail; below ``TOLERANCE`` the pair is dropped.  A pair is only looked at in the
    first band where its classes agree.  Buckets over ``BLOCK`` members are cut into blocks and each pair of
    blocks is a task's work of its own: nothing is capped, and pairs leave a task only when they survive.
-4. Survivors are verified on the exact sets of n-gram hashes (64 bits).  A set is sent once per bucket block in which its class has a survivor,
-   not once per pair.
-5. Components of the verified links are labelled by repeated minimum with pointer jumping, staged every round.
+4. Survivors leave a task as one packed list per member and a forest of edges.  The forest's components are clusters; a cluster's sets of
+   n-gram hashes (64 bits) are sent once to each pair of its blocks that has survivors, and the survivors are verified there on the whole sets.
+5. Verified links leave as counts per class and again a forest; its components, by repeated minimum with pointer jumping, are the groups.
 
-Links between different texts number up to the square of a group of near copies; they stay inside tasks and leave as counts per class
-and one edge per link for the components.
+Links between different texts number up to the square of a group of near copies: all are verified, but they stay inside tasks.
 
 Cases: null and empty texts have no words, no links and a group of their own; texts of 1 to n - 1 words have one n-gram of all words;
 rows that repeat an id each get a result row; a row without an id gets no links but its class; an empty table gives an empty result; other
@@ -38,6 +37,8 @@ BANDS, ROWS = 32, 4
 STEP = 16
 TOLERANCE = 1e-7
 BLOCK = 1_024
+#: Ids that may be broadcast, 8 bytes each; beyond, the join shuffles.
+BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(77)
 _MASK = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -131,6 +132,7 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 GROUP = ["band", "value", "bi", "bj"]
+PLACE = ["label", "pi", "pj"]
 
 
 def _survivors(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +144,7 @@ def _survivors(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[
         starts = _starts(table, GROUP)
         stops = np.append(starts[1:], n)
         left_in_group = np.repeat(stops, stops - starts) - np.arange(n)
-        rows, number = np.arange(n), np.repeat(np.arange(len(starts)), stops - starts)
+        rows, left, right = np.arange(n), [], []
         d = 0
         while len(rows := rows[left_in_group[rows] > d + 1]):
             d += 1
@@ -152,17 +154,61 @@ def _survivors(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[
             for s, fewest in enumerate(least):
                 if not len(i):
                     break
-                got = (sig[i, :STEP * (s + 1)] == sig[j, :STEP * (s + 1)]).sum(1) if s else (sig[i, :STEP] == sig[j, :STEP]).sum(1)
-                i, j = i[got >= fewest], j[got >= fewest]
-            if not len(i):
-                continue
-            agree = wide[i] == wide[j]
-            first = agree.argmax(1) == band[i]
-            i, j = i[first], j[first]
+                enough = (sig[i, :STEP * (s + 1)] == sig[j, :STEP * (s + 1)]).sum(1) >= fewest
+                i, j = i[enough], j[enough]
             if len(i):
-                a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-                gid = number[i]
-                yield pa.RecordBatch.from_arrays([table.column(k).combine_chunks().take(pa.array(starts[gid])) for k in GROUP] + [pa.array(a), pa.array(b)], [*GROUP, "a", "b"])
+                first = (wide[i] == wide[j]).argmax(1) == band[i]
+                left.append(i[first])
+                right.append(j[first])
+        if left and sum(map(len, left)):
+            yield _packed(rep, np.concatenate(left), np.concatenate(right))
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For edges i-j among n nodes, edges (node, smallest node of its component) that connect the same nodes."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    nodes = np.flatnonzero(label != np.arange(n))
+    return nodes, label[nodes]
+
+
+def _packed(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Rows (a, partners) with all partners of one member, and rows (a, b) of a forest over the same pairs."""
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    cuts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+    lists = [x.tobytes() for x in np.split(rep[j], cuts[1:])]
+    nodes, roots = forest(len(rep), i, j)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([rep[i[cuts]], rep[nodes]])), pa.array(lists + [None] * len(nodes), pa.binary()),
+        pa.array([None] * len(cuts) + rep[roots].tolist(), pa.int64())], ["a", "partners", "b"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member's partners by pair of blocks of its cluster, and the members that a pair of blocks needs (partners null)."""
+    for batch in batches:
+        rows, needed = [], set()
+        for a, partners, label, blocks in zip(*(batch.column(c).to_pylist() for c in ("a", "partners", "label", "blocks")), strict=True):
+            others = np.frombuffer(partners, np.int64)
+            own = a % blocks
+            theirs = others % blocks
+            for block in np.unique(theirs).tolist():
+                some = others[theirs == block]
+                place = (label, min(own, block), max(own, block))
+                rows.append((*place, a, some.tobytes()))
+                needed.add((*place, a))
+                needed.update((*place, x) for x in some.tolist())
+        rows += [(*x, None) for x in needed]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], [*PLACE, "a", "partners"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -173,34 +219,52 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), pa.array(out, pa.binary())], ["rep", "grams"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    sets: dict[int, np.ndarray] = {}
+def _similarity(x: np.ndarray, y: np.ndarray, threshold: float) -> float:
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return 0.0
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (len(both) - common)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, others): links of a forest; ``others`` counts the documents linked to a in this place.  With ``pairs`` every link is a row."""
+    sets: dict[int, tuple[np.ndarray, int]] = {}
+    found: list[tuple[int, int]] = []
     at: tuple | None = None
+
+    def close() -> pa.RecordBatch:
+        names = np.array(sorted(sets), np.int64)
+        ends = np.searchsorted(names, np.array(found, np.int64).reshape(-1, 2))
+        i, j = ends[:, 0], ends[:, 1]
+        copies = np.array([sets[x][1] for x in names.tolist()], np.int64)
+        others = np.zeros(len(names), np.int64)
+        np.add.at(others, i, copies[j])
+        np.add.at(others, j, copies[i])
+        x, y = (i, j) if pairs else forest(len(names), i, j)
+        some = np.flatnonzero(others)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([names[x], names[some]])), pa.array(names[y].tolist() + [None] * len(some), pa.int64()),
+            pa.array(np.concatenate([np.zeros(len(x), np.int64), others[some]]))], ["a", "b", "others"])
+
     for batch in batches:
-        columns = [batch.column(k).to_numpy() for k in GROUP]
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy(zero_copy_only=False)
-        grams = batch.column("grams")
-        out_a, out_b, out_s = [], [], []
-        is_set = np.asarray(grams.is_valid())
+        columns = [batch.column(k).to_numpy() for k in PLACE]
+        a, copies = batch.column("a").to_pylist(), batch.column("copies").to_pylist()
+        partners, grams = batch.column("partners"), batch.column("grams")
         for r in range(batch.num_rows):
             here = tuple(c[r] for c in columns)
             if here != at:
-                sets, at = {}, here
-            if is_set[r]:
-                sets[int(a[r])] = np.frombuffer(grams[r].as_py(), np.uint64)
+                if found:
+                    yield close()
+                sets, found, at = {}, [], here
+            if grams[r].is_valid:
+                sets[a[r]] = (np.frombuffer(grams[r].as_py(), np.uint64), copies[r])
                 continue
-            x, y = sets[int(a[r])], sets[int(b[r])]
-            if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                continue
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            similarity = common / (len(x) + len(y) - common)
-            if similarity >= threshold:
-                out_a.append(int(a[r]))
-                out_b.append(int(b[r]))
-                out_s.append(similarity)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.float64())], ["a", "b", "similarity"])
+            mine = sets[a[r]][0]
+            found += [(a[r], b) for b in np.frombuffer(partners[r].as_py(), np.int64).tolist() if _similarity(mine, sets[b][0], threshold) >= threshold]
+    if found:
+        yield close()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,9 +281,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def repeated_ids(rows: DataFrame) -> bool:
+    """Whether an id stands in several rows."""
+    return not rows.groupBy("id").count().where("count > 1").isEmpty()
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                  threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(membership: id, rep, n_words and copies of its class; links: a, b, similarity between representatives), both staged."""
+                  threshold: float = THRESHOLD, pairs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(membership: id, rep, n_words and copies of its class; links between representatives as rows (a, b), a forest of them unless ``pairs``,
+    and rows (a, others) that count the documents linked to a)."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = stage(plain.mapInArrow(lambda it: _signatures(it, words), "id long, n_words long, c1 long, c2 long, sig binary"), "signatures")
     # Texts without words have no class but their own row.
@@ -238,17 +308,25 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, _ = row_counts(met.withColumn("text", F.lit("")))
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, rows // 40_000)
     least = least_matches(threshold)
-    pairs = stage(met.join(kinds.select("rep", "sig"), "rep").repartition(parts, *GROUP).sortWithinPartitions(*GROUP)
-                     .mapInArrow(lambda it: _survivors(it, least), "band int, value long, bi int, bj int, a long, b long"), "candidates")
-    ends = pairs.select(*GROUP, F.explode(F.array("a", "b")).alias("a")).distinct()
-    wanted = ends.select(F.col("a").alias("rep")).distinct()
-    sets = stage(plain.withColumnRenamed("id", "rep").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+    found = stage(met.join(kinds.select("rep", "sig"), "rep").repartition(parts, *GROUP).sortWithinPartitions(*GROUP)
+                     .mapInArrow(lambda it: _survivors(it, least), "a long, partners binary, b long"), "candidates")
+    # Clusters of candidates: where their sets meet.
+    labels = stage(components(found.where("b IS NOT NULL")), "clusters")
+    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    where = labels.join(sizes, "label").withColumnRenamed("node", "a")
+    placed = stage(found.where("partners IS NOT NULL").select("a", "partners").join(where, "a")
+                        .mapInArrow(_placed, "label long, pi long, pj long, a long, partners binary"), "placed")
+    ends = placed.where("partners IS NULL").select(*PLACE, "a").distinct()
+    wanted = labels.select(F.col("node").alias("rep"))
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sets = stage(plain.withColumnRenamed("id", "rep").join(wanted, "rep", "left_semi")
                       .mapInArrow(lambda it: _sets(it, words), "rep long, grams binary"), "sets")
-    # Sets before pairs within a group: a null b sorts first.
-    sent = ends.join(sets.withColumnRenamed("rep", "a"), "a").select(*GROUP, "a", F.lit(None).cast("long").alias("b"), "grams")
-    mixed = sent.unionByName(pairs.withColumn("grams", F.lit(None).cast("binary")))
-    links = stage(mixed.repartition(parts, *GROUP).sortWithinPartitions(*GROUP, F.col("b").asc_nulls_first())
-                       .mapInArrow(lambda it: _verified(it, threshold), "a long, b long, similarity double"), "links")
+    sets = sets.groupBy(F.col("rep").alias("a")).agg(F.first("grams").alias("grams")) if repeated_ids(marked) else sets.withColumnRenamed("rep", "a")
+    sent = ends.join(sets, "a").join(kinds.select(F.col("rep").alias("a"), "copies"), "a").select(*PLACE, "a", F.lit(None).cast("binary").alias("partners"), "grams", "copies")
+    lists = placed.where("partners IS NOT NULL").withColumn("grams", F.lit(None).cast("binary")).withColumn("copies", F.lit(None).cast("long"))
+    links = stage(sent.unionByName(lists).repartition(parts, *PLACE).sortWithinPartitions(*PLACE, F.col("partners").isNotNull())
+                      .mapInArrow(lambda it: _verified(it, threshold, pairs), "a long, b long, others long"), "links")
     member = marked.select("id", "n_words", "c1", "c2").join(kinds.select("c1", "c2", "n_words", "copies", "rep"), ["c1", "c2", "n_words"], "left")
     return member.select("id", "n_words", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), links
 
@@ -257,10 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: id, class_id (smallest id with the same words), group_id (smallest id linked over any path), n_links (other
     documents at the threshold or above), n_words."""
     member, links = jaccard_links(docs, id_col, text_col, words, threshold)
-    sizes = member.groupBy("rep").agg(F.max("copies").alias("copies"))
-    ends = links.select("a", "b").union(links.select("b", "a"))
-    partners = (ends.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others")))
-    known = components(links).withColumnRenamed("node", "rep").join(partners, "rep", "left")
+    partners = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
+    known = components(links.where("b IS NOT NULL")).withColumnRenamed("node", "rep").join(partners, "rep", "left")
     return member.join(known, "rep", "left").select(
         F.col("id").alias(id_col), F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("group_id"),
         (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "n_words")
