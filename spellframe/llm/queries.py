@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, licenses, pii, quality
+from . import bpe, decontaminate, exact_dedup, jaccard, licenses, main_text, pii, quality, toxicity
 from .common import read
 
 WORD_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -35,6 +35,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.importance(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "log_weight", "gumbel_key", "kept")
@@ -133,6 +141,7 @@ FROM d LEFT JOIN a USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe, "op5_pii": op5_pii,
-    "op6_exact_dedup": op6_exact_dedup, "op9_quality": op9_quality, "op10_jaccard_join": op10_jaccard_join,
+    "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op8_main_text": op8_main_text,
+    "op9_quality": op9_quality, "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE = {"op2_license_scan": LICENSE_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op5_pii": PII_SQL, "op6_exact_dedup": EXACT_SQL}

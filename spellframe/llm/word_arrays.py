@@ -50,10 +50,10 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, index of each row's first word and the total)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, index of each row's first word and the total); with prefixes, one column more for each length in bytes."""
     if not len(data):
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, _U), np.zeros(len(offsets), np.int64)
     low = _FOLD[data]
     inside = low != 0
     first = inside.copy()
@@ -66,8 +66,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     with np.errstate(over="ignore"):
         np.cumsum(np.where(inside, _VALUE[low], _U(0)) * _power("ahead", _STEP, len(data)), out=summed[1:])
         ends = np.append(starts[1:], len(data))
+        back = _power("back", _BACK, len(data))[starts]
         # Separators add nothing, so the sum up to the next word is the sum of this one.
-        hashes = mix((summed[ends] - summed[starts]) * _power("back", _BACK, len(data))[starts] + _U(0x51))
+        hashes = mix((summed[ends] - summed[starts]) * back + _U(0x51))
+        if prefixes:
+            hashes = np.stack([hashes] + [mix((summed[np.minimum(starts + k, ends)] - summed[starts]) * back + _U(0x51 + 2 * k)) for k in prefixes], axis=1)
     return hashes, np.searchsorted(starts, offsets)
 
 
