@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spellframe.llm import decontaminate, exact_dedup
+from spellframe.llm import bpe, decontaminate, exact_dedup, jaccard, quality
 from spellframe.llm.common import read, stage
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that the quality sample rejects go."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: one document of equal texts stays."""
     return exact_dedup.keep_first_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: the smallest id of each group of near copies stays."""
+    return jaccard.keep_one_of_each(docs)
+
+
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents with a window of a benchmark item go."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact dedup", exact_copies), ("benchmark decontamination", benchmark_passages)]
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: ids of each text, their digest, and the digest of the bytes they decode to."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("byte-level BPE", token_ids),
+]
+#: Fitted models, MinHash groups and merges of a vocabulary are beyond SQL.
 ORACLE_SQL = None
 
 

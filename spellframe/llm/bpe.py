@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBER = 400_000
+REMEMBER = 1_500_000
 LONGEST_REMEMBERED = 48
 
 

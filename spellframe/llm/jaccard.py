@@ -186,10 +186,11 @@ def _packed(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     i, j = i[order], j[order]
     cuts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
     lists = [x.tobytes() for x in np.split(rep[j], cuts[1:])]
-    nodes, roots = forest(len(rep), i, j)
+    names, number = np.unique(rep, return_inverse=True)
+    nodes, roots = forest(len(names), number[i], number[j])  # towards the smallest, so that buckets agree
     return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([rep[i[cuts]], rep[nodes]])), pa.array(lists + [None] * len(nodes), pa.binary()),
-        pa.array([None] * len(cuts) + rep[roots].tolist(), pa.int64())], ["a", "partners", "b"])
+        pa.array(np.concatenate([rep[i[cuts]], names[nodes]])), pa.array(lists + [None] * len(nodes), pa.binary()),
+        pa.array([None] * len(cuts) + names[roots].tolist(), pa.int64())], ["a", "partners", "b"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +270,8 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float, pairs: bool)
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over links a-b, for the nodes that have links."""
-    both = stage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    once = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    both = stage(once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
