@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_counts, stage
+from .common import row_counts
 from .word_arrays import _BACK, _STEP, _U, _VALUE, _power, mix, pieces
 
 LENGTH = 50
 GRAM = 24
 #: Bytes of corpus that a bucket stands for.
 BUCKET_BYTES = 16_000_000
+#: Bytes of documents that meet their results together.
+GROUP_BYTES = 4_000_000
 #: Bytes of segments whose suffixes are sorted at once.
 SORT_BYTES = 1_500_000
 NOBODY = np.iinfo(np.int64).max
@@ -115,15 +117,17 @@ def _met(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
                 bucket = (h % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
-                ids = keys[a:b].tobytes()
                 for group in np.split(order, cuts[1:]) if len(order) else []:
-                    out.append((int(bucket[group[0]]), _low(h[group]).tobytes(), mark[group].tobytes(), ids))
+                    marks = mark[group]
+                    used = np.unique(marks[marks != 65_535])
+                    marks = np.where(marks == 65_535, 65_535, np.searchsorted(used, marks)).astype(np.uint16)
+                    out.append((int(bucket[group[0]]), _low(h[group]).tobytes(), marks.tobytes(), keys[a:b][used].tobytes()))
                 columns = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]], names)
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """(key, low) of the anchors that another piece, or another row of the piece, has too."""
+def _shared(table: pa.Table, groups: int) -> pa.Table:
+    """By group of documents, (key, low) of the anchors that another piece, or another row of the piece, has too."""
     lows = [np.frombuffer(x, np.uint32) for x in table.column("lows").to_pylist()]
     if table.column("bucket")[0].as_py() < 0:
         key = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("names").to_pylist()])
@@ -133,7 +137,7 @@ def _shared(table: pa.Table) -> pa.Table:
         for marks, ids in zip(table.column("rows").to_pylist(), table.column("names").to_pylist(), strict=True):
             marks, ids = np.frombuffer(marks, np.uint16), np.frombuffer(ids, np.int64)
             real.append(marks != 65_535)
-            key.append(ids[np.where(real[-1], marks, 0)])
+            key.append(ids[np.where(real[-1], marks, 0)] if len(ids) else np.zeros(len(marks), np.int64))
         low, key, real = np.concatenate(lows), np.concatenate(key), np.concatenate(real)
         order = np.argsort(low, kind="stable")
         low, key, real = low[order], key[order], real[order]
@@ -141,27 +145,42 @@ def _shared(table: pa.Table) -> pa.Table:
         same[1:] = low[1:] == low[:-1]
         same[:-1] |= same[1:].copy()
         low, key = low[same & real], key[same & real]
-    # One list per key.
-    order = np.argsort(key, kind="stable")
-    key, low = key[order], low[order].view(np.int32)
-    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(cuts, len(key)).astype(np.int32)
-    return pa.table({"key": key[cuts], "lows": pa.ListArray.from_arrays(pa.array(ends), pa.array(low))})
-
-
-def _segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Entries by bucket, and (bucket null) runs that are settled inside the piece."""
-    for batch in batches:
-        keys, docs = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
-        known = batch.column("lows")
+    return _by_group(groups, key, low)
+
+
+def _by_group(groups: int, key: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """One row per group of documents with the packed values of its keys."""
+    group = np.mod(key, groups)
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))[:len(order)]
+    parts = np.split(order, cuts[1:]) if len(order) else []
+    packed = {f"c{n}": pa.array([c[p].tobytes() for p in parts], pa.binary()) for n, c in enumerate((key, *columns))}
+    return pa.table({"part": pa.array([int(group[p[0]]) for p in parts], pa.int64()), **packed})
+
+
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()] or [np.zeros(0, kind)])
+
+
+def _pair(key: np.ndarray, low: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(key.astype(_U) * _STEP + low.astype(_U))
+
+
+def _segments(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
+    """Entries by bucket, and (bucket < 0) runs that are settled inside the group of documents."""
+    names = ["bucket", "keys", "docs", "places", "lengths", "lows", "content"]
+    kinds = [pa.int64()] + [pa.binary()] * 6
+    wanted = np.unique(_pair(_joined(found, "c0", np.int64), _joined(found, "c1", np.uint32)))
+    tables = []
+    for batch in docs.combine_chunks().to_batches() if len(wanted) else []:
+        keys, docs_of = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
         for a, b, data, offsets in pieces(batch.column("text")):
             h, first, last, row, total = anchors(data, offsets)
-            lists = [np.concatenate([np.asarray(y, np.int64) for y in x.as_py()]) if len(x) else np.zeros(0, np.int64) for x in known.slice(a, b - a)]
-            wanted = np.concatenate([(np.int64(i) << 32) | (x & 0xFFFFFFFF) for i, x in enumerate(lists)]) if lists else np.zeros(0, np.int64)
-            use = np.flatnonzero(np.isin((row << 32) | _low(h).astype(np.int64), wanted))
+            use = np.flatnonzero(np.isin(_pair(keys[a:b][row], _low(h)), wanted))
             h, first, last, row = h[use], first[use], last[use], row[use]
             stop = last + LENGTH
-            content, doc, key, place = _stretch(total, first, stop, len(data)), docs[a:b][row], keys[a:b][row], first - offsets[row]
+            content, doc, key, place = _stretch(total, first, stop, len(data)), docs_of[a:b][row], keys[a:b][row], first - offsets[row]
             order = np.lexsort((doc, content))
             new = np.append(True, content[order][1:] != content[order][:-1])[:len(order)]
             least = np.zeros(len(order), np.int64)
@@ -171,7 +190,7 @@ def _segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
             out = []
             if later.any():
                 k, s, e = _union(key[later], place[later], (place + stop - first)[later])
-                out.append((None, k.tobytes(), None, s.astype(np.int32).tobytes(), e.astype(np.int32).tobytes(), None, None))
+                out.append((-1 - int(k[0] % buckets), k.tobytes(), None, s.astype(np.int32).tobytes(), e.astype(np.int32).tobytes(), None, None))
             go = np.flatnonzero(~later)
             bucket = (h[go] % _U(buckets)).astype(np.int64)
             go = go[np.argsort(bucket, kind="stable")]
@@ -182,9 +201,8 @@ def _segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
                 at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[group], lengths)
                 out.append((int(h[group[0]] % _U(buckets)), key[group].tobytes(), doc[group].tobytes(), place[group].astype(np.int32).tobytes(), lengths.astype(np.int32).tobytes(),
                             _low(h[group]).tobytes(), zlib.compress(data[at].tobytes(), 1)))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]],
-                                             ["bucket", "keys", "docs", "places", "lengths", "lows", "content"])
+            tables.append(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True)], names))
+    return pa.concat_tables(tables) if tables else pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
 
 
 def _union(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,10 +292,12 @@ def _decide(segments: np.ndarray, lengths: np.ndarray, key: np.ndarray, doc: np.
     return key[entry[first]], start[first], start[last] + LENGTH
 
 
-def _removed(table: pa.Table) -> pa.Table:
-    """Removed runs of one bucket, a part of its hashes at a time."""
-    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    key, doc, place, lengths, lows = joined("keys", np.int64), joined("docs", np.int64), joined("places", np.int32).astype(np.int64), joined("lengths", np.int32).astype(np.int64), joined("lows", np.uint32)
+def _removed(table: pa.Table, groups: int) -> pa.Table:
+    """Removed runs of one bucket, a part of its hashes at a time, by group of documents."""
+    key, place, lengths = _joined(table, "keys", np.int64), _joined(table, "places", np.int32).astype(np.int64), _joined(table, "lengths", np.int32).astype(np.int64)
+    if table.column("bucket")[0].as_py() < 0:  # settled: places and ends
+        return _by_group(groups, key, place.astype(np.int32), lengths.astype(np.int32))
+    doc, lows = _joined(table, "docs", np.int64), _joined(table, "lows", np.uint32)
     data = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in table.column("content").to_pylist()])
     begin = np.cumsum(lengths) - lengths
     order = np.argsort(lows, kind="stable")
@@ -290,62 +310,42 @@ def _removed(table: pa.Table) -> pa.Table:
         n = lengths[group]
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[group], n)
         out.append(_decide(data[at], n, key[group], doc[group], place[group]))
-    return _run_lists(*_union(*(np.concatenate(x) for x in zip(*out, strict=True))))
-
-
-def _run_lists(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Table:
-    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    both = np.stack([start, stop], axis=1).astype(np.int32).reshape(-1)
-    return pa.table({"key": key[cuts], "runs": pa.ListArray.from_arrays(pa.array((np.append(cuts, len(key)) * 2).astype(np.int32)), pa.array(both))})
-
-
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k, s, e in zip(*(batch.column(c).to_pylist() for c in ("keys", "places", "lengths")), strict=True):
-            yield from _run_lists(np.frombuffer(k, np.int64), np.frombuffer(s, np.int32), np.frombuffer(e, np.int32)).to_batches()
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
-            data = (text.as_py() or "").encode()
-            lists = runs.as_py() or []
-            ends = np.concatenate([np.asarray(x, np.int64) for x in lists]).reshape(-1, 2) if lists else np.zeros((0, 2), np.int64)
-            _, start, stop = _union(np.zeros(len(ends), np.int64), ends[:, 0], ends[:, 1])
-            left, at = [], 0
-            for s, e in zip(start.tolist(), stop.tolist(), strict=True):
-                left.append(data[at:s])
-                at = e
-            left.append(data[at:])
-            out.append((len(data), int((stop - start).sum()), len(start), b"".join(left)))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        digests = [hashlib.sha256(x).hexdigest() for x in columns[3]]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(digests, pa.string()), pa.array(columns[3], pa.binary())],
-                                         ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def removed_runs(docs: DataFrame, bytes_of_text: int) -> DataFrame:
-    """(key, lists of starts and stops) for rows (doc_id, doc, key, text)."""
-    buckets = max(1, bytes_of_text // BUCKET_BYTES)
-    met = docs.select("key", "text").mapInArrow(lambda it: _met(it, buckets), "bucket long, lows binary, rows binary, names binary")
-    shared = met.groupBy("bucket").applyInArrow(_shared, "key long, lows array<int>")
-    shared = shared.groupBy("key").agg(F.collect_list("lows").alias("lows"))
-    cut = docs.join(shared, "key").select("key", "doc", "text", "lows").mapInArrow(
-        lambda it: _segments(it, buckets), "bucket long, keys binary, docs binary, places binary, lengths binary, lows binary, content binary")
-    return cut
+    key, start, stop = _union(*(np.concatenate(x) for x in zip(*out, strict=True)))
+    return _by_group(groups, key, start.astype(np.int32), stop.astype(np.int32))
+
+
+def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """What remains of each document."""
+    key, start, stop = _union(_joined(found, "c0", np.int64), _joined(found, "c1", np.int32).astype(np.int64), _joined(found, "c2", np.int32).astype(np.int64))
+    out = []
+    for k, text in zip(docs.column("key").to_pylist(), docs.column("text"), strict=True):
+        data = text.as_py().encode()
+        here = slice(np.searchsorted(key, k), np.searchsorted(key, k, "right"))
+        left, at = [], 0
+        for s, e in zip(start[here].tolist(), stop[here].tolist(), strict=True):
+            left.append(data[at:s])
+            at = e
+        left.append(data[at:])
+        out.append((len(data), int((stop[here] - start[here]).sum()), len(left) - 1, b"".join(left)))
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()),
+                     "n_spans": pa.array(columns[2], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in columns[3]], pa.string()),
+                     "kept": pa.array(columns[3], pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes."""
     _, size = row_counts(docs, text_col)
+    buckets, groups = max(1, size // BUCKET_BYTES), max(1, size // GROUP_BYTES)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("doc"),
                        F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
-    cut = stage(removed_runs(rows, size), "segments")
-    settled = cut.where("bucket IS NULL").select("keys", "places", "lengths").mapInArrow(_settled, "key long, runs array<int>")
-    decided = cut.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_removed, "key long, runs array<int>")
-    runs = settled.unionByName(decided).groupBy("key").agg(F.collect_list("runs").alias("runs"))
-    found = rows.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(
+    placed = rows.select("*", F.pmod("key", F.lit(groups)).alias("part"))
+    met = rows.select("key", "text").mapInArrow(lambda it: _met(it, buckets), "bucket long, lows binary, rows binary, names binary")
+    shared = met.groupBy("bucket").applyInArrow(lambda t: _shared(t, groups), "part long, c0 binary, c1 binary")
+    cut = placed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
+        lambda d, f: _segments(d, f, buckets), "bucket long, keys binary, docs binary, places binary, lengths binary, lows binary, content binary")
+    runs = cut.groupBy("bucket").applyInArrow(lambda t: _removed(t, groups), "part long, c0 binary, c1 binary, c2 binary")
+    found = placed.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return found.withColumnRenamed("doc_id", id_col)
