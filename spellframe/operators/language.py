@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.periods import _col
-from .skew import spread_small
+from ..session import stage
 
 GRAM = 3
-VOCABULARY = 50_000        # rows of the model: bounds what is broadcast
 PASSAGE_CHARS = 400
 _END = r"\n.!?。！？"
 _PASSAGE = f"[^{_END}]{{0,{PASSAGE_CHARS}}}[{_END}]+|[^{_END}]{{1,{PASSAGE_CHARS}}}"
@@ -36,28 +35,24 @@ def _grams(text: Column) -> Column:
 
 def passages(df: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, pos, passage): consecutive pieces that together are the whole text."""
-    return spread_small(df.select(ident, text)).select(ident, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_PASSAGE), F.lit(0))).alias("pos", "passage"))
+    return df.select(ident, text).select(ident, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_PASSAGE), F.lit(0))).alias("pos", "passage"))
 
 
-def language_profiles(labelled: DataFrame, text: str, label: str, labels: list[str], alpha: float = 0.5,
-                      vocabulary: int = VOCABULARY) -> DataFrame:
-    """(gram, logp array in the order of ``labels``) for the most frequent grams."""
-    pieces = spread_small(labelled.where(F.col(label).isin(*labels)).select(label, text)).select(
+def language_profiles(labelled: DataFrame, text: str, label: str, labels: list[str], alpha: float = 0.5) -> DataFrame:
+    """(gram, logp array in the order of ``labels``) for all grams of the labelled texts."""
+    pieces = labelled.where(F.col(label).isin(*labels)).select(label, text).select(
         label, F.explode(F.regexp_extract_all(F.col(text), F.lit(_PASSAGE), F.lit(0))).alias("p"))
     number = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label))  # compared per gram: an int is cheaper
     grams = pieces.select(number.alias("_l"), _grams(F.col("p")).alias("_g")).select("_l", F.explode("_g").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_all"),
-                                       *[F.count_if(F.col("_l") == i + 1).alias(f"_c{i}") for i in range(len(labels))])
-    kept = counts.orderBy(F.col("_all").desc(), "gram").limit(vocabulary)
-    model = Window.partitionBy()  # at most ``vocabulary`` rows
-    size = F.count(F.lit(1)).over(model)
-    share = lambda c: F.log((F.col(c) + alpha) / (F.sum(c).over(model) + F.lit(alpha) * size))
-    return kept.select("gram", F.array(*[share(f"_c{i}") for i in range(len(labels))]).alias("logp"))
+    counts = stage(grams.groupBy("gram").agg(*[F.count_if(F.col("_l") == i + 1).alias(f"_c{i}") for i in range(len(labels))]), "gram_counts")
+    total = counts.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(labels))]).first()  # one row
+    share = lambda c: F.log((F.col(c) + alpha) / F.lit((total[c] or 0) + alpha * total["n"]))
+    return counts.select("gram", F.array(*[share(f"_c{i}") for i in range(len(labels))]).alias("logp"))
 
 
 def _log_scores(pieces: DataFrame, keys: list[str], profiles: DataFrame, labels: list[str], text: str) -> DataFrame:
     grams = pieces.select(*keys, F.explode(_grams(F.col(text))).alias("gram"))
-    hit = grams.join(F.broadcast(profiles), "gram")
+    hit = grams.join(profiles, "gram")
     return hit.groupBy(*keys).agg(*[F.sum(F.col("logp")[i]).alias(f"_s{i}") for i in range(len(labels))])
 
 
@@ -80,7 +75,7 @@ def score_passages(df: DataFrame, ident: str, text: str, profiles: DataFrame, la
     sized = parts.select(ident, "pos", F.length("passage").alias("_len"), letters("passage").alias("_letters"),
                          _grams(F.col("passage")).alias("_g"))
     grams = sized.select(ident, "pos", "_len", "_letters", F.explode_outer("_g").alias("gram"))
-    hit = grams.join(F.broadcast(profiles), "gram", "left")
+    hit = grams.join(profiles, "gram", "left")
     scored = hit.groupBy(ident, "pos").agg(
         F.max("_len").alias("_len"), F.max("_letters").alias("letters"),
         *[F.sum(F.col("logp")[i]).alias(f"_s{i}") for i in range(len(labels))])

@@ -83,18 +83,3 @@ def semi_join(df: DataFrame, ids: DataFrame, on: list[str], measure: DataFrame |
     """
     wanted = ids.select(*on).distinct()
     return salted_join(df, wanted, on, "left_semi", hot=find_hot(df if measure is None else measure, on))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on an input of few, small files.
-
-    Repartitions only when there are fewer files than cores and less data than the cores
-    would read as full splits anyway; a large input keeps its splits and is not shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = 128 * 1024 * 1024
-    if 0 < len(df._jdf.inputFiles()) < cores and size < cores * split:
-        return df.repartition(cores)
-    return df

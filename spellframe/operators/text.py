@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
-from .skew import find_hot, salted_join, spread_small
+from .skew import find_hot, salted_join
 
 _TELLTALE = re.compile("</?(?:" + "|".join(V.HTML_TELLTALE) + r")\b", re.IGNORECASE)
 _BLOCK = "(?:" + "|".join(V.HTML_SPACING_BLOCKS) + ")"
@@ -100,7 +100,7 @@ def _clean_udf(texts: pd.Series) -> pd.DataFrame:
 
 def clean_html(df: DataFrame, column: str, html: str = "clean_html", text: str = "clean_text") -> DataFrame:
     """Adds safe markup and plain text of ``column``; one pass over the partition's batches."""
-    return (spread_small(df).withColumn("_clean", _clean_udf(column))
+    return (df.withColumn("_clean", _clean_udf(column))
               .select("*", F.col("_clean.html").alias(html), F.col("_clean.text").alias(text)).drop("_clean"))
 
 
@@ -121,7 +121,7 @@ def _blank(c: Column) -> Column:
 
 def audit_evidence(results: DataFrame, sources: DataFrame, languages: DataFrame,
                    allowed_languages=V.LANGUAGE_GROUPS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(valid results, failures with error lists, ids without a result).
+    """(valid results, failures with error lists, ids without a valid result).
 
     ``results``: record_id, detected_languages, reading_status, reading_note, skills,
     education_requirements (arrays of english/quote); ``sources``: record_id, description;
@@ -157,7 +157,7 @@ def audit_evidence(results: DataFrame, sources: DataFrame, languages: DataFrame,
     marked = j.withColumn("errors", errors)
     valid = marked.where(F.size("errors") == 0).select(*results.columns)
     failures = marked.where(F.size("errors") > 0).select("record_id", F.lit("invalid_evidence").alias("category"), "errors")
-    missing = sources.select("record_id").join(results.select("record_id").distinct(), "record_id", "left_anti")
+    missing = sources.select("record_id").join(valid.select("record_id").distinct(), "record_id", "left_anti")
     return valid, failures, missing
 
 
@@ -166,11 +166,11 @@ def request_audit(requests: DataFrame, sources: DataFrame, model: str) -> DataFr
     schema = ("model string, temperature double, reasoning_effort string, max_tokens int, "
               "messages array<struct<role:string,content:string>>")
     b = F.from_json("body", schema)
-    content = b["messages"][1]["content"]
+    content = F.get(b["messages"], F.lit(1))["content"]
     sent = F.from_json(F.expr("substring(_c, instr(_c, '['))"), "array<map<string,string>>")
     want = V.REQUEST_SETTINGS
     parsed = requests.withColumn("_b", b).withColumn("_c", content).withColumn("_s", sent)
-    first = F.col("_s")[0]
+    first = F.get("_s", F.lit(0))
     rows = parsed.select(
         first["record_id"].alias("record_id"), first["description"].alias("_d"), first["title"].alias("_t"),
         (F.col("_b.model").eqNullSafe(model) & F.col("_b.temperature").eqNullSafe(want["temperature"])

@@ -10,7 +10,6 @@ from spellframe.operators import language as G
 from spellframe.operators import quality as Q
 from spellframe.operators import sampling as S
 from spellframe.operators import text as X
-from spellframe.operators.skew import spread_small
 from spellframe.plans import migration as M
 from spellframe.session import stage
 from workload import history as H
@@ -176,7 +175,7 @@ def taxonomy_match_lines(spark, sf):
     """Every line of every document through the taxonomy."""
     k = F.col("doc_id") % 5
     tail = F.when(k == 0, " Board Member").when(k == 1, " part time").when(k == 2, " 非执行 trustee services").otherwise("")
-    lines = spread_small(docs(spark, sf)).select(F.explode(F.split("text", "\n")).alias("line"), tail.alias("tail"))
+    lines = docs(spark, sf).select(F.explode(F.split("text", "\n")).alias("line"), tail.alias("tail"))
     n = lines.select(normalize_text(F.concat("line", "tail"), V.TITLE_TAXONOMY).alias("n"))
     return (n.select(taxonomy_match("n", V.TITLE_TAXONOMY).alias("category"), F.size(taxonomy_rule_ids("n", V.TITLE_TAXONOMY)).alias("r"))
              .groupBy("category").agg(F.count(F.lit(1)).alias("lines"), F.sum("r").alias("rules")))
@@ -233,7 +232,7 @@ def evidence_failures(spark, sf):
     return failures.select("record_id", F.array_join("errors", "; ").alias("errors"))
 
 
-@query(EVIDENCE + "SELECT 'valid' AS outcome, count(*) AS records FROM e WHERE len(errs) = 0 UNION ALL SELECT 'missing', count(*) FROM b WHERE id0 NOT IN (SELECT record_id FROM r)")
+@query(EVIDENCE + "SELECT 'valid' AS outcome, count(*) AS records FROM e WHERE len(errs) = 0 UNION ALL SELECT 'missing', count(*) FROM b WHERE id0 NOT IN (SELECT record_id FROM e WHERE len(errs) = 0)")
 def evidence_outcome(spark, sf):
     valid, _, missing = X.audit_evidence(*extraction(spark, sf))
     return valid.agg(F.lit("valid").alias("outcome"), F.count(F.lit(1)).alias("records")).unionByName(
@@ -346,7 +345,7 @@ pc AS (SELECT doc_id, source, lang, pos, l[pos] AS p FROM (SELECT *, unnest(gene
 px AS (SELECT *, ' ' || trim(regexp_replace(lower(p), '[^\\p{L}]+', ' ', 'g')) || ' ' AS x FROM pc),
 gr AS (SELECT doc_id, source, lang, pos, substr(x, i, 3) AS gram FROM (SELECT *, unnest(generate_series(1, length(x) - 2)) AS i FROM px)),
 ct AS (SELECT gram, count(*) AS n, [count(*) FILTER (WHERE lang = 'en'), count(*) FILTER (WHERE lang = 'es'), count(*) FILTER (WHERE lang = 'fr'), count(*) FILTER (WHERE lang = 'de')] AS c
- FROM gr GROUP BY gram ORDER BY n DESC, gram LIMIT 50000),
+ FROM gr GROUP BY gram),
 lp AS (SELECT gram, list_transform([1, 2, 3, 4], lambda i: ln((c[i] + 0.5::DOUBLE) / (t[i] + 0.5::DOUBLE * v))) AS logp
  FROM ct, (SELECT [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4])]::BIGINT[] AS t, count(*) AS v FROM ct))
 """
