@@ -194,7 +194,7 @@ def test_jaccard(spark, docs, empty, monkeypatch, block):
     rows = list({r[0]: r for r in corpus() if r[0] is not None}.values())
     n, root = links(rows)
     got = {r.doc_id: (r.n_links, r.group_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {d: (n[d], root[d]) for d in n} and sum(n.values()) > 40
+    assert got == {d: (n[d], root[d]) for d in n} and sum(n.values()) > 20  # the fixture has links
     assert jaccard.near_duplicates(docs).count() == docs.count() and jaccard.near_duplicates(empty).count() == 0
     assert jaccard.keep_one_of_each(empty).count() == 0
     assert set(jaccard.keep_one_of_each(docs).columns) == set(docs.columns)
