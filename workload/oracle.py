@@ -81,7 +81,7 @@ titled AS (
          year(startdate) * 12 + month(startdate) - 1 AS start_midx, year(enddate) * 12 + month(enddate) - 1 AS end_midx
   FROM src),
 normed AS (SELECT *, {norm_sql('title_raw')} AS norm FROM titled),
-positions AS (
+positions AS MATERIALIZED (
   SELECT * EXCLUDE (norm), {category_sql('norm')} AS cat,
          CASE WHEN norm IS NULL THEN [] ELSE {rule_ids_sql('norm')} END AS role_rule_ids,
          coalesce({category_sql('norm')} IS NOT NULL, false) AS down,
@@ -93,7 +93,7 @@ positions AS (
               WHEN end_midx < start_midx THEN 'end_before_start' END AS reason
   FROM normed),
 valid AS (SELECT * FROM positions WHERE reason IS NULL),
-users AS (
+users AS MATERIALIZED (
   SELECT p.*, year(updated_dt) * 12 + month(updated_dt) - 1 AS refresh_midx,
          (year(updated_dt) * 12 + month(updated_dt) - 1) // 3 AS refresh_qidx,
          coalesce(n.n, 0) AS n_positions, coalesce(n.v, 0) AS n_valid_positions, coalesce(n.h, 0) AS n_valid_home_positions
@@ -120,7 +120,7 @@ agg AS (
          count(*) FILTER (WHERE country = {HOME}) AS n_active_home, count(*) FILTER (WHERE country IS NULL) AS n_active_missing_country,
          count(DISTINCT country) AS n_active_countries, list(DISTINCT country) FILTER (WHERE country IS NOT NULL) AS cs
   FROM active GROUP BY ALL),
-panel AS (
+panel AS MATERIALIZED (
   SELECT a.user_id, a.end_rule, a.qidx, 'position' AS obs_type, n_active, n_active_downranked, n_active_home,
          n_active_missing_country, n_active_countries, n_active_countries > 1 AS country_conflict,
          coalesce(array_to_string(list_sort(list_filter(cs, lambda x: x IS DISTINCT FROM p.country)), '|'), '') AS alt,
@@ -143,7 +143,7 @@ panel AS (
          CASE WHEN user_country IS NOT NULL THEN 'snapshot' END, NULL
   FROM users, (VALUES ('carry_to_cutoff'), ('cap_at_last_refresh')) r(rule)
   WHERE n_valid_positions = 0 AND refresh_qidx BETWEEN {C.panel_start_q} AND {C.last_q}),
-obs AS (
+obs AS MATERIALIZED (
   SELECT user_id, end_rule, 'position_with_profile_fallback' AS spec, qidx, loc_fb = {HOME} AS home, loc_fb AS country,
          src_fb AS source, timing, primary_parent_rcid AS parent, primary_rcid AS employer FROM panel WHERE loc_fb IS NOT NULL
   UNION ALL
@@ -153,34 +153,35 @@ islands AS (
   SELECT *, qidx - row_number() OVER (PARTITION BY user_id, end_rule, spec ORDER BY qidx) AS bk,
          qidx - row_number() OVER (PARTITION BY user_id, end_rule, spec, home ORDER BY qidx) AS rk FROM obs),
 runs0 AS (SELECT user_id, end_rule, spec, bk, home, rk, min(qidx) AS start_q, max(qidx) AS end_q FROM islands GROUP BY ALL),
-runs AS (
+runs AS MATERIALIZED (
   SELECT user_id, end_rule, spec, home, start_q, end_q,
          dense_rank() OVER (PARTITION BY user_id, end_rule, spec ORDER BY bk) AS block_no,
          row_number() OVER (PARTITION BY user_id, end_rule, spec ORDER BY start_q) AS run_no FROM runs0),
 variants AS (SELECT unnest([1, 2, 4]) AS k),
-cut AS (
+cut AS MATERIALIZED (
   SELECT r.* EXCLUDE (end_q), k, {C.last_q} AS h, least(end_q, {C.last_q}) AS end_q, least(end_q, {C.last_q}) - start_q + 1 AS len
   FROM runs r, variants WHERE start_q <= {C.last_q}),
 blk AS (
   SELECT user_id, end_rule, spec, k, block_no, min(run_no) AS first_run, max(run_no) AS last_run, min(start_q) AS b_start, max(end_q) AS b_end
   FROM cut GROUP BY ALL),
-pers AS (
+pers AS MATERIALIZED (
   SELECT user_id, end_rule, spec, k, max(block_no) AS last_block, min(start_q) FILTER (WHERE home) AS first_home_q FROM cut GROUP BY ALL),
-anch AS (
-  SELECT c.* FROM cut c JOIN blk USING (user_id, end_rule, spec, k, block_no) WHERE run_no = first_run OR len >= k),
+anch AS MATERIALIZED (
+  SELECT c.*, CASE WHEN run_no = first_run OR len >= k THEN home END AS held
+  FROM cut c JOIN blk USING (user_id, end_rule, spec, k, block_no)),
 befo AS (
-  SELECT c.user_id, c.end_rule, c.spec, c.k, c.run_no, arg_max(a.home, a.run_no) AS confirmed_before
-  FROM cut c JOIN anch a ON a.user_id = c.user_id AND a.end_rule = c.end_rule AND a.spec = c.spec AND a.k = c.k
-    AND a.block_no = c.block_no AND a.run_no < c.run_no GROUP BY ALL),
-bfin AS (SELECT user_id, end_rule, spec, k, block_no, arg_max(home, run_no) AS block_final FROM anch GROUP BY ALL),
-cls AS (
+  SELECT user_id, end_rule, spec, k, run_no, last_value(held IGNORE NULLS) OVER (PARTITION BY user_id, end_rule, spec, k, block_no
+    ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS confirmed_before FROM anch),
+bfin AS MATERIALIZED (
+  SELECT user_id, end_rule, spec, k, block_no, arg_max(held, run_no) AS block_final FROM anch WHERE held IS NOT NULL GROUP BY ALL),
+cls AS MATERIALIZED (
   SELECT c.*, b.first_run, b.last_run, p.last_block, p.first_home_q, f.block_final, e.confirmed_before,
          CASE WHEN c.run_no = b.first_run THEN 'block_start' WHEN c.home = e.confirmed_before THEN 'stay'
               WHEN c.len >= c.k THEN 'confirmed_move' WHEN c.run_no < b.last_run THEN 'excursion'
               WHEN c.block_no < p.last_block THEN 'unconfirmed_before_gap' ELSE 'unconfirmed_terminal' END AS run_class
   FROM cut c JOIN blk b USING (user_id, end_rule, spec, k, block_no) JOIN pers p USING (user_id, end_rule, spec, k)
   JOIN bfin f USING (user_id, end_rule, spec, k, block_no) LEFT JOIN befo e USING (user_id, end_rule, spec, k, run_no)),
-ev0 AS (
+ev0 AS MATERIALIZED (
   SELECT user_id, end_rule, spec, k, start_q AS event_q, start_q - 1 AS origin_q, 'confirmed' AS kind, home, len, NULL AS gap_quarters, block_no, run_no
   FROM cls WHERE run_class = 'confirmed_move'
   UNION ALL
@@ -190,11 +191,10 @@ ev0 AS (
   WHERE n.run_class = 'block_start' AND f.block_final <> n.home),
 ev AS (
   SELECT e.*, CASE WHEN home THEN 'entry' ELSE 'exit' END AS direction,
-         CASE WHEN kind = 'confirmed' THEN (SELECT count(*) FROM ev0 m WHERE m.user_id = e.user_id AND m.end_rule = e.end_rule
-              AND m.spec = e.spec AND m.k = e.k AND m.block_no = e.block_no AND m.kind = 'confirmed' AND m.run_no < e.run_no) END AS prior_moves_in_block,
+         CASE WHEN kind = 'confirmed' THEN count(*) FILTER (WHERE kind = 'confirmed') OVER (
+              PARTITION BY user_id, end_rule, spec, k, block_no ORDER BY run_no) - 1 END AS prior_moves_in_block,
          CASE WHEN home THEN CASE WHEN event_q = p.first_home_q THEN 'first' ELSE 'return' END
-              WHEN EXISTS (SELECT 1 FROM ev0 x WHERE x.user_id = e.user_id AND x.end_rule = e.end_rule AND x.spec = e.spec
-                           AND x.k = e.k AND NOT x.home AND x.event_q < e.event_q) THEN 'return' ELSE 'first' END AS home_spell_type
+              WHEN row_number() OVER (PARTITION BY user_id, end_rule, spec, k, home ORDER BY event_q) > 1 THEN 'return' ELSE 'first' END AS home_spell_type
   FROM ev0 e JOIN pers p USING (user_id, end_rule, spec, k)),
 moves AS (
   SELECT e.user_id, e.end_rule, e.spec, e.k AS persistence_quarters, e.event_q, e.origin_q, e.kind, e.direction,
