@@ -9,6 +9,7 @@ from __future__ import annotations
 import html as _html
 import re
 import unicodedata
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,74 +20,63 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as V
 from .skew import find_hot, salted_join
 
-_TELLTALE = re.compile("</?(?:" + "|".join(V.HTML_TELLTALE) + r")\b", re.IGNORECASE)
-_BLOCK = "(?:" + "|".join(V.HTML_SPACING_BLOCKS) + ")"
-_INLINE = "(?:" + "|".join(V.HTML_SPACING_INLINE) + ")"
-_BR = r"(?:<br>\s*)"
-# Redundant line breaks of scraped advertisements, in the order they are removed.
-_SPACING = [(re.compile(r"<(p|div)>(?:\s|<br>)*</\1>"), ""),
-            (re.compile(f"{_BR}+(?=</?{_BLOCK}>)"), ""),
-            (re.compile(rf"(</?{_BLOCK}>)\s*{_BR}+"), r"\1"),
-            (re.compile(f"{_BR}+(?=</{_INLINE}>)"), ""),
-            (re.compile(f"{_BR}{{3,}}"), "<br><br>")]
+# A page is read into pieces: (OPEN, tag), (CLOSE, tag) and (TEXT, characters).  What a tag leaves behind stands in two tables.
+OPEN, CLOSE, TEXT = "<", "</", ""
+_ENDS_OF_DROPPED = {(OPEN, tag): (CLOSE, tag) for tag in V.HTML_DROPPED}
+_MARKUP = {(kind, tag): f"{kind}{tag}>" for kind in (OPEN, CLOSE) for tag in V.HTML_KEPT if kind == OPEN or tag not in V.HTML_VOID}
+_PLAIN = {(kind, tag): "\n" for kind in (OPEN, CLOSE) for tag in V.HTML_LINE_BREAKING}
+_has_tags = re.compile(V.HTML_TELLTALE, re.IGNORECASE).search
+_SPACING = [(re.compile(pattern), new) for pattern, new in V.HTML_SPACING]
 
 
-class _Events(HTMLParser):
-    """Flat list of (kind, value, alt) events; what they mean is decided by ``_render``."""
+class _Pieces(HTMLParser):
+    """The pieces of a page in order."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.events = []
+    def __init__(self, page: str):
+        super().__init__()
+        self.found: list[tuple[str, str]] = []
+        self.feed(page)
+        self.close()
+
+    def handle_data(self, data):
+        self.found.append((TEXT, data))
+
+    def handle_endtag(self, tag):
+        self.found.append((CLOSE, tag))
 
     def handle_starttag(self, tag, attrs):
-        alt = (dict(attrs).get("alt") or "") if tag == "img" else None
-        self.events.append(("open", tag, alt))
+        self.found.append((OPEN, tag))
+        if tag == "img":
+            self.found.append((TEXT, dict(attrs).get("alt") or ""))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in V.HTML_DROPPED:
-            self.events.append(("close", tag, None))
+        self.found += [end for start, end in _ENDS_OF_DROPPED.items() if start[1] == tag]
 
-    def handle_endtag(self, tag):
-        self.events.append(("close", tag, None))
 
-    def handle_data(self, data):
-        self.events.append(("data", data, None))
-
-
-def _render(events) -> tuple[str, str]:
-    markup, plain, muted = [], [], []
-    for kind, value, alt in events:
-        if kind == "open" and value in V.HTML_DROPPED:
-            muted.append(value)
-        elif muted:
-            if kind == "close" and value == muted[-1]:
-                muted.pop()
-        elif kind == "data":
-            markup.append(_html.escape(value))
-            plain.append(value)
-        else:
-            closing = kind == "close"
-            if value in V.HTML_KEPT and not (closing and value in V.HTML_VOID):
-                markup.append(f"</{value}>" if closing else f"<{value}>")
-            if value in V.HTML_LINE_BREAKING:
-                plain.append("\n")
-            if alt is not None:
-                markup.append(_html.escape(alt))
-                plain.append(alt)
-    return "".join(markup), "".join(plain)
+def _shown(pieces: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
+    """Pieces outside dropped elements; an element that never ends hides the rest of the page."""
+    rest = iter(pieces)
+    for piece in rest:
+        if piece not in _ENDS_OF_DROPPED:
+            yield piece
+            continue
+        awaited = [_ENDS_OF_DROPPED[piece]]
+        while awaited and (inner := next(rest, None)):
+            if inner == awaited[-1]:
+                awaited.pop()
+            elif inner in _ENDS_OF_DROPPED:
+                awaited.append(_ENDS_OF_DROPPED[inner])
 
 
 def clean_one(text: str) -> tuple[str, str]:
     """(safe markup, plain text) of one description; plain text passes untouched."""
-    for old, new in V.LEGACY_BULLETS.items():
-        text = text.replace(old, new)
-    if not _TELLTALE.search(text):
+    text = text.translate(V.LEGACY_BULLETS)
+    if not _has_tags(text):
         return _html.escape(text), text
-    parser = _Events()
-    parser.feed(text)
-    parser.close()
-    markup, plain = _render(parser.events)
+    shown = list(_shown(_Pieces(text).found))
+    markup = "".join(_html.escape(p[1]) if p[0] == TEXT else _MARKUP.get(p, "") for p in shown)
+    plain = "".join(p[1] if p[0] == TEXT else _PLAIN.get(p, "") for p in shown)
     for pattern, new in _SPACING:
         markup = pattern.sub(new, markup)
     return markup, plain
