@@ -127,12 +127,15 @@ def stratified_pick(df: DataFrame, ident: str, content: str, stratum: str, quota
 def overlap_groups(ids: DataFrame, ident: str, seed, shared: int, each: int, groups: int = 2) -> DataFrame:
     """Seeded split: a shared block in every group plus ``each`` exclusive ids per group.
 
-    ``ids`` must hold exactly ``shared + groups*each`` distinct ids; anything else fails the job.
+    ``ids`` must hold exactly ``shared + groups*each`` distinct ids; anything else fails the job.  Places
+    come from range partitions, so the order never passes through one task.
     """
+    from .linkage import ordered_rank
     need = shared + groups * each
     found = ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(ident).alias("d")).select(
         (F.col("n") == need) & (F.col("d") == need)).scalar()
-    ranked = hash_sample(ids, ident, str(seed), need + 1)
+    keyed = ids.where(F.col(ident).isNotNull()).select(F.struct(salted_hash(str(seed), ident).alias("h"), F.col(ident).alias("id")).alias("_order"))
+    ranked = ordered_rank(keyed, "_order").select(F.col("_order.id").alias(ident), (F.col("rank0") + 1).alias("sample_rank"))
     pos = F.col("sample_rank") - 1
     everywhere = F.array(*[F.lit(g) for g in range(groups)])
     group = F.when(pos < shared, everywhere).otherwise(F.array(F.floor((pos - shared) / each).cast("int")))

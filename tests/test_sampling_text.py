@@ -98,6 +98,20 @@ def test_clean_and_contained(table):
     assert [(r["i"], r["clean_html"], r["same"]) for r in out.orderBy("i").collect()] == [(1, "<p>Ａ１ b</p>", True), (2, None, None)]
 
 
+def test_dropped_elements():
+    """Content of dropped elements goes with whatever is nested in it; one that never ends hides the rest."""
+    assert X.clean_one("<p>a</p><svg><object>x</svg></object>y</svg><b>c</b></svg>") == ("<p>a</p><b>c</b>", "\na\nc")
+    assert X.clean_one("<p>a<svg/>b<object>c<p>d")[1] == "\nab"
+    assert X.clean_one('<p/>x</br><img alt="R&D"><img>') == ("<p>xR&amp;D", "\nx\nR&D")
+
+
+def test_overlap_groups_cover_all(table):
+    out = S.overlap_groups(table([(i,) for i in range(31)], "k int"), "k", 5, 11, 10)
+    assert S.overlap_problems(out, "k", 11, 10).count() == 0
+    order = sorted(range(31), key=lambda i: (hashlib.sha256(f"5:{i}".encode()).hexdigest(), i))
+    assert rows(out.where("shared AND group_no = 0").select("position", "k")) == sorted(((i + 1, k) for i, k in enumerate(order[:11])), key=str)
+
+
 def test_evidence(table):
     src = table([("1", "Needs Python, SQL"), ("2", "abc"), ("3", "lost")], "record_id string, description string")
     lang = table([("1", ["English"]), ("2", ["English", "Chinese"]), ("3", ["English"])], "record_id string, languages array<string>")
@@ -105,7 +119,7 @@ def test_evidence(table):
     cases = [ok, ("2", ["Chinese", "English"], "readable", "", [("x", "ABC")], []), ("9", ["English"], "readable", "", [], [])]
     schema = f"record_id string, detected_languages array<string>, reading_status string, reading_note string, skills {ITEMS}, education_requirements {ITEMS}"
     valid, failed, missing = X.audit_evidence(table(cases, schema), src, lang)
-    assert rows(valid.select("record_id")) == [("1",)] and rows(missing) == [("3",)]
+    assert rows(valid.select("record_id")) == [("1",)] and rows(missing) == [("2",), ("3",)]  # rejected counts as missing
     assert {r["record_id"]: r["errors"] for r in failed.collect()} == {"2": ["skills: missing or fabricated evidence"], "9": ["unexpected or duplicate id"]}
     broken = [("1", ["Klingon"], "readable", "", [("a", "b")] * 21, []), ("2", ["English"], "unreadable", " ", [("x", "abc")], [])]
     _, failed, _ = X.audit_evidence(table(broken, schema), src, lang)
