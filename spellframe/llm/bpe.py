@@ -1,9 +1,10 @@
 """Byte-level BPE with a rank queue.
 
-Inside a pre-token the bytes form a linked list.  Each adjacent pair that is in the vocabulary stands in the
+The bytes of the pre-tokens to encode form a linked list.  Each adjacent pair inside a pre-token that is in the vocabulary stands in the
 bucket of its rank; a three-level bitmap over the ranks finds the lowest rank in use by three find-first-set steps.
 The positions of that bucket are merged from left to right; entries whose pair has changed meanwhile are stale and skipped.
-Every push and pop costs the same whatever the length, so a pre-token of a megabyte takes linear time.
+Every push and pop costs the same whatever the length, so a pre-token of a megabyte takes linear time.  Pre-tokens do not touch
+each other, so all new ones of a few hundred rows share one list and one queue, and a rank is looked up once for all of them.
 
 Pre-tokens are encoded once per worker and remembered (bounded, short ones only).  The rank file is read on the driver
 and broadcast: a vocabulary has a fixed size of about a megabyte.
@@ -17,8 +18,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 REMEMBER = 1_500_000
 LONGEST_REMEMBERED = 48
+#: Rows whose new pre-tokens are merged together.
+ROWS = 256
 
 
 def default_path() -> str:
@@ -40,12 +44,12 @@ class RankQueue:
         self.low, self.mid, self.top = [0] * ((ranks >> 6) + 1), [0] * ((ranks >> 12) + 1), 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, positions: list[int]) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            bucket.append(position)
+            bucket += positions
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = positions
         w, a = rank >> 6, rank >> 12
         self.low[w] |= 1 << (rank & 63)
         self.mid[a] |= 1 << (w & 63)
@@ -75,74 +79,92 @@ class Tokenizer:
         self.pieces = {rank: piece for piece, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(self.ranks.values()))
-        self.known = _Known(self)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks, n = self.ranks, len(piece)
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        end, before, queue = list(range(1, n + 1)), list(range(-1, n)), self.queue
-        for i in range(n - 1):
-            rank = ranks.get(piece[i:i + 2])
-            if rank is not None:
-                queue.push(rank, i)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.double = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
+        self.known: dict[str, bytes] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, packed as 32-bit integers."""
+        data, rank_of, queue = b"".join(pieces), self.ranks.get, self.queue
+        n = len(data)
+        if not n:
+            return [b""] * len(pieces)
+        ends = np.cumsum([len(x) for x in pieces])
+        first = bytearray(n + 1)  # 1 where a pre-token begins, and at the end
+        np.frombuffer(first, np.uint8)[np.append(0, ends)] = 1
+        codes = np.frombuffer(data, np.uint8)
+        start = np.append(self.double[codes[:-1].astype(np.int32) << 8 | codes[1:]], np.int32(-1))
+        start[np.frombuffer(first, np.uint8)[1:] == 1] = -1
+        there = np.flatnonzero(start >= 0)
+        order = there[np.argsort(start[there], kind="stable")]
+        by_rank, at = np.unique(start[order], return_index=True)
+        for rank, places in zip(by_rank.tolist(), np.split(order, at[1:]), strict=False):
+            queue.push(rank, places.tolist())
+        pair, token = start.tolist(), self.single[codes].tolist()
+        end, before, buckets, push = list(range(1, n + 1)), list(range(-1, n)), queue.buckets, queue.push
         while queue.top:
             rank, places = queue.pop()
-            for k, p in enumerate(places):
-                middle = end[p]
-                if not middle or middle == n:
+            held = 0
+            for p in places:
+                if pair[p] != rank:
                     continue
-                stop = end[middle]
-                if ranks.get(piece[p:stop]) != rank:
+                if p < held:
+                    push(rank, [p])
                     continue
-                end[p], end[middle], lowest = stop, 0, rank
-                if stop < n:
+                middle = end[p]
+                stop = end[p] = end[middle]
+                token[p], token[middle], pair[middle] = rank, -1, -1
+                left = right = -1
+                if not first[stop]:
                     before[stop] = p
-                    r = ranks.get(piece[p:end[stop]])
-                    if r is not None:
-                        queue.push(r, p)
-                        lowest = r
-                if p:
+                    right = rank_of(data[p:end[stop]], -1)
+                    if right in buckets:
+                        buckets[right].append(p)
+                    elif right >= 0:
+                        push(right, [p])
+                pair[p] = right
+                if not first[p]:
                     o = before[p]
-                    r = ranks.get(piece[o:stop])
-                    if r is not None:
-                        queue.push(r, o)
-                        lowest = min(lowest, r)
-                if lowest < rank:  # a new pair comes before the rest of this bucket
-                    for rest in places[k + 1:]:
-                        queue.push(rank, rest)
-                    break
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i:end[i]]])
-            i = end[i]
+                    pair[o] = left = rank_of(data[o:stop], -1)
+                    if left in buckets:
+                        buckets[left].append(o)
+                    elif left >= 0:
+                        push(left, [o])
+                if -1 < left < rank or -1 < right < rank:  # a new pair comes before the rest of this pre-token
+                    held = first.index(1, stop)
+        ids = np.array(token, np.int32)
+        kept = ids >= 0
+        packed, stops = ids[kept].tobytes(), (4 * np.cumsum(kept)[ends - 1]).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def learn(self, texts: list[list[str]]) -> list[str]:
+        """Encode the pre-tokens of these texts that are not known, and list those too long to stay."""
+        if len(self.known) >= REMEMBER:
+            self.known.clear()
+        new = list(set().union(*texts).difference(self.known))
+        pieces = [x.encode() for x in new]
+        whole = [self.ranks.get(x, -1) for x in pieces]
+        packed = np.array(whole, np.int32).tobytes()
+        made = iter(self.merge([x for x, rank in zip(pieces, whole, strict=True) if rank < 0]))
+        self.known.update((x, next(made) if rank < 0 else packed[4 * i:4 * i + 4]) for i, (x, rank) in enumerate(zip(new, whole, strict=True)))
+        return [x for x in new if len(x) > LONGEST_REMEMBERED]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        split = [self.split(text) for text in texts]
+        long = self.learn(split)
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, text)), np.int32) for text in split]
+        for x in long:
+            del self.known[x]
         return ids
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-class _Known(dict):
-    """Ids of pre-tokens met before."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.tokenizer.merge(piece.encode())
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBER:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 _made: dict[tuple[int, str], Tokenizer] = {}
 
 
@@ -165,21 +187,19 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         t = _tokenizer(shared.value, pattern)
         shown = {i: str(i).encode() for i in t.pieces}
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                counts, lists, digests, decoded = [], [], [], []
-                for text in part.column("text"):
-                    got = t.encode(text.as_py())
-                    counts.append(len(got))
-                    digests.append(hashlib.sha256(b" ".join(map(shown.__getitem__, got))).hexdigest())
-                    decoded.append(hashlib.sha256(t.decode(got)).hexdigest())
-                    if ids:
-                        lists.append(pa.array(got, pa.int32()))
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                got, digests, decoded = t.encode_all(part.column("text").to_pylist()), [], []
+                counts = [len(x) for x in got]
+                for text in got:
+                    numbers = text.tolist()
+                    digests.append(hashlib.sha256(b" ".join(map(shown.__getitem__, numbers))).hexdigest())
+                    decoded.append(hashlib.sha256(t.decode(numbers)).hexdigest())
                 out = [part.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    ends = pa.array([0, *_sums(counts)], pa.int32())
-                    out.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(lists) if lists else pa.array([], pa.int32())))
+                    ends = pa.array([0, *accumulate(counts)], pa.int32())
+                    out.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(got or [np.zeros(0, np.int32)]), pa.int32())))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
@@ -187,14 +207,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return plain.mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if ids else ""))
 
 
-def _sums(counts: list[int]) -> list[int]:
-    total, out = 0, []
-    for c in counts:
-        total += c
-        out.append(total)
-    return out
-
-
 def decode_documents(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", path: str | None = None) -> DataFrame:
     """Per row: id and text_bytes, the bytes that the ids stand for; null ids give no bytes."""
     with open(path or default_path(), "rb") as f:

@@ -127,6 +127,15 @@ def test_bpe(spark, docs, empty):
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 900), 10])) for _ in range(300)) for _ in range(40)]
     for text in texts:
         assert t.encode(text) == plain.encode_ordinary(text) and t.decode(t.encode(text)) == text.encode()
+    together = bpe.Tokenizer(b"\n".join(b" ".join([bpe.base64.b64encode(x), str(r).encode()]) for x, r in t.ranks.items()))
+    assert [x.tolist() for x in together.encode_all(texts * 2)] == [plain.encode_ordinary(x) for x in texts * 2]
+    assert together.known and max(map(len, together.known)) <= bpe.LONGEST_REMEMBERED and not together.queue.buckets
+    # A merge may make a pair of a lower rank: it comes before the other places of the bucket, in its own pre-token only.
+    odd = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"bc": 257, b"xx": 258, b"bcabc": 259, b"aabc": 260}
+    odd_plain = tiktoken.Encoding("odd", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=odd, special_tokens={})
+    small = bpe.Tokenizer(b"\n".join(b" ".join([bpe.base64.b64encode(x), str(r).encode()]) for x, r in odd.items()))
+    odd_texts = ["".join(rng.choice("abcx") for _ in range(rng.randint(1, 30))) for _ in range(400)] + ["abcabcabc bcbcabc", "abcbc" * 40]
+    assert [x.tolist() for x in small.encode_all(odd_texts)] == [odd_plain.encode_ordinary(x) for x in odd_texts]
     got = bpe.encode_documents(docs).cache()
     assert got.count() == docs.count() and bpe.encode_documents(empty).count() == 0
     joined = got.join(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("want")).distinct(), "doc_id")
