@@ -67,7 +67,7 @@ src AS (
               WHEN k % 41 = 0 THEN 'Non-Executive Director' WHEN k % 43 = 0 THEN '顧問委員會 member'
               WHEN k % 47 = 0 THEN ' ' WHEN k % 53 = 0 THEN 'Executive Director, board member'
               ELSE p_name END AS raw_title
-  FROM base LEFT JOIN part ON p_partkey = k % 200),
+  FROM base LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS pk FROM lineitem GROUP BY l_orderkey) ON l_orderkey = k LEFT JOIN part ON p_partkey = pk),
 people AS (
   SELECT 'C' || c_custkey AS user_id, CASE WHEN c_nationkey % 9 <> 0 THEN 'NATION_' || (c_nationkey % 4) END AS user_country,
          DATE '1999-01-01' + CAST(c_custkey % 960 AS INTEGER) AS updated_dt FROM customer
@@ -76,7 +76,7 @@ people AS (
          DATE '1999-01-01' + CAST(s_suppkey % 720 AS INTEGER) FROM supplier),
 titled AS (
   SELECT *, CASE WHEN raw_user IS DISTINCT FROM user_id THEN 'raw_user_mismatch'
-                 WHEN trim(raw_title) = '' THEN 'blank_title' ELSE 'ok' END AS title_status,
+                 WHEN trim(coalesce(raw_title, '')) = '' THEN 'blank_title' ELSE 'ok' END AS title_status,
          CASE WHEN raw_user IS NOT DISTINCT FROM user_id THEN nullif(trim(raw_title), '') END AS title_raw,
          year(startdate) * 12 + month(startdate) - 1 AS start_midx, year(enddate) * 12 + month(enddate) - 1 AS end_midx
   FROM src),

@@ -2,7 +2,7 @@
 
 Every order becomes one spell of its customer and every supplier a person without
 spells, so all derived tables grow with the inputs.  Remainders only vary values
-(open ends, missing fields, titles); no row is left out.
+(open ends, missing fields, titles); no row is left out.  Titles are the names of the parts ordered.
 """
 
 from __future__ import annotations
@@ -57,7 +57,8 @@ def positions_raw(spark: SparkSession, sf: str) -> DataFrame:
               .when(_every(41), "Non-Executive Director").when(_every(43), "顧問委員會 member")
               .when(_every(47), " ").when(_every(53), "Executive Director, board member")
               .otherwise(F.col("p_name")))
-    orders = table(spark, sf, "orders").withColumn("_p", key % 200)
+    first = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("_p"))
+    orders = table(spark, sf, "orders").join(first, "o_orderkey", "left")
     return orders.join(part, "_p", "left").select(
         F.when(_every(101), None)
          .when(_every(97), "C-other").otherwise(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("user_id"),

@@ -189,14 +189,15 @@ def lines_with_orders(spark, sf):
     return J.checked_left_join(lines, orders, ["l_orderkey"], "orders")
 
 
-STRUCTURED = "s AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_custkey END AS person, o_orderkey AS position FROM orders WHERE o_orderstatus = 'O')"
+STRUCTURED = "s AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_custkey END AS person, CASE WHEN o_orderstatus = 'O' THEN o_orderkey ELSE -o_orderkey END AS position FROM orders)"
 RAWROWS = ("r AS (SELECT CASE WHEN l_orderkey % 10 = 0 THEN NULL WHEN l_linenumber = 7 THEN -1 ELSE o_custkey END AS person, l_orderkey AS position, "
            "l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey)")
 
 
 def _structured(spark, sf):
-    o = W.table(spark, sf, "orders").where("o_orderstatus = 'O'")
-    return o.select(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("person"), F.col("o_orderkey").alias("position"))
+    """Every order; those that are not open have an id that no line has."""
+    position = F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey")).otherwise(-F.col("o_orderkey"))
+    return W.table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("person"), position.alias("position"))
 
 
 def _rawrows(spark, sf):
@@ -254,9 +255,10 @@ def top_matches(spark, sf):
     return best.select("k", "o_custkey", "l_partkey", "l_extendedprice", "match_rank")
 
 
-@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS ordered FROM customer")
+@query("SELECT c_custkey, c_custkey IN (SELECT CASE WHEN o_orderstatus = 'P' THEN o_custkey ELSE -o_custkey END FROM orders) AS ordered FROM customer")
 def membership_flags(spark, sf):
-    ids = W.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    signed = F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")).otherwise(-F.col("o_custkey"))
+    ids = W.table(spark, sf, "orders").select(signed.alias("c_custkey"))
     return J.membership_flag(W.table(spark, sf, "customer").select("c_custkey"), ids, "c_custkey", "ordered")
 
 
