@@ -47,13 +47,13 @@ def merge(entries: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256, same_id (rows of the id in its group)."""
+    """One row per document: id, keep_id, group_size, kept, text_sha256, text_hash (of the text as it is)."""
     if rounds is None:
         rounds = rounds_for(docs.count())
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).alias("id"), F.length(text).alias("n_chars"), normalised(F.col(text_col)).alias("plain"))
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("n_chars"), normalised(F.col(text_col)).alias("plain"))
     leaves = stage(plain.select(
-        "id", "n_chars", F.unhex(F.sha2("plain", 256)).alias("digest"), F.octet_length("plain").cast("long").alias("n_bytes"),
+        "id", "h", "n_chars", F.unhex(F.sha2("plain", 256)).alias("digest"), F.octet_length("plain").cast("long").alias("n_bytes"),
         F.xxhash64("plain").alias("check"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FAN ** rounds)).alias("run")), "leaves")
     rank = F.struct((-F.col("n_chars")).alias("shorter"), F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"))
     levels = [leaves.groupBy("run", *CONTENT).agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("rows"))]
@@ -64,24 +64,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         parent = known.withColumnRenamed("run", "parent")
         known = (below.drop("best", "rows").withColumn("parent", F.floor(F.col("run") / FAN))
                       .join(parent, ["parent", *CONTENT]).drop("parent"))
-    again = Window.partitionBy("run", *CONTENT, "id", "n_chars").orderBy(F.lit(1))
+    again = Window.partitionBy("run", *CONTENT, "id", "n_chars").orderBy("h")
     same = leaves.withColumn("nth", F.row_number().over(again))
     return same.join(known, ["run", *CONTENT]).select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("rows").alias("group_size"),
         (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.shorter")) & (F.col("nth") == 1)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), "nth")
+        F.lower(F.hex("digest")).alias("text_sha256"), F.col("h").alias("text_hash"))
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but one of equal texts; columns as given."""
-    found = stage(exact_duplicates(docs, id_col, text_col), "copies")
-    going = found.where(~F.col("kept"))
-    hit = F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("k"))
-    left = docs.join(going.where("nth = 1").select(hit.k.alias("_gone")).distinct(), hit.k == F.col("_gone"), "left_anti")
-    repeated = going.where("nth > 1").select(hit.k.alias("_twice")).distinct()
+    # Rows of one id and one text are told apart by nothing: all go, or one of them stays.
+    found = stage(exact_duplicates(docs, id_col, text_col).groupBy(F.col(id_col).alias("_gone"), F.col("text_hash").alias("_h"))
+                  .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "copies")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (text_hash == F.col("_h"))
+    left = docs.join(found.where("NOT stays").select("_gone", "_h"), same, "left_anti")
+    repeated = found.where("stays AND n > 1").select("_gone", "_h")
     if repeated.isEmpty():
         return left
-    # Ids that several rows share: one row of each content is kept, chosen on the content itself.
-    once = left.join(repeated, hit.k == F.col("_twice"), "left_anti")
-    twice = left.join(repeated, hit.k == F.col("_twice"), "left_semi")
-    return once.unionByName(twice.dropDuplicates([id_col, text_col]))
+    once, twice = left.join(repeated, same, "left_anti"), left.join(repeated, same, "left_semi")
+    return once.unionByName(twice.withColumn("_h", text_hash).dropDuplicates([id_col, "_h"]).drop("_h"))

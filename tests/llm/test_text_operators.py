@@ -184,6 +184,14 @@ def test_exact(docs, empty, rounds):
     assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.keep_first_copies(empty).count() == 0
 
 
+def test_exact_ids_of_several_texts(spark):
+    rows = [(None, "a b c"), (1, "abc "), (None, "clean one"), (None, "clean two"), (None, None), (2, "  "), (5, "a b"), (5, "ab"), (6, "x  y"), (7, "x y"), (7, "z"), (8, "q r"), (8, "q\tr"), (9, "twice"), (9, "twice"), (None, "w w"), (None, "w w")]
+    got = exact_dedup.keep_first_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted((str(r.doc_id), r.text) for r in got if r.doc_id != 8)
+    assert left == sorted([("None", "a b c"), ("None", "clean one"), ("None", "clean two"), ("2", "  "), ("5", "a b"), ("6", "x  y"), ("7", "z"), ("9", "twice"), ("None", "w w")])
+    assert sum(r.doc_id == 8 for r in got) == 1
+
+
 def links(rows):
     sets = [(r[0], {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(r[1])) else set(), tuple(words(r[1]))) for r in rows if r[0] is not None]
     n, root = {d: 0 for d, _, _ in sets}, {d: d for d, _, _ in sets}
