@@ -269,6 +269,16 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and next(r.text for r in got if r.page_id == 2) == ""
 
 
+def test_main_text_after_options_and_open_head():
+    texts = lambda page: [b.text for b in main_text.blocks(page)]
+    assert texts("<p>Before</p><select><option>A<option>B</select><article><p>Story</article>") == ["Before", "Story"]
+    assert texts("<select><option>A<option>B<option>C</option></select><p>Story") == ["Story"]
+    assert texts("<html><head><title>t</title><style>x</style><body><p>Story</p></body></html>") == ["Story"]
+    assert texts("<head><noscript><link></noscript><meta a='b'><script>x</script>\n<article>Story</article>") == ["Story"]
+    assert texts("<head>\n<title>t</title>Story<p>more") == ["Story", "more"]
+    assert texts("<head><template><p>no</p></template><noscript>no</noscript></head><p>Story") == ["Story"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     sf_dir = "/root/testdata/sf0.001"
