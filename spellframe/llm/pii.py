@@ -25,13 +25,23 @@ BASE = ["email", "ip", "card", "phone"]
 NEAR = 40
 ACCEPT = 0.5
 
+# Length of an account number by country code.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+                23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+                28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_KNOWN = "|".join(f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+_CODES = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+#: A listed code takes its length, so that words behind it are not read on; one that is not listed reads on up to an account number of a listed code.
+#: The look at the first four characters spares most places the list.
+_IBAN = (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_KNOWN}|(?!{_CODES})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_KNOWN})(?![A-Za-z0-9]))\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])")
+
 # The base patterns, guarded against rescans as said above.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": _IBAN,
 }
 #: A text without this can't hold the kind.
 NEEDS = {"email": "@", "phone": "+"}

@@ -171,6 +171,16 @@ def test_pii(spark, empty):
     assert pii.pii_report(empty).count() == 0
 
 
+def test_pii_account_number_before_words(spark):
+    texts = ["pay DE89 3704 0044 0532 0130 00 BIC: COBADEFF", "GB82 WEST 1234 5698 7654 32 OR cash", "DE89370400440532013000 GB82WEST12345698765432", "NO93 8601 1117 947 AB12", "DE89 3704 0044 0532 0130 00X",
+             "PO12 4567 8901 2345 DE89 3704 0044 0532 0130 00 NOW", "MT84 MALT 0110 0001 2345 MTLC AST0 01S A"]
+    want = ["iban:4:31", "iban:0:27", "iban:0:22,iban:23:45", "iban:0:18", "", "iban:20:47", "iban:0:38"]
+    got = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    only = {k: ",".join(x for x in v.split(",") if x.startswith("iban")) for k, v in got.items()}
+    assert [only[k] for k in range(len(texts))] == want
+    assert sum(len(c.split()) for c in pii.IBAN_LENGTHS.values()) == len({x for c in pii.IBAN_LENGTHS.values() for x in c.split()})
+
+
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_exact(docs, empty, rounds):
     got = exact_dedup.exact_duplicates(docs, rounds=rounds).collect()
