@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, licenses, main_text, pii, quality, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard, licenses, main_text, pii, prefix_trie, quality, substring_dedup, toxicity
 from .common import read
 
 WORD_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -57,6 +57,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def _phrases() -> str:
     rows = [(p, v, "true") for p, v in licenses.BASE_PHRASES.items()] + [(p, v, "false") for p, v in licenses.WORDINGS.items()]
     return ", ".join(f"({i}, string_split('{p}', ' '), '{v}', {b})" for i, (p, v, b) in enumerate(rows))
@@ -144,9 +148,29 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM d LEFT JOIN a USING (doc_id)
 """
 
+# The unsigned checksum of a decimal number, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(text, '') AS x, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, turn FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(g ORDER BY turn NULLS FIRST, g) AS g, list(length(x) ORDER BY turn NULLS FIRST, g) AS n FROM t GROUP BY c),
+h AS (SELECT c, g, n, c - c % 100 AS base, {CRC_SQL} % 6 AS h FROM l),
+r AS MATERIALIZED (SELECT a.c, list_concat(coalesce(b.g[1:a.h], []), a.g[a.h + 1:]) AS g, list_concat(coalesce(b.n[1:a.h], []), a.n[a.h + 1:]) AS n FROM h AS a LEFT JOIN h AS b ON b.c = a.base),
+m AS MATERIALIZED (SELECT c, d, sha256(array_to_string(g[1:d], ',')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(g[1:d - 1], ',')) END AS p, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS n, d = len(g) AS here
+  FROM r, unnest(range(0, len(g) + 1)) AS u(d)),
+v AS MATERIALIZED (SELECT k, d, any_value(p) AS p, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (here), '')) AS ends_sha256
+  FROM m GROUP BY k, d),
+ch AS (SELECT p AS k, count(*) AS n_children FROM v WHERE d > 0 GROUP BY p),
+s AS (SELECT m.k, sum(v.saved) AS saved, count(*) FILTER (ch.k IS NULL) AS n_leaves FROM v LEFT JOIN ch USING (k) JOIN m ON m.c = v.conv_id AND m.d <= v.d GROUP BY m.k)
+SELECT v.conv_id, v.d AS depth, q.conv_id AS parent_conv_id, v.n_convs, coalesce(ch.n_children, 0) AS n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM v LEFT JOIN v AS q ON q.k = v.p LEFT JOIN ch ON ch.k = v.k JOIN s ON s.k = v.k
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup, "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe, "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op8_main_text": op8_main_text,
     "op9_quality": op9_quality, "op10_jaccard_join": op10_jaccard_join,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-ORACLE = {"op2_license_scan": LICENSE_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op5_pii": PII_SQL, "op6_exact_dedup": EXACT_SQL}
+ORACLE = {"op2_license_scan": LICENSE_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op5_pii": PII_SQL, "op6_exact_dedup": EXACT_SQL, "op11_prefix_trie": TRIE_SQL}
