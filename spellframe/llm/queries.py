@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, licenses, main_text, pii, prefix_trie, quality, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard, licenses, main_text, pii, prefix_trie, quality, substring_dedup, tokenizer_alignment, toxicity, url_templates
 from .common import read
 
 WORD_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -61,6 +61,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels come from the document that a page shows, whose number is the last part of its path: bad if of low quality or toxic."""
+    pages = read(spark, sf_dir, "pages")
+    number = F.regexp_extract(url_templates.host_and_path(F.col("url"))[1], r"/([0-9]{1,18})(?:\.html)?/?$", 1)
+    bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+    labels = pages.select("page_id", number.try_cast("long").alias("doc_id")).join(read(spark, sf_dir, "labels"), "doc_id")
+    return url_templates.url_verdicts(pages, labels.select("page_id", bad.alias("bad"))).select("page_id", "host", "path", "rule", "verdict", "purity")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.align_documents(read(spark, sf_dir, "documents"))
+
+
 def _phrases() -> str:
     rows = [(p, v, "true") for p, v in licenses.BASE_PHRASES.items()] + [(p, v, "false") for p, v in licenses.WORDINGS.items()]
     return ", ".join(f"({i}, string_split('{p}', ' '), '{v}', {b})" for i, (p, v, b) in enumerate(rows))
@@ -171,6 +184,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup, "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe, "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup, "op7_toxicity": op7_toxicity, "op8_main_text": op8_main_text,
     "op9_quality": op9_quality, "op10_jaccard_join": op10_jaccard_join,
-    "op11_prefix_trie": op11_prefix_trie,
+    "op11_prefix_trie": op11_prefix_trie, "op12_url_filter": op12_url_filter, "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLE = {"op2_license_scan": LICENSE_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op5_pii": PII_SQL, "op6_exact_dedup": EXACT_SQL, "op11_prefix_trie": TRIE_SQL}
