@@ -1,13 +1,15 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is cut into blocks: runs of text between block-level tags.  Each block has two groups of hashed features, the tags and
-class words on its path and the words it holds, with a few numbers (length, share of link text, place).  A bidirectional LSTM in numpy
+A page is cut into blocks: runs of text between block-level tags.  Tags are read by the attribute rules of HTML (an unquoted value may hold quotes)
+in one pass without backtracking, so any page takes linear time.  Each block has two groups of hashed features, the tags and
+class words on its path and all words it holds, with a few numbers (length, share of link text, place).  A bidirectional LSTM in numpy
 reads the blocks of the whole page and labels each as main text or not.
 
 The model is trained on generated pages whose layout varies (menus, headers, sidebars, notices, adverts, forms,
 comments, footers round an article), so it needs no labelled pages; training has a fixed size.  Every page is labelled over all its blocks.
 
-Cases: null and empty html give empty text and 0 characters; markup that never closes is read to the end, a head at the latest up to the first tag or text that can't be in it; content of script, style and the head is never
+Cases: null and empty html give empty text and 0 characters; a tag, comment or script that never closes reaches to the end, a quote that never closes is part of its
+value, a head ends at the latest before the first tag or text that can't be in it; content of script, style and the head is never
 text; each row gives a row, also repeated ones; an empty table gives an empty result; other columns are not read.
 """
 
@@ -17,6 +19,7 @@ import html as entities
 import pickle
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -36,50 +39,97 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style template noscript head title textarea select option iframe svg object".split())
 #: Tags that leave an open head as it is; any other one, and text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+NAMING = frozenset(("class", "id", "role"))
 REPEATED = frozenset("li tr td th dt dd option h1 h2 h3 h4 h5 h6".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.I)
+_NAME = r"[^\s/>][^\s/>=]*+"
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
+_ATTRIBUTES = rf"(?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+"
+#: Comment; element whose content is no markup; other declaration; tag; text.
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|textarea|title)(?=[\s/>]){_ATTRIBUTES}(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)|<(?:[!?]|/(?![A-Za-z]))[^>]*+(?:>|\Z)"
+                   rf"|<(/?)([A-Za-z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|([^<]++|<)", re.S | re.I)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+OPEN_VALUE = re.compile(r"=\s*+[^\s\"'][^\s]*+\Z")
 SPACE = re.compile(r"\s+")
 
 
 class Block:
+    """Text of a block, its length in links, and the hashed names on its path as bits."""
+
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: int, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
+class Stack:
+    """Open elements; every change costs the same at any depth."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.blocks: list[int] = []  # places of those that are not inline
+        self.marks: list[list[int]] = []
+        self.open: Counter[str] = Counter()
+        self.held = [0] * PATHS
+        self.path = self.links = self.silent = 0
+
+    def push(self, name: str, words: list[str]) -> None:
+        marks = [crc32(w.encode()) % PATHS for w in (name, *words)]
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.marks.append(marks)
+        self.open[name] += 1
+        for m in marks:
+            self.held[m] += 1
+            self.path |= 1 << m
+        self.links += name == "a"
+        self.silent += name in SILENT
+
+    def end(self, depth: int) -> None:
+        """The element at this depth and all inside it end."""
+        while len(self.names) > depth:
+            name = self.names.pop()
+            self.open[name] -= 1
+            for m in self.marks.pop():
+                self.held[m] -= 1
+                if not self.held[m]:
+                    self.path &= ~(1 << m)
+            self.links -= name == "a"
+            self.silent -= name in SILENT
+            if self.blocks and self.blocks[-1] == len(self.names):
+                self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        """The innermost element of this name ends, if there is one."""
+        if self.open[name]:
+            depth = len(self.names) - 1
+            while self.names[depth] != name:
+                depth -= 1
+            self.end(depth)
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, with decoded text and single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    links = linked = silent = 0
+    stack, parts, linked = Stack(), [], 0
 
     def close() -> None:
         nonlocal linked
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            out.append(Block(tuple(x for _, names in stack for x in names), text, linked))
+            out.append(Block(stack.path, text, linked))
         parts.clear()
         linked = 0
 
-    def end(depth: int) -> None:
-        """The element at this depth and all inside it end."""
-        nonlocal links, silent
-        for n, _ in stack[depth:]:
-            links -= n == "a"
-            silent -= n in SILENT
-        del stack[depth:]
-
+    in_head = lambda: bool(stack.names) and stack.names[-1] == "head"
     for m in TOKEN.finditer(page):
         text = m.group(5)
         if text is not None:
-            if stack and stack[-1][0] == "head" and not text.isspace():
-                end(len(stack) - 1)
-            if not silent:
+            if in_head() and not text.isspace():
+                stack.end(len(stack.names) - 1)
+            if not stack.silent:
                 parts.append(text)
-                linked += len(text) if links else 0
+                linked += len(text) if stack.links else 0
             continue
         name = m.group(3)
         if name is None:
@@ -88,43 +138,37 @@ def blocks(page: str) -> list[Block]:
         if m.group(2):
             if name not in INLINE:
                 close()
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != name:
-                depth -= 1
-            if depth >= 0:
-                end(depth)
+            stack.close(name)
             continue
-        if name == "body" and any(n == "head" for n, _ in stack):
-            end([n for n, _ in stack].index("head"))
-        elif stack and stack[-1][0] == "head" and name not in IN_HEAD:
-            end(len(stack) - 1)
+        if name == "body" and stack.open["head"]:
+            stack.end(stack.names.index("head"))
+        elif in_head() and name not in IN_HEAD:
+            stack.end(len(stack.names) - 1)
         if name not in INLINE:
             close()
-        if name in VOID or m.group(4).endswith("/"):
+        held = m.group(4)
+        if name in VOID or held.endswith("/") and not OPEN_VALUE.search(held):
             continue
-        if name not in INLINE:
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] in INLINE:
-                depth -= 1
-            if depth >= 0 and (stack[depth][0] == "p" or stack[depth][0] == name and name in REPEATED):
-                end(depth)  # an open paragraph or item ends here
-        named = NAMED.findall(m.group(4))
-        stack.append((name, (name, *("." + w for v in named for w in re.split(r"[\s_-]+", v.lower()) if w))))
-        links += name == "a"
-        silent += name in SILENT
+        if name not in INLINE and stack.blocks:
+            around = stack.names[stack.blocks[-1]]
+            if around == "p" or around == name and name in REPEATED:
+                stack.end(stack.blocks[-1])  # an open paragraph or item ends here
+        words = [w for key, *values in ATTRIBUTE.findall(held) if key.lower() in NAMING for w in re.split(r"[\s_-]+", "".join(values).lower()) if w] if held else []
+        stack.push(name, ["." + w for w in words])
     close()
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row per block: hashed path, hashed words, numbers."""
+    """One row per block: hashed path, hashed words as shares of all its words, numbers."""
     x = np.zeros((len(found), PATHS + WORDS + NUMBERS), np.float32)
+    if found:
+        paths = np.frombuffer(b"".join(b.path.to_bytes(PATHS // 8, "little") for b in found), np.uint8).reshape(len(found), -1)
+        x[:, :PATHS] = np.unpackbits(paths, axis=1, bitorder="little")
     for k, block in enumerate(found):
-        for part in block.path:
-            x[k, crc32(part.encode()) % PATHS] = 1
         words = block.text.lower().split(" ")
-        for word in words[:40]:  # the feature only; the text itself is never cut
-            x[k, PATHS + crc32(word.encode()) % WORDS] += 0.1
+        at = np.fromiter((crc32(w.encode()) % WORDS for w in words), np.int64, len(words))
+        x[k, PATHS:PATHS + WORDS] = np.bincount(at, minlength=WORDS) * (2 / len(words))
         x[k, -NUMBERS:] = (np.log1p(len(words)) / 5, min(1.0, block.linked / len(block.text)), k / len(found), 1.0)
     return x
 
