@@ -14,7 +14,8 @@
 Links between different texts number up to the square of a group of near copies: all are verified, but they stay inside tasks.
 
 Cases: null and empty texts have no words, no links and a group of their own; texts of 1 to n - 1 words have one n-gram of all words;
-rows that repeat an id each get a result row; a row without an id gets no links but its class; an empty table gives an empty result; other
+a document is a distinct (id, text), so an id may stand with several texts, be missing (then it comes last) or of any type that has an order;
+rows that repeat an id and its text each get a result row and are copies of each other; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -333,9 +334,24 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return member.select("id", "n_words", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: id, class_id (smallest id with the same words), group_id (smallest id linked over any path), n_links (other
-    documents at the threshold or above), n_words."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows with ``_row``, a number for each distinct (id, text), in the order of the ids; a missing id comes last."""
+    order = [F.asc_nulls_last("_id"), F.col("_h")]
+    keys = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h")).distinct()
+    keys = stage(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_h"))
+    return docs.join(keys, same).drop("_h")
+
+
+def plain_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether the ids are whole numbers that stand for one row each."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return False
+    ids = docs.select(F.col(id_col).alias("id"))
+    return ids.where("id IS NULL").isEmpty() and not repeated_ids(ids)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
     member, links = jaccard_links(docs, id_col, text_col, words, threshold)
     partners = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
     known = components(links.where("b IS NOT NULL")).withColumnRenamed("node", "rep").join(partners, "rep", "left")
@@ -344,7 +360,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "n_words")
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """Per document: id, class_id (smallest id with the same words), group_id (smallest id linked over any path), n_links (other
+    documents at the threshold or above), n_words."""
+    if plain_ids(docs, id_col):
+        return _near_duplicates(docs, id_col, text_col, words, threshold)
+    rows = numbered(docs, id_col, text_col)
+    names = stage(rows.select("_row", "_id").distinct(), "names")
+    found = _near_duplicates(rows, "_row", text_col, words, threshold)
+    for column in ("class_id", "group_id"):
+        found = found.join(names.select(F.col("_row").alias(column), F.col("_id").alias("_" + column)), column, "left").drop(column)
+    return found.join(names, "_row").select(F.col("_id").alias(id_col), F.col("_class_id").alias("class_id"), F.col("_group_id").alias("group_id"), "n_links", "n_words")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have a smaller id in their group; columns as given."""
-    gone = near_duplicates(docs, id_col, text_col).where(f"{id_col} <> group_id").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    """The documents without those that have a smaller one (by id, then text hash) in their group; columns as given."""
+    plain = plain_ids(docs, id_col)
+    rows, key = (docs, id_col) if plain else (numbered(docs, id_col, text_col), "_row")
+    found = _near_duplicates(rows, key, text_col, WORDS, THRESHOLD)
+    gone = found.where(F.col(key) != F.col("group_id")).select(F.col(key).alias("_gone"))
+    kept = rows.join(gone.distinct(), F.col(key) == F.col("_gone"), "left_anti")
+    return kept if plain else kept.dropDuplicates(["_row"]).select(*docs.columns)
