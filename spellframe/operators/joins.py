@@ -10,23 +10,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import any_null
-from .skew import find_hot, salted_join, semi_join
+from .skew import find_sized, salted_join, semi_join
 
 
-def unique_or_fail(df: DataFrame, on: list[str], label: str = "join") -> DataFrame:
-    """Same rows; a repeated key fails the job that reads it (no separate pass)."""
+def _counted(df: DataFrame, on: list[str], label: str) -> DataFrame:
+    """One row per key with its number of rows; a filter fails the job at a key that has several."""
     rest = [c for c in df.columns if c not in on]
     payload = F.struct(*rest) if rest else F.struct(F.lit(True).alias("_present"))
     grouped = (df.where(~any_null(on)).groupBy(*on)
                  .agg(F.count(F.lit(1)).alias("_n"), F.first(payload).alias("_row")))
-    checked = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{label}: key is not unique"))).otherwise(F.col("_row"))
-    return (grouped.withColumn("_row", checked).where(F.col("_row").isNotNull())
-                   .select(*on, *[F.col("_row")[c].alias(c) for c in rest]))
+    single = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{label}: key is not unique")).cast("boolean")).otherwise(True)
+    return grouped.where(single).select(*on, *[F.col("_row")[c].alias(c) for c in rest], "_n")
+
+
+def unique_or_fail(df: DataFrame, on: list[str], label: str = "join") -> DataFrame:
+    """Same rows; a repeated key fails the job that reads it (no separate pass), whichever columns the job asks for.
+
+    The check is a filter, so neither a count nor a selection of other columns drops it.
+    """
+    return _counted(df, on, label).drop("_n")
+
+
+def _once(joined: DataFrame) -> DataFrame:
+    """Rows of a join with a counted right side.
+
+    The filter reads the right side's count and passes every row: without it a left join whose right columns are not
+    asked for would be dropped from the plan, and its check with it.
+    """
+    return joined.where(F.coalesce(F.col("_n") >= 1, F.lit(True))).drop("_n")
+
+
+def key_violations(df: DataFrame, on: list[str]) -> DataFrame:
+    """Keys that would fail the checked joins, with their number of rows; rows without a key don't count."""
+    return df.select(*on).where(~any_null(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("key_rows")).where("key_rows > 1")
 
 
 def checked_left_join(left: DataFrame, right: DataFrame, on: list[str], label: str = "join") -> DataFrame:
-    """Left join that cannot change the number of left rows."""
-    return salted_join(left, unique_or_fail(right, on, label), on, "left", hot=find_hot(left, on))
+    """Left join that cannot change the number of left rows; a repeated right key fails every job on it, also a count."""
+    return _once(salted_join(left, _counted(right, on, label), on, "left", hot=find_sized(left, on)))
 
 
 def validated_merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
@@ -35,12 +56,12 @@ def validated_merge(left: DataFrame, right: DataFrame, on: list[str], how: str =
         raise ValueError(f"unknown validation {validate!r}")
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join {how!r}")
-    right = unique_or_fail(right, on, "right side").withColumn("_r", F.lit(True))
+    right = _counted(right, on, "right side").withColumn("_r", F.lit(True))
     if validate == "one_to_one":
         nulls = left.where(any_null(on))
         left = unique_or_fail(left, on, "left side").unionByName(nulls)
     # keys of a one-to-one join are unique on both sides
-    out = salted_join(left, right, on, how, hot=None if validate == "one_to_one" else find_hot(left, on))
+    out = _once(salted_join(left, right, on, how, hot=None if validate == "one_to_one" else find_sized(left, on)))
     if indicator:
         out = out.withColumn(indicator, F.when(F.col("_r"), "both").otherwise("left_only"))
     return out.drop("_r")
@@ -77,35 +98,31 @@ def join_audit(left: DataFrame, right: DataFrame, left_on: list[str], right_on:
              F.lit(relation).alias("relationship"))
 
 
-def _condition(left: DataFrame, right: DataFrame, keys: list[str], nullable: list[str]):
-    conds = [left[k].eqNullSafe(right[k]) if k in nullable else left[k] == right[k] for k in keys]
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
-
-
 def semi_match(raw: DataFrame, structured: DataFrame, keys: list[str], nullable: list[str] = ()) -> DataFrame:
     """Raw rows that have a structured counterpart; copies of raw rows stay, none multiplies.
 
     Keys listed in ``nullable`` also pair NULL with NULL (rows without a person match on the
-    remaining keys only when the other side has no person either).  The distinct uses the
-    join's own partitioning, so it costs no extra shuffle.
+    remaining keys only when the other side has no person either).  A key with very many rows is
+    dealt over salts by its size; the distinct keys of the other side are repeated for such keys only.
     """
-    wanted = structured.select(*keys).where(~any_null([k for k in keys if k not in nullable])).distinct()
-    return raw.join(wanted, _condition(raw, wanted, keys, list(nullable)), "left_semi")
+    wanted = structured.select(*keys).distinct()
+    found = salted_join(raw, wanted, keys, "left_semi", hot=find_sized(raw, keys, nullable=nullable), nullable=nullable)
+    return found.select(*raw.columns)
+
+
+def _without(df: DataFrame, known: DataFrame, keys: list[str], nullable: list[str], hot: DataFrame | None) -> DataFrame:
+    return salted_join(df, known.select(*keys).distinct(), keys, "left_anti", hot=hot, nullable=nullable).select(*df.columns)
 
 
 def unmatched(structured: DataFrame, raw: DataFrame, keys: list[str], nullable: list[str] = ()) -> DataFrame:
-    """Structured rows without a raw counterpart."""
-    known = raw.select(*keys).distinct()
-    return structured.join(known, _condition(structured, known, keys, list(nullable)), "left_anti")
+    """Structured rows without a raw counterpart; hot keys are dealt as in ``semi_match``, rows without a key over all tasks."""
+    return _without(structured, raw, keys, list(nullable), find_sized(structured, keys, nullable=nullable))
 
 
 def unmatched_count(structured: DataFrame, raw: DataFrame, keys: list[str], nullable: list[str] = ()) -> DataFrame:
     """Number of such rows, from per-key counts."""
     per_key = structured.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return unmatched(per_key, raw, keys, nullable).agg(
+    return _without(per_key, raw, keys, list(nullable), None).agg(
         F.coalesce(F.sum("_n"), F.lit(0).cast("bigint")).alias("unmatched_rows"))
 
 
@@ -126,7 +143,7 @@ def guarded_key_join(raw: DataFrame, structured: DataFrame, key: str) -> DataFra
     side = structured.select(F.col(key).cast("bigint").alias("_key"),
                              *[c for c in structured.columns if c != key])
     narrow = raw.withColumn("_key", F.col(key).try_cast("bigint"))
-    return salted_join(narrow, side, ["_key"]).drop("_key")  # rows without a 64-bit id are spread
+    return salted_join(narrow, side, ["_key"], hot=find_sized(narrow, ["_key"])).drop("_key")  # rows without a 64-bit id are spread
 
 
 def top_matches(left: DataFrame, right: DataFrame, on: list[str], order: list, n: int) -> DataFrame:
@@ -138,12 +155,12 @@ def top_matches(left: DataFrame, right: DataFrame, on: list[str], order: list, n
     w = Window.partitionBy(*on).orderBy(*order)
     best = (right.where(~any_null(on)).withColumn("match_rank", F.row_number().over(w))
                  .where(F.col("match_rank") <= n))
-    return salted_join(left, best, on, "inner", hot=find_hot(left, on))
+    return salted_join(left, best, on, "inner", hot=find_sized(left, on))
 
 
 def membership_flag(df: DataFrame, ids: DataFrame, key: str, flag: str, measure: DataFrame | None = None) -> DataFrame:
     """True where ``key`` is among ``ids``; ``measure`` is a cheaper frame with the same keys to look for hot ones."""
-    hot = find_hot(df if measure is None else measure, [key])
+    hot = find_sized(df if measure is None else measure, [key])
     known = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
     return salted_join(df, known, [key], "left", hot=hot).withColumn(flag, F.coalesce(flag, F.lit(False)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .joins import semi_match, unmatched_count
-from .skew import find_hot, salted_join, semi_join
+from .skew import find_sized, salted_join, semi_join
 
 
 def country_cohort(users: DataFrame, spells: DataFrame, country, person: str = "user_id",
@@ -140,5 +140,5 @@ def split_disjoint(df: DataFrame, key: str, size: int, batch: str = "batch") ->
         raise ValueError("batch size must be positive")
     slots = ordered_rank(df, key).select(key, F.floor(F.col("rank0") / size).alias(batch))
     some = df.where(F.col(key).isNotNull())
-    keyed = salted_join(some, slots, [key], hot=find_hot(some, [key]))
+    keyed = salted_join(some, slots, [key], hot=find_sized(some, [key]))
     return keyed.unionByName(df.where(F.col(key).isNull()).withColumn(batch, F.lit(-1).cast("bigint")))

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import any_null, blank_to_null, first_reason
-from .skew import find_hot, salted_join
+from .skew import find_sized, salted_join
 
 
 class Deduplicated:
-    """Outcome of ``dedupe_quarantine``; every frame is lazy."""
+    """Outcome of ``dedupe_quarantine``: everything but the quarantined rows comes from one table of keys."""
 
-    def __init__(self, rows: DataFrame, keys: DataFrame, key: list[str], columns: list[str], hot: DataFrame | None):
-        self._rows, self._keys, self._key, self._columns, self._hot = rows, keys, key, columns, hot
+    def __init__(self, rows: DataFrame, keys: DataFrame, key: list[str], columns: list[str]):
+        self._rows, self._key, self._columns = rows, key, columns
+        self._all, self._keys = keys, keys.where(~any_null(key))
         self._clash = F.col("_versions") > 1
 
     @property
@@ -38,7 +40,7 @@ class Deduplicated:
         clashing = self._keys.where(self._clash).select(*self._key)
         null = any_null(self._key)
         keyed = self._rows.where(~null)
-        conflicts = salted_join(keyed, clashing, self._key, "left_semi", hot=self._hot)
+        conflicts = salted_join(keyed, clashing, self._key, "left_semi", hot=find_sized(keyed, self._key))
         return (conflicts.withColumn("quarantine_reason", F.lit("conflicting_duplicate_key"))
                 .unionByName(self._rows.where(null).withColumn("quarantine_reason", F.lit("missing_key"))))
 
@@ -47,48 +49,49 @@ class Deduplicated:
         """One row; kept + collapsed + conflicting + null = rows_in."""
         n, zero = F.col("_copies"), F.lit(0).cast("bigint")
         total = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), zero)
-        lost = self._rows.where(any_null(self._key)).agg(F.count(F.lit(1)).alias("null_key_rows")).scalar()
-        got = self._keys.agg(
-            F.coalesce(F.sum(n), zero).alias("_keyed"), F.count(F.lit(1)).alias("distinct_keys"),
-            total(~self._clash, n - 1).alias("exact_duplicate_rows_collapsed"), F.count_if(self._clash).alias("conflicting_keys"),
-            total(self._clash, n).alias("rows_in_conflicting_keys"), F.count_if(~self._clash).alias("rows_kept"))
-        return got.select((F.col("_keyed") + lost).alias("rows_in"), *got.columns[1:], lost.alias("null_key_rows"))
+        null = any_null(self._key)
+        got = self._all.agg(
+            F.coalesce(F.sum(n), zero).alias("rows_in"), F.count_if(~null).alias("distinct_keys"),
+            total(~null & ~self._clash, n - 1).alias("exact_duplicate_rows_collapsed"), F.count_if(~null & self._clash).alias("conflicting_keys"),
+            total(~null & self._clash, n).alias("rows_in_conflicting_keys"), F.count_if(~null & ~self._clash).alias("rows_kept"),
+            total(null, n).alias("null_key_rows"))
+        return got
 
 
-def _copies(df: DataFrame) -> DataFrame:
-    """One row per distinct content with its number of copies; copies collapse map-side.
+def content_digest(columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of a content; a NULL is told from every value."""
+    parts = [p for c in columns for p in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"_d{seed}") for seed in (1, 2)]
 
-    Grouping on the columns themselves keeps NULL apart from every value and cannot collide.
-    """
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
 
+def _copies(df: DataFrame, key: list[str], *aggs: Column) -> DataFrame:
+    """One row per key and content digest with its number of copies; copies collapse map-side, so no key is hot by its copies."""
+    return df.groupBy(*key, *content_digest([c for c in df.columns if c not in key])).agg(F.count(F.lit(1)).alias("_n"), *aggs)
 
-def _per_key(df: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame:
-    """Per non-NULL key: number of contents, of rows, and one content.
 
-    Placed by key, both aggregates run behind one shuffle.  When some key is hot, rows stay
-    where they are and copies collapse map-side first, at the price of a second shuffle.
-    """
-    rows = df.where(~any_null(key))
-    placed = rows.repartition(*key) if hot is None else rows
+def _per_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """Per key, NULL keys too: number of contents, of rows, and the content of a key that has one."""
     payload = [c for c in df.columns if c not in key]
-    return _copies(placed).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_versions"), F.sum("_n").alias("_copies"),
-        F.first(F.struct(*payload) if payload else F.struct(F.lit(None).alias("_none"))).alias("_row"))
+    row = F.struct(*payload) if payload else F.struct(F.lit(None).alias("_none"))
+    return _copies(df, key, F.first(row).alias("_row")).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_versions"), F.sum("_n").alias("_copies"), F.first("_row").alias("_row"))
 
 
-def dedupe_quarantine(df: DataFrame, key: list[str], columns: list[str]) -> Deduplicated:
-    """Collapse exact copies; set aside rows with a NULL key or a key with several contents."""
+def dedupe_quarantine(df: DataFrame, key: list[str], columns: list[str], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Deduplicated:
+    """Collapse exact copies; set aside rows with a NULL key or a key with several contents.
+
+    Two levels: by (key, content digest), then by key.  ``keep`` is applied to the table of keys; pass one that writes it when
+    kept rows, counts and quarantine are all read.
+    """
     rows = df.select(*key, *columns)
-    hot = find_hot(df, key)
-    return Deduplicated(rows, _per_key(rows, key, hot), key, columns, hot)
+    return Deduplicated(rows, keep(_per_key(rows, key)), key, columns)
 
 
 def key_checks(df: DataFrame, key: list[str] | None) -> DataFrame:
     """One row of duplicate and conflict counts for a declared key, or for whole rows."""
     zero = F.lit(0).cast("bigint")
     if not key:
-        return _copies(df).agg(
+        return _copies(df, []).agg(
             F.coalesce(F.sum(F.col("_n") - 1), zero).alias("exact_duplicate_rows"),
             F.count(F.lit(1)).alias("distinct_rows"))
     missing = [k for k in key if k not in df.columns]
@@ -97,7 +100,7 @@ def key_checks(df: DataFrame, key: list[str] | None) -> DataFrame:
     null, n, v = any_null(key), F.col("_copies"), F.col("_versions")
     repeated = ~null & (n > 1)
     total = lambda cond, value: F.coalesce(F.sum(F.when(cond, value)), zero)
-    return _copies(df).groupBy(*key).agg(
+    return _copies(df, key).groupBy(*key).agg(
         F.count(F.lit(1)).alias("_versions"), F.sum("_n").alias("_copies")).agg(
         total(null, n).alias("null_key_rows"), F.count_if(repeated).alias("duplicate_key_groups"),
         total(repeated, n).alias("rows_in_duplicate_keys"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
-from .skew import find_hot, salted_join
+from .skew import find_sized, salted_join
 
 # A page is read into pieces: (OPEN, tag), (CLOSE, tag) and (TEXT, characters).  What a tag leaves behind stands in two tables.
 OPEN, CLOSE, TEXT = "<", "</", ""
@@ -121,7 +121,7 @@ def audit_evidence(results: DataFrame, sources: DataFrame, languages: DataFrame,
     counts = results.groupBy("record_id").agg(F.count(F.lit(1)).alias("_copies"))
     truth = sources.select("record_id", F.col("description").alias("_text"), F.lit(True).alias("_known")).join(
         languages.select("record_id", F.col("languages").alias("_langs")), "record_id", "left")
-    j = salted_join(results, counts.join(truth, "record_id", "left"), ["record_id"], hot=find_hot(results, ["record_id"]))
+    j = salted_join(results, counts.join(truth, "record_id", "left"), ["record_id"], hot=find_sized(results, ["record_id"]))
     langs = F.col("detected_languages")
     shape = [(~F.col("reading_status").isin(*V.READING_STATUSES), "reading_status"),
              ((F.size(langs) < 1) | (F.size(langs) != F.size(F.array_distinct(langs))), "detected_languages"),
@@ -169,7 +169,7 @@ def request_audit(requests: DataFrame, sources: DataFrame, model: str) -> DataFr
         ((F.size("_s") == 1) & F.array_sort(F.map_keys(first)).eqNullSafe(F.array(*[F.lit(k) for k in ("description", "record_id", "title")])))
         .alias("_shape"))
     truth = sources.select("record_id", F.col("description").alias("_sd"), F.col("title").alias("_st"), F.lit(True).alias("_known"))
-    j = salted_join(rows, truth, ["record_id"], hot=find_hot(rows, ["record_id"]))
+    j = salted_join(rows, truth, ["record_id"], hot=find_sized(rows, ["record_id"]))
     rules = [(~F.coalesce("_settings", F.lit(False)), "settings"), (~F.coalesce("_shape", F.lit(False)), "one record with three fields"),
              (F.col("_known").isNull(), "unknown id"),
              (F.col("_known") & ~(F.col("_d").eqNullSafe(F.col("_sd")) & F.col("_t").eqNullSafe(F.col("_st"))), "changed text")]

@@ -12,7 +12,7 @@ from ..functions import (blank_to_null, distinct_from, first_reason, month_index
                          quarter_of_month, taxonomy_match, taxonomy_rule_ids, title_status)
 from ..operators.joins import membership_flag
 from ..operators.quality import Deduplicated, dedupe_quarantine
-from ..operators.skew import find_hot, salted_join
+from ..operators.skew import find_sized, salted_join
 from .config import HistoryConfig
 
 TEXT_FIELDS = ("country", "state", "metro_area", "city", "region", "msa")
@@ -66,7 +66,7 @@ def attach_lookup(positions: DataFrame, lookup: Deduplicated, key: str, flag: st
     are spread.
     """
     side = lookup.kept.withColumn("_known", F.lit(True))
-    return (salted_join(positions, side, [key], hot=find_hot(measure, [key]))
+    return (salted_join(positions, side, [key], hot=find_sized(measure, [key]))
             .withColumn(flag, F.when(F.col(key).isNotNull() & F.col("_known").isNull(), True)).drop("_known"))
 
 
@@ -131,23 +131,24 @@ def clean(positions: DataFrame, users: DataFrame, cohort: DataFrame, cfg: Histor
           keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Cleaned:
     """``lookups``: name -> (frame, key column, flag column for unknown keys).
 
-    ``keep`` is applied to the two frames later steps read several times; pass
-    ``session.stage`` to write them once instead of recomputing them.
+    ``keep`` is applied to the frames that later steps read several times: the keys of each table (kept rows, counts and
+    quarantine come from them), the spells and the people; pass ``session.stage`` to write them once.
     """
+    dedupe = lambda name, df, key, columns: dedupe_quarantine(df, [key], columns, lambda k: keep(k, f"{name}_keys"))
     rest = lambda df, *keys: [c for c in df.columns if c not in keys]
-    d = {"positions": dedupe_quarantine(positions, ["position_id"], rest(positions, "position_id")),
-         "users": dedupe_quarantine(users, ["user_id"], rest(users, "user_id")),
-         "cohort": dedupe_quarantine(cohort.select("user_id"), ["user_id"], [])}
+    d = {"positions": dedupe("positions", positions, "position_id", rest(positions, "position_id")),
+         "users": dedupe("users", users, "user_id", rest(users, "user_id")),
+         "cohort": dedupe("cohort", cohort.select("user_id"), "user_id", [])}
     joined = d["positions"].kept
     if positions_raw is not None:
-        d["raw_titles"] = dedupe_quarantine(positions_raw, ["position_id"], ["user_id", "title_raw"])
+        d["raw_titles"] = dedupe("raw_titles", positions_raw, "position_id", ["user_id", "title_raw"])
         joined = join_titles(joined, d["raw_titles"])
     keys = {"positions": "position_id", "users": "user_id", "cohort": "user_id", "raw_titles": "position_id"}
     for name, (frame, key, flag) in (lookups or {}).items():
-        d[name] = dedupe_quarantine(frame, [key], rest(frame, key))
+        d[name] = dedupe(name, frame, key, rest(frame, key))
         keys[name] = key
         joined = attach_lookup(joined, d[name], key, flag, positions)
-    joined = membership_flag(joined, d["cohort"].kept, "user_id", "in_cohort", measure=positions)
+    joined = membership_flag(joined, d["cohort"].kept, "user_id", "in_cohort", measure=d["positions"].kept)
     ruled = keep(apply_rules(joined, cfg), "positions")
     universe = keep(user_universe(ruled, d["cohort"], d["users"], cfg), "users")
     return Cleaned(ruled, universe, d, keys)
