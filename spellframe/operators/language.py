@@ -2,8 +2,9 @@
 
 A character n-gram model trained from labelled text stands in for a detector library;
 the policy on top of it (spans, groups, scripts) is exact for any given spans.  Passages
-tile the whole text; n-grams are made and summed inside the scan task, so only one narrow
-row per passage is shuffled, never text or n-grams.
+tile the whole text: a sentence, or where a sentence is longer than ``PASSAGE_CHARS`` a piece that goes on to the
+end of the word; no word is ever cut.  Texts are dealt over the tasks before they are scored.  A model whose written size is below
+``MODEL_BYTES`` is broadcast, so n-grams are summed where they are made; a larger one is joined by n-gram with salts for the frequent ones.
 """
 
 from __future__ import annotations
@@ -16,11 +17,17 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.periods import _col
 from ..session import stage
+from .skew import dealt, find_sized, salted_join
 
 GRAM = 3
+#: Length from which a sentence may end at white space.
 PASSAGE_CHARS = 400
+SCRIPTS = ("simplified", "traditional")
+#: Size in memory up to which a model is broadcast.
+MODEL_BYTES = 256 * 2**20
 _END = r"\n.!?。！？"
-_PASSAGE = f"[^{_END}]{{0,{PASSAGE_CHARS}}}[{_END}]+|[^{_END}]{{1,{PASSAGE_CHARS}}}"
+_SPACE = r" \t\r\f"
+PASSAGE = f"[^{_END}]{{0,{PASSAGE_CHARS}}}[{_END}]+|[^{_END}]{{{PASSAGE_CHARS}}}[^{_END}{_SPACE}]*[{_END}{_SPACE}]*|[^{_END}]+"
 
 
 def letters(text) -> Column:
@@ -35,13 +42,13 @@ def _grams(text: Column) -> Column:
 
 def passages(df: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, pos, passage): consecutive pieces that together are the whole text."""
-    return df.select(ident, text).select(ident, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_PASSAGE), F.lit(0))).alias("pos", "passage"))
+    return df.select(ident, text).select(ident, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PASSAGE), F.lit(0))).alias("pos", "passage"))
 
 
 def language_profiles(labelled: DataFrame, text: str, label: str, labels: list[str], alpha: float = 0.5) -> DataFrame:
     """(gram, logp array in the order of ``labels``) for all grams of the labelled texts."""
-    pieces = labelled.where(F.col(label).isin(*labels)).select(label, text).select(
-        label, F.explode(F.regexp_extract_all(F.col(text), F.lit(_PASSAGE), F.lit(0))).alias("p"))
+    pieces = dealt(labelled.where(F.col(label).isin(*labels)).select(label, text)).select(
+        label, F.explode(F.regexp_extract_all(F.col(text), F.lit(PASSAGE), F.lit(0))).alias("p"))
     number = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label))  # compared per gram: an int is cheaper
     grams = pieces.select(number.alias("_l"), _grams(F.col("p")).alias("_g")).select("_l", F.explode("_g").alias("gram"))
     counts = stage(grams.groupBy("gram").agg(*[F.count_if(F.col("_l") == i + 1).alias(f"_c{i}") for i in range(len(labels))]), "gram_counts")
@@ -50,9 +57,17 @@ def language_profiles(labelled: DataFrame, text: str, label: str, labels: list[s
     return counts.select("gram", F.array(*[share(f"_c{i}") for i in range(len(labels))]).alias("logp"))
 
 
+def _with_model(grams: DataFrame, profiles: DataFrame, labels: list[str], how: str) -> DataFrame:
+    """The n-grams with their log probabilities."""
+    size = profiles.count() * (64 + 8 * len(labels))  # key, offsets and one number per label in a row of the hash table
+    if size <= MODEL_BYTES:
+        return grams.join(F.broadcast(profiles), "gram", how)
+    return salted_join(grams, profiles, ["gram"], how, hot=find_sized(grams, ["gram"]))
+
+
 def _log_scores(pieces: DataFrame, keys: list[str], profiles: DataFrame, labels: list[str], text: str) -> DataFrame:
     grams = pieces.select(*keys, F.explode(_grams(F.col(text))).alias("gram"))
-    hit = grams.join(profiles, "gram")
+    hit = _with_model(grams, profiles, labels, "inner")
     return hit.groupBy(*keys).agg(*[F.sum(F.col("logp")[i]).alias(f"_s{i}") for i in range(len(labels))])
 
 
@@ -67,26 +82,43 @@ def _top_two(scored: DataFrame, labels: list[str]) -> DataFrame:
             .drop("_r", "_t", *[f"_s{i}" for i in range(len(labels))]))
 
 
-def score_passages(df: DataFrame, ident: str, text: str, profiles: DataFrame, labels: list[str]) -> DataFrame:
-    """Spans (id, start, end, language, letters, confidence, second) of every scorable passage."""
-    parts = passages(df, ident, text)
+def exclusive_characters(text, alphabet: str) -> Column:
+    """The distinct characters of the alphabet in a text, as an array of at most its size."""
+    # The alphabet joins the pattern as data, so no character acts as regex syntax.
+    only = F.regexp_replace(_col(text), "[^\\Q" + alphabet + "\\E]", "")
+    return F.array_sort(F.array_distinct(F.filter(F.split(only, ""), lambda x: x != "")))
+
+
+def score_passages(df: DataFrame, ident: str, text: str, profiles: DataFrame, labels: list[str], alphabets: tuple[str, str] | None = None) -> DataFrame:
+    """Spans (id, start, end, language, letters, confidence, second) of every scorable passage.
+
+    With ``alphabets`` (characters of one Chinese script only, simplified and traditional) also ``simplified`` and ``traditional``:
+    those that stand in the passage.
+    """
+    parts = passages(dealt(df.select(ident, text)), ident, text)
+    scripts = dict(zip(SCRIPTS, alphabets or (), strict=False))
     # Length and letters are summed with the scores in one aggregate, so passages travel once.
     # Measured in a projection of their own: next to explode they would be computed per gram.
-    sized = parts.select(ident, "pos", F.length("passage").alias("_len"), letters("passage").alias("_letters"),
-                         _grams(F.col("passage")).alias("_g"))
-    grams = sized.select(ident, "pos", "_len", "_letters", F.explode_outer("_g").alias("gram"))
-    hit = grams.join(profiles, "gram", "left")
+    sized = parts.select(ident, "pos", F.length("passage").alias("_len"), letters("passage").alias("_letters"), _grams(F.col("passage")).alias("_g"),
+                         *[F.concat_ws("", exclusive_characters("passage", a)).alias(s) for s, a in scripts.items()])
+    grams = sized.select(ident, "pos", "_len", "_letters", *scripts, F.explode_outer("_g").alias("gram"))
+    hit = _with_model(grams, profiles, labels, "left")
     scored = hit.groupBy(ident, "pos").agg(
-        F.max("_len").alias("_len"), F.max("_letters").alias("letters"),
+        F.max("_len").alias("_len"), F.max("_letters").alias("letters"), *[F.max(s).alias(s) for s in scripts],
         *[F.sum(F.col("logp")[i]).alias(f"_s{i}") for i in range(len(labels))])
     w = Window.partitionBy(ident).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = scored.withColumn("end", F.sum("_len").over(w)).withColumn("start", F.col("end") - F.col("_len"))
     return (_top_two(placed.where(F.col("_s0").isNotNull()), labels)
-            .select(ident, "start", "end", "language", "letters", "confidence", "second"))
+            .select(ident, "start", "end", "language", "letters", "confidence", "second", *scripts))
+
+
+def _joined_characters(column: str) -> Column:
+    """Distinct characters of several short strings; bounded by the alphabet they come from."""
+    return F.concat_ws("", F.array_sort(F.array_distinct(F.split(F.array_join(F.collect_set(column), ""), ""))))
 
 
 def merge_spans(spans: DataFrame, ident: str) -> DataFrame:
-    """Confident spans; touching spans of one language become one (weakest confidence and margin)."""
+    """Confident spans; touching spans of one language become one (weakest confidence and margin, all their script characters)."""
     margin = F.col("confidence") - F.col("second")
     sure = spans.where((F.col("letters") > 0) & (F.col("confidence") >= V.MIN_CONFIDENCE) & (margin >= V.MIN_MARGIN)
                        ).withColumn("margin", margin)
@@ -96,15 +128,30 @@ def merge_spans(spans: DataFrame, ident: str) -> DataFrame:
         "_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(ident, "_island", "language").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("letters").alias("letters"),
-        F.min("confidence").alias("confidence"), F.min("margin").alias("margin")).drop("_island")
+        F.min("confidence").alias("confidence"), F.min("margin").alias("margin"),
+        *[_joined_characters(s).alias(s) for s in SCRIPTS if s in spans.columns]).drop("_island")
+
+
+def language_letters(merged: DataFrame, ident: str) -> DataFrame:
+    """(id, language, letters) over the passages that count."""
+    return merged.where(F.col("letters") >= V.MIN_PASSAGE_LETTERS).groupBy(ident, "language").agg(F.sum("letters").alias("letters"))
+
+
+def chinese_scripts(merged: DataFrame, ident: str) -> DataFrame:
+    """(id, chinese_script) by the characters of the Chinese passages that count: two or more of one script and none of the other."""
+    counted = merged.where((F.col("letters") >= V.MIN_PASSAGE_LETTERS) & (F.col("language") == "Chinese"))
+    sets = counted.groupBy(ident).agg(*[_joined_characters(s).alias(s) for s in SCRIPTS])
+    return sets.select(ident, _script(*[F.length(s) for s in SCRIPTS]).alias("chinese_script"))
 
 
 def classify_language(merged: DataFrame, documents: DataFrame, ident: str) -> DataFrame:
     """Group of each document by the policy; NULL when ambiguous.
 
     ``documents``: id, ``letters`` (all letters of the text) and ``chinese_script`` (NULL when
-    undecided).  Passages below the minimum do not count.
+    undecided); without that column the script comes from the characters of the Chinese passages.  Passages below the minimum do not count.
     """
+    if "chinese_script" not in documents.columns:
+        documents = documents.join(chinese_scripts(merged, ident), ident, "left")
     big = F.col("letters") >= V.MIN_PASSAGE_LETTERS
     per = merged.where(big).groupBy(ident).agg(
         *[F.coalesce(F.sum(F.when(F.col("language") == g, F.col("letters"))), F.lit(0)).alias(f"_{i}")
@@ -129,26 +176,27 @@ def classify_language(merged: DataFrame, documents: DataFrame, ident: str) -> Da
 
 def script_variant(text, simplified: str, traditional: str, least: int = V.SCRIPT_MIN_DISTINCT) -> Column:
     """'simplified' / 'traditional' by distinct exclusive characters, NULL when absent or opposing."""
-    def distinct(chars):
-        # The alphabet joins the pattern as data, so no character acts as regex syntax.
-        only = F.regexp_replace(_col(text), "[^\\Q" + chars + "\\E]", "")
-        return F.size(F.array_distinct(F.filter(F.split(only, ""), lambda x: x != "")))
-    s, t = distinct(simplified), distinct(traditional)
+    return _script(*[F.size(exclusive_characters(text, a)) for a in (simplified, traditional)], least)
+
+
+def _script(s: Column, t: Column, least: int = V.SCRIPT_MIN_DISTINCT) -> Column:
     return F.when((s >= least) & (t == 0), "simplified").when((t >= least) & (s == 0), "traditional")
 
 
 def english_screen(classified: DataFrame, documents: DataFrame, ident: str, text: str) -> DataFrame:
     """Accepted only when the group is English and no other substantial passage stands in it."""
-    blank = F.col(text).isNull() | ~F.col(text).rlike(r"(?U)\S")
+    blank = F.col("_blank")
     ok = F.coalesce((F.col("language_group") == "English") & (F.col("other_passages") == 0), F.lit(False)) & ~blank
     reason = F.when(blank, "empty_description").when(ok, "english").otherwise("non_english_mixed_or_uncertain")
-    return documents.select(ident, text).join(classified, ident, "left").select(ident, ok.alias("accepted"), reason.alias("reason"))
+    # Only the flag goes through the join, not the text.
+    flagged = documents.select(ident, (F.col(text).isNull() | ~F.col(text).rlike(r"(?U)\S")).alias("_blank"))
+    return flagged.join(classified, ident, "left").select(ident, ok.alias("accepted"), reason.alias("reason"))
 
 
 def dominant_language(df: DataFrame, ident: str, text: str, profiles: DataFrame, labels: list[str]) -> DataFrame:
     """Main language of a whole document, 'uncertain' below the policy's minimum evidence."""
     sizes = df.select(ident, letters(text).alias("letters"))
-    scored = _top_two(_log_scores(passages(df, ident, text), [ident], profiles, labels, "passage"), labels)
+    scored = _top_two(_log_scores(passages(dealt(df.select(ident, text)), ident, text), [ident], profiles, labels, "passage"), labels)
     sure = ((F.col("letters") >= V.MIN_PASSAGE_LETTERS) & (F.col("confidence") >= V.MIN_CONFIDENCE)
             & (F.col("confidence") - F.col("second") >= V.MIN_MARGIN))
     return sizes.join(scored, ident, "left").select(

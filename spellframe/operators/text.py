@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
-from .skew import find_sized, salted_join
+from .skew import dealt, find_sized, salted_join
 
 # A page is read into pieces: (OPEN, tag), (CLOSE, tag) and (TEXT, characters).  What a tag leaves behind stands in two tables.
 OPEN, CLOSE, TEXT = "<", "</", ""
@@ -89,8 +89,8 @@ def _clean_udf(texts: pd.Series) -> pd.DataFrame:
 
 
 def clean_html(df: DataFrame, column: str, html: str = "clean_html", text: str = "clean_text") -> DataFrame:
-    """Adds safe markup and plain text of ``column``; one pass over the partition's batches."""
-    return (df.withColumn("_clean", _clean_udf(column))
+    """Adds safe markup and plain text of ``column``; rows are dealt over the tasks first, as parsing costs far more than moving them."""
+    return (dealt(df).withColumn("_clean", _clean_udf(column))
               .select("*", F.col("_clean.html").alias(html), F.col("_clean.text").alias(text)).drop("_clean"))
 
 

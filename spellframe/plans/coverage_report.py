@@ -33,7 +33,7 @@ def duplicate_coverage(cleaned: Cleaned) -> DataFrame:
 def title_coverage(positions: DataFrame) -> DataFrame:
     rows = positions.groupBy("title_status").agg(F.count(F.lit(1)).alias("value"))
     return D.tidy(rows, "join_coverage", measure=F.concat_ws(":", F.lit("position_title"), "title_status"), period_type="all",
-                  period="all", country_group="All", note="spells joined to raw titles after quarantine of conflicting keys")
+                  period="all", country_group="All", note="by what became of the title of each spell")
 
 
 def coverage_report(cleaned: Cleaned, panel: DataFrame, cfg: HistoryConfig, months_since: str, joins: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -95,13 +95,13 @@ def schema_signatures(spark: SparkSession, root: str, name: str) -> DataFrame:
 def parquet_row_positions(df: DataFrame) -> DataFrame:
     """Adds (part, row, ordinal): place of every row in its file and in the whole table.
 
-    Parts are ordered by path; the running offset has one row per file.  ``df`` must be a
-    Parquet scan.
+    Parts are ordered by path; their offsets are running totals over ranges of paths, so neither rows nor a long
+    list of files meet in one task.  ``df`` must be a Parquet scan.
     """
+    from ..operators.ranges import total_before
     tagged = df.select("*", F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("row"))
     sizes = df.select(F.col("_metadata.file_path").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = total_before(sizes, "part", "_n", "_offset").select("part", "_offset")
     return tagged.join(offsets, "part").withColumn("ordinal", F.col("_offset") + F.col("row")).drop("_offset")
 
 

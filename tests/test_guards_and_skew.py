@@ -90,3 +90,85 @@ def test_dedupe_tells_null_from_values_and_counts_null_keys(table):
     assert rows(d.counts) == [(9, 4, 1, 2, 4, 2, 2)]
     assert d.counts.columns == ["rows_in", "distinct_keys", "exact_duplicate_rows_collapsed", "conflicting_keys", "rows_in_conflicting_keys", "rows_kept", "null_key_rows"]
     assert sorted(r.quarantine_reason for r in d.quarantine.collect()) == ["conflicting_duplicate_key"] * 4 + ["missing_key"] * 2
+
+
+def test_quantiles_of_numbers_and_dates(spark, monkeypatch):
+    import datetime
+    import math
+    import random
+    from spellframe.operators import ranks
+    monkeypatch.setattr(ranks, "BINS", 4)  # several rounds
+    rng = random.Random(5)
+    cases = {"v double": [rng.uniform(-1e300, 1e300) for _ in range(200)] + [float("inf"), -float("inf"), 0.0, 5e-324, None, float("nan")], "v bigint": [2**63 - 1, -2**63, 0, 1, 2, 3, 3, 3, None],
+             "v decimal(9,2)": [__import__("decimal").Decimal(rng.randrange(-10**6, 10**6)).scaleb(-2) for _ in range(50)], "v date": [datetime.date(1960, 1, 1) + datetime.timedelta(rng.randrange(30_000)) for _ in range(300)],
+             "v int": [7], "v float": [0.5, 0.25, 0.25]}
+    levels = (0.0, 0.01, 0.25, 0.5, 0.99, 1.0)
+    for schema, data in cases.items():
+        kept = sorted(x for x in data if x is not None and x == x)
+        got = ranks.discrete_quantiles(spark.createDataFrame([(x,) for x in data], schema), "v", levels).collect()
+        want = [kept[max(1, len(kept) - math.floor(len(kept) - p * len(kept))) - 1] for p in levels]
+        assert [r.quantile for r in got] == want, schema
+    assert [r.quantile for r in ranks.discrete_quantiles(spark.createDataFrame([(None,)], "v int"), "v", (0.5,)).collect()] == [None]
+    with pytest.raises(ValueError, match="no quantiles"):
+        ranks.discrete_quantiles(spark.createDataFrame([("a",)], "v string"), "v")
+
+
+def test_positions_over_many_files(spark, tmp_path):
+    from spellframe.sources import manifests as M
+    spark.range(1_000).repartition(23).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = M.parquet_row_positions(table).orderBy("part", "row").collect()
+    assert [r.ordinal for r in got] == list(range(1_000)) and len({r.part for r in got}) == 23
+    assert {r.id for r in M.rows_at(table, spark.createDataFrame([(3,), (700,)], "ordinal long")).collect()} == {got[3].id, got[700].id}
+
+
+def test_required_literals():
+    import re
+    from spellframe.functions import fixed_values as V
+    from spellframe.functions import required_literals
+    assert required_literals(r"\bnonexecutive\b|\bned\b") == {"nonexecutive", "ned"}
+    assert required_literals(r"a?b*[xyz]") is None and required_literals(r"(ab|c)+de") == {"de"} and required_literals(r"(abc|abd)") is not None
+    texts = ["chair of the board", "board of advisers", "startup advisor", "ned", "interns", "co-op student", "co-opted governor", "summer placements", "part-time", "trustee", "member, of the board"]
+    for name in V.TITLE_TAXONOMY["order"]:
+        for _, pattern in V.TITLE_TAXONOMY["categories"][name]["include"]:
+            needed = required_literals(pattern)
+            assert needed and all(any(x in t for x in needed) for t in texts if re.search(pattern, t))
+
+
+def test_passages_end_at_sentences_or_white_space(table):
+    from spellframe.operators import language as G
+    word = "wörter"
+    long = " ".join([word] * 200)
+    texts = [long + ". Next one! And\nmore", "x" * 5_000 + " y", "short", "", "?!", "a" * 399 + "bc d", long.replace(" ", "\t")]
+    got = {}
+    for r in G.passages(table(list(enumerate(texts)), "id int, t string"), "id", "t").orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.passage)
+    assert {i: "".join(p) for i, p in got.items()} == {i: t for i, t in enumerate(texts) if t}
+    for i, pieces in got.items():
+        for a, b in zip(pieces, pieces[1:], strict=False):
+            assert not (a[-1].isalnum() and b[0].isalnum()), (i, a[-9:], b[:9])
+    assert max(map(len, got[0])) <= 400 + len(word) + 1 and got[1][0] == "x" * 5_000 + " "
+
+
+def test_a_large_model_is_joined_with_salts(spark, monkeypatch, table):
+    from spellframe.operators import language as G
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    monkeypatch.setattr(skew, "SALT_ROWS", 1)
+    monkeypatch.setattr(skew, "LOOK", 1.0)
+    data = table([(i, ["the river and the stone. the end", "der fluss und der stein. das ende", None, ""][i % 4], ["en", "de"][i % 2]) for i in range(12)], "id int, t string, l string")
+    model = G.language_profiles(data, "t", "l", ["en", "de"]).cache()
+    small = rows(G.score_passages(data, "id", "t", model, ["en", "de"], ("rs", "zt")).drop("confidence", "second"))
+    monkeypatch.setattr(G, "MODEL_BYTES", 0)
+    assert rows(G.score_passages(data, "id", "t", model, ["en", "de"], ("rs", "zt")).drop("confidence", "second")) == small and len(small) == 12
+
+
+def test_script_from_chinese_passages(table):
+    from spellframe.operators import language as G
+    spans = table([(1, 0, 50, "Chinese", 50, 0.9, 0.1, "ab", ""), (1, 50, 90, "Chinese", 30, 0.9, 0.1, "c", ""), (2, 0, 50, "Chinese", 50, 0.9, 0.1, "a", ""), (3, 0, 60, "Chinese", 60, 0.9, 0.1, "ab", "x"),
+                   (4, 0, 60, "Chinese", 60, 0.9, 0.1, "", "xy"), (5, 0, 30, "Chinese", 30, 0.9, 0.1, "ab", ""), (6, 0, 60, "English", 60, 0.9, 0.1, "ab", "")],
+                  "id int, start int, end int, language string, letters int, confidence double, second double, simplified string, traditional string")
+    merged = G.merge_spans(spans, "id")
+    assert [tuple(r) for r in merged.where("id = 1").select("start", "end", "letters", "simplified").collect()] == [(0, 90, 80, "abc")]
+    got = G.classify_language(merged, table([(i, [80, 50, 60, 60, 30, 60][i - 1]) for i in range(1, 7)], "id int, letters int"), "id")
+    assert {r.id: (r.language_group, r.chinese_script) for r in got.collect()} == {
+        1: ("Chinese", "simplified"), 2: (None, None), 3: (None, None), 4: ("Chinese", "traditional"), 5: (None, None), 6: ("English", None)}

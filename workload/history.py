@@ -28,15 +28,38 @@ def query(sql: str | None = None):
     return register
 
 
-def cleaned(spark: SparkSession, sf: str, keep=stage) -> K.Cleaned:
-    return K.clean(W.positions(spark, sf), W.people(spark, sf), W.cohort(spark, sf), CFG,
-                   W.positions_raw(spark, sf), keep=keep)
+_written: dict[tuple, object] = {}
+
+
+def input_state(spark: SparkSession, sf: str) -> tuple:
+    """Application, place and state of the input files: their number, bytes and a sum over path, size and time, from the listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
+        [f"{sf}/{t}.parquet" for t in ("orders", "lineitem", "part", "customer", "supplier")])
+    one = files.select("path", "length", "modificationTime").agg(
+        F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return spark.sparkContext.applicationId, sf, *one
+
+
+def written_once(name: str, spark: SparkSession, sf: str, make):
+    """What ``make`` has written for this state of the input; made by the first report that needs it, read by the others."""
+    key = (name, *input_state(spark, sf))
+    if key not in _written:
+        _written[key] = make()
+    return _written[key]
+
+
+def cleaned(spark: SparkSession, sf: str) -> K.Cleaned:
+    """Clean once, read many: key tables, spells and people are written by the first report of a session."""
+    return written_once("cleaned", spark, sf, lambda: K.clean(
+        W.positions(spark, sf), W.people(spark, sf), W.cohort(spark, sf), CFG, W.positions_raw(spark, sf), keep=stage))
 
 
 def panel(spark, sf, keep: bool = False) -> DataFrame:
-    c = cleaned(spark, sf)
-    p = P.person_quarter_panel(c.valid, c.users, CFG)
-    return stage(p, "panel") if keep else p
+    """The panel of the cleaned spells, written like them; ``keep`` is not needed any more."""
+    def make():
+        c = cleaned(spark, sf)
+        return stage(P.person_quarter_panel(c.valid, c.users, CFG), "panel")
+    return written_once("panel", spark, sf, make)
 
 
 def runs(spark, sf) -> DataFrame:
@@ -88,7 +111,7 @@ def clean_summary(spark, sf):
 ELSE 'Other' END AS country_group, count(*) AS positions, count(DISTINCT user_id) AS people FROM positions GROUP BY ALL"""))
 def quarantine_reasons(spark, sf):
     from spellframe.functions import group3
-    c = cleaned(spark, sf, keep=lambda df, name: df)
+    c = cleaned(spark, sf)
     person = (c.positions.groupBy(F.coalesce("quarantine_reason", F.lit("valid")).alias("reason"),
                                   group3("country", CFG.home).alias("country_group"), "user_id")
               .agg(F.count(F.lit(1)).alias("_n")))
@@ -98,7 +121,7 @@ def quarantine_reasons(spark, sf):
 @query(history("""SELECT position_id, title_status, title_raw, cat AS role_rule_category, array_to_string(role_rule_ids, '|') AS role_rule_ids, down AS role_downranked
 FROM positions"""))
 def titled_positions(spark, sf):
-    c = cleaned(spark, sf, keep=lambda df, name: df)
+    c = cleaned(spark, sf)
     return c.positions.select("position_id", "title_status", "title_raw", "role_rule_category",
                               F.array_join("role_rule_ids", "|").alias("role_rule_ids"), "role_downranked")
 

@@ -12,7 +12,6 @@ from spellframe.operators import linkage as L
 from spellframe.operators import quality as Q
 from spellframe.operators import spells as S
 from spellframe.operators import trends as T
-from spellframe.operators.panel import person_quarter_panel
 from spellframe.plans import coverage_report as R
 from spellframe.plans import education as ED
 from spellframe.plans import inventory as I
@@ -227,6 +226,12 @@ def unmatched_counts(spark, sf):
             .unionByName(J.unmatched_count(s, r, keys).withColumn("what", F.lit("strict"))))
 
 
+@query("SELECT o_custkey, count(*) AS key_rows FROM orders GROUP BY 1 HAVING count(*) > 1")
+def key_violations(spark, sf):
+    """Keys at which a checked join to the orders by customer fails."""
+    return J.key_violations(W.table(spark, sf, "orders"), ["o_custkey"])
+
+
 @query("""SELECT o_orderkey AS position, 'missing' AS violation FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
 UNION ALL SELECT l_orderkey, 'duplicate' FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1 HAVING count(*) > 1
 UNION ALL SELECT l_orderkey, 'foreign' FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1 HAVING bool_or(l_linestatus <> 'O')""")
@@ -395,7 +400,7 @@ _MISS = {"country": "country IS NULL", "employer_rcid": "rcid IS NULL", "parent_
 @query(history(" UNION ALL ".join(f"SELECT 'missing_{n}' AS measure, CAST(year(startdate) AS VARCHAR) AS period, count(*) FILTER (WHERE {c}) AS value, "
                                   "count(*) AS denominator FROM valid GROUP BY year(startdate)" for n, c in _MISS.items())))
 def missing_by_year(spark, sf):
-    c = H.cleaned(spark, sf, keep=lambda df, name: df)
+    c = H.cleaned(spark, sf)
     return D.missing_by_year(c.valid).select("measure", "period", "value", "denominator")
 
 
@@ -534,18 +539,20 @@ def _report_sql() -> str:
                                else f"SELECT '{s}' AS section, {c} FROM {f}" for i, (s, c, f) in enumerate(rows))
     return history(f""", rep(section, measure, end_rule, period_type, period, country_group, value, denominator, value_text, part) AS ({union})
 SELECT section, measure, end_rule, period_type, period, country_group, value, denominator, value_text,
- CASE WHEN denominator > 0 THEN round(value / denominator, 6) END AS share, part OR (period_type = 'year' AND period = '2000') AS is_partial_period FROM rep""")
+ CASE WHEN denominator > 0 THEN round(value / denominator, 6) END AS share, part OR (period_type = 'year' AND period = '2000') AS is_partial_period,
+ CASE WHEN section IN ('profile_refresh', 'population') THEN 'scrape_observation' WHEN section IN ('join_coverage', 'duplicates') THEN 'join_and_quarantine_audit'
+  ELSE 'retrospective_employment_history' END AS source_kind FROM rep""")
 
 
 @query(_report_sql())
 def coverage_report(spark, sf):
     """Every section in one table."""
     c = H.cleaned(spark, sf)
-    panel = stage(person_quarter_panel(c.valid, c.users, CFG), "panel")
+    panel = H.panel(spark, sf)
     audit = J.join_audit(W.positions(spark, sf), W.people(spark, sf), ["user_id"], right_key=["user_id"]).select(
         F.lit("positions_to_users").alias("name"), F.lit("positions").alias("left_table"), F.lit("users").alias("right_table"), F.lit("ok").alias("status"), "*")
     return R.coverage_report(c, panel, CFG, "2000-01-01", audit).select(
-        "section", "measure", "end_rule", "period_type", "period", "country_group", "value", "denominator", "value_text", "share", "is_partial_period")
+        "section", "measure", "end_rule", "period_type", "period", "country_group", "value", "denominator", "value_text", "share", "is_partial_period", "source_kind")
 
 
 # --- trends ------------------------------------------------------------------------------
@@ -592,6 +599,16 @@ def quantiles_of_date(spark, sf):
     return text_dates(D.discrete_quantiles(line, "d"))
 
 
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS measure, CAST({p} AS DOUBLE) AS level, CAST(quantile_disc({c}, {p}) AS DOUBLE) AS quantile FROM lineitem"
+    for c in ("l_extendedprice", "l_quantity", "l_orderkey") for p in (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)))
+def quantiles_of_numbers(spark, sf):
+    line = W.table(spark, sf, "lineitem")
+    parts = [D.discrete_quantiles(line, c).select(F.lit(c).alias("measure"), "level", F.col("quantile").cast("double").alias("quantile"))
+             for c in ("l_extendedprice", "l_quantity", "l_orderkey")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate <= TIMESTAMP '1997-12-31'
 AND (CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate + INTERVAL 90 DAY END IS NULL OR o_orderdate + INTERVAL 90 DAY >= TIMESTAMP '1997-01-01')""")
 def overlapping_spells(spark, sf):
@@ -694,11 +711,14 @@ def disjoint_batches(spark, sf):
 
 
 # --- sources -----------------------------------------------------------------------------
-@query("SELECT count(*) AS rows, count(*) AS distinct_ordinals, 0 AS first, count(*) - 1 AS last FROM lineitem")
+@query("""SELECT count(*) AS rows, count(*) AS distinct_ordinals, 0 AS first, count(*) - 1 AS last, 40 AS parts, sum(l_orderkey * 8 + l_linenumber)::BIGINT AS content FROM lineitem""")
 def row_positions(spark, sf):
-    p = M.parquet_row_positions(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey"))
-    per = p.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_ordinals"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    """Addresses of all rows of a table in 40 files."""
+    many = stage(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber").repartition(40, "l_orderkey", "l_linenumber"), "lineitem")
+    p = M.parquet_row_positions(many)
+    per = p.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("part"), F.sum(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("c"))
+    return per.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_ordinals"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"),
+                   F.count_distinct("part").alias("parts"), F.sum("c").alias("content"))
 
 
 @query("""SELECT 'orders' AS "table", count(*) AS rows, 'complete' AS status, true AS rows_reconcile FROM orders

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spellframe.functions import fixed_values as V
-from spellframe.functions import normalize_text, taxonomy_match, taxonomy_rule_ids
+from spellframe.functions import taxonomy_counts
 from spellframe.operators import language as G
 from spellframe.operators import quality as Q
 from spellframe.operators import sampling as S
@@ -176,9 +176,7 @@ def taxonomy_match_lines(spark, sf):
     k = F.col("doc_id") % 5
     tail = F.when(k == 0, " Board Member").when(k == 1, " part time").when(k == 2, " 非执行 trustee services").otherwise("")
     lines = docs(spark, sf).select(F.explode(F.split("text", "\n")).alias("line"), tail.alias("tail"))
-    n = lines.select(normalize_text(F.concat("line", "tail"), V.TITLE_TAXONOMY).alias("n"))
-    return (n.select(taxonomy_match("n", V.TITLE_TAXONOMY).alias("category"), F.size(taxonomy_rule_ids("n", V.TITLE_TAXONOMY)).alias("r"))
-             .groupBy("category").agg(F.count(F.lit(1)).alias("lines"), F.sum("r").alias("rules")))
+    return taxonomy_counts(lines, F.concat("line", "tail"), V.TITLE_TAXONOMY).withColumnRenamed("texts", "lines")
 
 
 # --- text --------------------------------------------------------------------------------
@@ -319,6 +317,21 @@ cl AS (SELECT k, text, other, CASE WHEN total = 0 THEN NULL WHEN en >= 100 AND z
 """
 
 
+# --- spans of the trained model; German stands in for Chinese, with capital letters for the characters of one script only
+ALPHABETS = ("ÄÖ", "Üß")
+MODEL_NAMES = {"en": "English", "fr": "French", "es": "Spanish", "de": "Chinese"}
+
+
+def model_spans_of(spark, sf):
+    named = F.coalesce(*[F.when(F.col("language") == a, b) for a, b in MODEL_NAMES.items()])
+    spans = G.score_passages(docs(spark, sf), "doc_id", "text", profiles(spark, sf), LANGS, ALPHABETS)
+    return G.merge_spans(spans.withColumn("language", named), "doc_id")
+
+
+def all_letters(spark, sf):
+    return docs(spark, sf).select("doc_id", "text", G.letters("text").alias("letters"))
+
+
 @query(SPANS + "SELECT k AS doc_id, start, \"end\", language, letters, confidence, margin FROM mg")
 def merged_spans(spark, sf):
     return G.merge_spans(given_spans(spark, sf), "doc_id")
@@ -342,9 +355,9 @@ def profiles(spark, sf):
     return stage(G.language_profiles(docs(spark, sf), "text", "lang", LANGS), "profiles")
 
 
-MODEL = """WITH pl AS (SELECT doc_id, source, lang, regexp_extract_all(text, '[^\\n.!?。！？]{0,400}[\\n.!?。！？]+|[^\\n.!?。！？]{1,400}') AS l FROM documents),
+MODEL = f"""WITH pl AS (SELECT doc_id, source, lang, regexp_extract_all(text, '{G.PASSAGE}') AS l FROM documents),
 pc AS (SELECT doc_id, source, lang, pos, l[pos] AS p FROM (SELECT *, unnest(generate_series(1, len(l))) AS pos FROM pl)),
-px AS (SELECT *, ' ' || trim(regexp_replace(lower(p), '[^\\p{L}]+', ' ', 'g')) || ' ' AS x FROM pc),
+px AS (SELECT *, ' ' || trim(regexp_replace(lower(p), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS x FROM pc),
 gr AS (SELECT doc_id, source, lang, pos, substr(x, i, 3) AS gram FROM (SELECT *, unnest(generate_series(1, length(x) - 2)) AS i FROM px)),
 ct AS (SELECT gram, count(*) AS n, [count(*) FILTER (WHERE lang = 'en'), count(*) FILTER (WHERE lang = 'es'), count(*) FILTER (WHERE lang = 'fr'), count(*) FILTER (WHERE lang = 'de')] AS c
  FROM gr GROUP BY gram),
@@ -384,6 +397,46 @@ def language_shares(spark, sf):
     return G.language_share(dom, "source")
 
 
+MODEL_SPANS = MODEL + f""", sc AS (SELECT doc_id, pos, {SUMS} FROM gr JOIN lp USING (gram) GROUP BY doc_id, pos){TOP2}
+, pe AS (SELECT doc_id, pos, p, length(p) AS n, length(regexp_replace(p, '[^\\p{{L}}]', '', 'g')) AS letters, (sum(length(p)) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS e FROM pc),
+ok AS (SELECT doc_id AS k, e - n AS s, e, letters, p, CASE language WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE 'Chinese' END AS language, confidence AS conf, second
+ FROM tt JOIN pe USING (doc_id, pos) WHERE letters > 0 AND confidence >= 0.6::DOUBLE AND confidence - second >= 0.2::DOUBLE),
+i1 AS (SELECT *, CASE WHEN lag(e) OVER w = s AND lag(language) OVER w = language THEN 0 ELSE 1 END AS new FROM ok WINDOW w AS (PARTITION BY k ORDER BY s)),
+i2 AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY s) AS island FROM i1),
+mg AS (SELECT k, language, min(s) AS start, max(e) AS "end", sum(letters)::BIGINT AS letters, min(conf) AS confidence, min(conf - second) AS margin, string_agg(p, '' ORDER BY s) AS p FROM i2 GROUP BY k, island, language),
+zt AS (SELECT k, string_agg(p, '') AS z FROM mg WHERE letters >= 40 AND language = 'Chinese' GROUP BY k),
+zc AS (SELECT k, len(list_distinct(list_filter(string_split(z, ''), lambda c: c IN ('Ä', 'Ö')))) AS a, len(list_distinct(list_filter(string_split(z, ''), lambda c: c IN ('Ü', 'ß')))) AS b FROM zt),
+tot AS (SELECT doc_id AS k, text, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS total, CASE WHEN a >= 2 AND b = 0 THEN 'simplified' WHEN b >= 2 AND a = 0 THEN 'traditional' END AS script
+ FROM documents LEFT JOIN zc ON k = doc_id),
+""" + SPANS[SPANS.index("ln AS ("):].replace("gr AS (SELECT tot", "gt AS (SELECT tot").replace("FROM gr)", "FROM gt)")
+
+
+@query(MODEL_SPANS + "SELECT k AS doc_id, start, \"end\", language, letters, round(confidence, 5) AS confidence, round(margin, 5) AS margin FROM mg")
+def model_spans(spark, sf):
+    """Confident spans of every document, as the trained model finds them."""
+    out = model_spans_of(spark, sf).drop("simplified", "traditional")
+    return out.withColumns({c: F.round(c, 5) for c in ("confidence", "margin")})
+
+
+@query(MODEL_SPANS + "SELECT k AS doc_id, g AS language_group, total AS letters, other AS other_passages, script AS chinese_script FROM cl JOIN (SELECT k, script FROM tot) USING (k)")
+def model_language_groups(spark, sf):
+    """Spans, scripts and groups from the text alone."""
+    out = G.classify_language(model_spans_of(spark, sf), all_letters(spark, sf), "doc_id")
+    return out.select("doc_id", "language_group", "letters", "other_passages", "chinese_script")
+
+
+@query(MODEL_SPANS + "SELECT k AS doc_id, language, sum(letters)::BIGINT AS letters FROM mg WHERE letters >= 40 GROUP BY ALL")
+def language_letters(spark, sf):
+    return G.language_letters(model_spans_of(spark, sf), "doc_id")
+
+
+@query(MODEL_SPANS + """SELECT k AS doc_id, coalesce(g = 'English', false) AND other = 0 AS accepted,
+CASE WHEN NOT regexp_matches(text, '\\S') THEN 'empty_description' WHEN g = 'English' AND other = 0 THEN 'english' ELSE 'non_english_mixed_or_uncertain' END AS reason FROM cl""")
+def model_english_screen(spark, sf):
+    d = all_letters(spark, sf)
+    return G.english_screen(G.classify_language(model_spans_of(spark, sf), d, "doc_id"), d, "doc_id", "text")
+
+
 @query("""SELECT doc_id, sum(length(p))::BIGINT AS chars FROM (SELECT doc_id, text AS p FROM documents) GROUP BY doc_id HAVING sum(length(p)) > 0""")
 def passages_cover_text(spark, sf):
     """The passages of a document together are its whole text."""
