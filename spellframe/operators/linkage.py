@@ -50,12 +50,16 @@ def _in(df: DataFrame, ids: DataFrame, column: str, key: str) -> DataFrame:
     return semi_join(df.withColumn("_id", number(column)), wanted, ["_id"]).drop("_id")
 
 
-def linked_extract(tables: dict[str, DataFrame], country) -> dict[str, DataFrame]:
+def linked_extract(tables: dict[str, DataFrame], country, keep=lambda df, name: df) -> dict[str, DataFrame]:
     """One selection per product table, plus ``people_cohort``.
 
     Keys are table names; a table that is not given is not selected, the core tables are
-    required.
+    required.  The closure is a handful of id sets (people, companies, schools and the keys of raw records); ``keep`` is applied to
+    each, distinct and in order.  Pass ``session.stage`` to write them once: products are then plain selections by them.
     """
+    def kept(ids: DataFrame, name: str) -> DataFrame:
+        return keep(ids.distinct().repartitionByRange(*ids.columns).sortWithinPartitions(*ids.columns), name)
+
     core = ["individual_positions", "individual_user", "postings_cosmos", "company_mapping", "school_mapping",
             "individual_user_education", "sentiment_individual_reviews", "workforce_dynamics_geo"]
     missing = [t for t in core if t not in tables]
@@ -63,12 +67,15 @@ def linked_extract(tables: dict[str, DataFrame], country) -> dict[str, DataFrame
         raise ValueError(f"cannot define a complete selection; missing {missing}")
     t = tables
     here = F.col("country") == country
-    cohort = country_cohort(t["individual_user"], t["individual_positions"], country)
+    cohort = kept(country_cohort(t["individual_user"], t["individual_positions"], country), "people")
     member = semi_join(t["individual_positions"], cohort, ["user_id"])
     positions = member.unionByName(t["individual_positions"].where(F.col("user_id").isNull() & here))
     postings = t["postings_cosmos"].where(here)
     education = semi_join(t["individual_user_education"], cohort, ["user_id"])
     companies, schools = linked_companies_schools(t, positions, postings, education, country)
+    companies, schools = kept(companies, "companies"), kept(schools, "schools")
+    raw_keys = {"individual_positions_raw": (positions, ["user_id", "position_id"], ["user_id"]),
+                "individual_user_education_raw": (education, ["user_id", "education_number"], []), "postings_cosmos_raw": (postings, ["job_id"], [])}
     out = {}
     for name, df in t.items():
         if name == "individual_positions":
@@ -77,12 +84,9 @@ def linked_extract(tables: dict[str, DataFrame], country) -> dict[str, DataFrame
             out[name] = postings
         elif name == "individual_user_education":
             out[name] = education
-        elif name == "individual_positions_raw":
-            out[name] = semi_match(df, positions, ["user_id", "position_id"], nullable=["user_id"])
-        elif name == "individual_user_education_raw":
-            out[name] = semi_match(df, education, ["user_id", "education_number"])
-        elif name == "postings_cosmos_raw":
-            out[name] = semi_match(df, postings, ["job_id"])
+        elif name in raw_keys:
+            selected, columns, nullable = raw_keys[name]
+            out[name] = semi_match(df, kept(selected.select(*columns), name), columns, nullable)
         elif name in PERSON_TABLES:
             out[name] = semi_join(df, cohort, ["user_id"])
         elif name in COMPANY_TABLES:
@@ -97,6 +101,13 @@ def linked_extract(tables: dict[str, DataFrame], country) -> dict[str, DataFrame
     return out
 
 
+def content_sums(df: DataFrame) -> DataFrame:
+    """One row: number of rows and two sums over 32-bit pieces of each row's MD5, in any order of the rows."""
+    line = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]))
+    piece = lambda at: F.coalesce(F.sum(F.conv(F.substring(line, at, 8), 16, 10).cast("bigint")), F.lit(0))
+    return df.agg(F.count(F.lit(1)).alias("rows"), piece(1).alias("content_a"), piece(9).alias("content_b"))
+
+
 def linked_companies_schools(t: dict[str, DataFrame], positions: DataFrame, postings: DataFrame, education: DataFrame,
                              country) -> tuple[DataFrame, DataFrame]:
     here = F.col("country") == country

@@ -112,8 +112,8 @@ def key_checks(df: DataFrame, key: list[str] | None) -> DataFrame:
 def profile_columns(df: DataFrame, distinct: list[str] = (), free_text: list[str] = ()) -> DataFrame:
     """Counts, blanks, extremes and (for listed columns) distinct values, one row per column.
 
-    One aggregate for everything but the distinct counts, which run as column-pruned
-    two-level aggregates instead of multiplying every row once per column.
+    One aggregate for everything but the distinct counts; those of all listed columns come from one pass that counts
+    (column, value) pairs, collapsed map-side.
     """
     ordered = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
     text = T.StringType
@@ -132,11 +132,17 @@ def profile_columns(df: DataFrame, distinct: list[str] = (), free_text: list[str
                         pick(f"_lo{i}", "string").alias("min_value"), pick(f"_hi{i}", "string").alias("max_value"))
                for i, f in enumerate(df.schema)]
     base = df.agg(*aggs).select(F.inline(F.array(*entries)))
-    counted = [df.select(c).where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1).alias("_one"))
-                 .agg(F.count(F.lit(1)).alias("distinct_values")).withColumn("column", F.lit(c))
-               for c in distinct if c in df.columns]
-    if counted:
-        base = base.join(F.broadcast(reduce(DataFrame.unionByName, counted)), "column", "left")
+    listed = [c for c in distinct if c in df.columns]
+    if listed:
+        # Adding 0 makes one value of 0.0 and -0.0.
+        value = lambda c: F.col(c) + F.lit(0.0).cast(df.schema[c].dataType) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c)
+        text_of = lambda c: F.hex(c) if isinstance(df.schema[c].dataType, T.BinaryType) else value(c).cast("string")
+        cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text_of(c).alias("_v")) for c in listed])))
+        counted = (cells.where(F.col("_v").isNotNull()).groupBy("column", "_v").agg(F.lit(1).alias("_one"))
+                        .groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values")))
+        none = df.sparkSession.createDataFrame([(c,) for c in listed], "column string")
+        counted = none.join(counted, "column", "left").select("column", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))
+        base = base.join(F.broadcast(counted), "column", "left")  # a row per listed column
     else:
         base = base.withColumn("distinct_values", F.lit(None).cast("bigint"))
     nulls = F.col("rows") - F.col("non_null")

@@ -99,10 +99,24 @@ def accept_first_n(df: DataFrame, accepted: Column, reason: Column, n: int, iden
     return chosen.drop("accepted", "reason"), audit
 
 
+def first_of_content(df: DataFrame, ident: str, content: str) -> DataFrame:
+    """The smallest id of every repeated content, with all columns but the content; contents are told apart by SHA-256, so no text is moved."""
+    rest = [c for c in df.columns if c != content]
+    return df.groupBy(F.sha2(content, 256).alias("_digest")).agg(F.min_by(F.struct(*rest), ident).alias("_r")).select("_digest", "_r.*")
+
+
+def with_content(picked: DataFrame, df: DataFrame, ident: str, content: str) -> DataFrame:
+    """The content of some rows of ``first_of_content``, looked up by id and digest."""
+    names = picked.select(F.col(ident).alias("_id"), F.col("_digest").alias("_of"))
+    met = F.col(ident).eqNullSafe(F.col("_id")) & F.sha2(content, 256).eqNullSafe(F.col("_of"))
+    found = df.select(ident, content).join(names, met).dropDuplicates(["_id", "_of"]).select("_id", "_of", content)
+    same = F.col(ident).eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_of"))
+    return picked.join(found, same).select(content, *[c for c in picked.columns if c != "_digest"])
+
+
 def distinct_content(df: DataFrame, ident: str, content: str) -> DataFrame:
     """Keep the smallest id of every repeated content."""
-    rest = [c for c in df.columns if c != content]
-    return df.groupBy(content).agg(F.min_by(F.struct(*rest), ident).alias("_r")).select(content, "_r.*")
+    return with_content(first_of_content(df, ident, content), df, ident, content)
 
 
 def stratified_pick(df: DataFrame, ident: str, content: str, stratum: str, quota: dict[str, int], seed) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +125,7 @@ def stratified_pick(df: DataFrame, ident: str, content: str, stratum: str, quota
     ``quota`` names every wanted stratum and its size; repeated content counts once.  A
     stratum that cannot fill its quota is reported missing and picks nothing.
     """
-    pool = distinct_content(df, ident, content).where(F.col(stratum).isin(*quota))
+    pool = first_of_content(df, ident, content).where(F.col(stratum).isin(*quota))
     sizes = pool.groupBy(stratum).agg(F.count(F.lit(1)).alias("pool"))
     wanted = df.sparkSession.createDataFrame(sorted(quota.items()), f"{stratum} string, wanted int")
     report = wanted.join(sizes, stratum, "left").select(
@@ -121,7 +135,8 @@ def stratified_pick(df: DataFrame, ident: str, content: str, stratum: str, quota
     best = (uniform_order(pool, F.col(ident).cast("string"), seed).withColumn("pick", F.row_number().over(w))
             .where(F.col("pick") <= top))  # partial top-n before the shuffle
     full = F.broadcast(report.where(~F.col("missing")).select(stratum, "wanted"))
-    return best.join(full, stratum).where(F.col("pick") <= F.col("wanted")).drop("wanted"), report
+    picked = best.join(full, stratum).where(F.col("pick") <= F.col("wanted")).drop("wanted")
+    return with_content(picked, df, ident, content), report  # texts are looked up for the picks only
 
 
 def overlap_groups(ids: DataFrame, ident: str, seed, shared: int, each: int, groups: int = 2) -> DataFrame:

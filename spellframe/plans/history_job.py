@@ -8,6 +8,7 @@ record; a later stage refuses records made from other settings or other inputs.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +17,28 @@ from ..operators import diagnostics as D
 from ..operators import endpoints as E
 from ..operators.panel import duplicate_panel_keys, person_quarter_panel
 from ..operators.quality import require_empty
-from ..sources.manifests import measure_tables, reconcile
+from ..sources.manifests import measure_tables, reconcile, schema_signatures
 from ..sources.tables import read_table, write_csv, write_table
 from . import coverage_report as R
 from . import migration as M
 from .clean import clean, dedupe_report
 from .config import HistoryConfig
+from .inventory import inventory
 from .provenance import require_upstream, run_fingerprint
 
 STAGES = ("inventory", "clean", "panel", "reports", "migration", "replication")
-NEEDS = {"inventory": (), "clean": ("inventory",), "panel": ("clean",), "reports": ("clean", "panel"),
+NEEDS = {"inventory": (), "clean": ("inventory",), "panel": ("clean",), "reports": ("inventory", "clean", "panel"),
          "migration": ("panel",), "replication": ("panel", "migration")}
 
 
 @dataclass
 class HistoryJob:
     """``tables``: role -> table name below ``source``; roles positions, users, cohort and
-    optionally positions_raw; ``lookups``: name -> (table, key, flag column)."""
+    optionally positions_raw; ``lookups``: name -> (table, key, flag column).
+
+    For the inventory: ``keys`` (table -> declared key) and ``joins`` (as ``plans.inventory`` takes them) default to the keys and joins
+    of the cleaning; ``wanted_fields`` and ``mapping`` are checked against the catalogue when given.
+    """
 
     spark: SparkSession
     source: str
@@ -45,6 +51,10 @@ class HistoryJob:
     sample_people: int = 1000
     sample_salt: str = "spellframe-sample"
     refresh_months_since: str = "2024-01-01"
+    keys: dict[str, list[str] | None] | None = None
+    joins: list[dict] | None = None
+    wanted_fields: dict[str, list[str]] | None = None
+    mapping: list[dict] | None = None
 
     def __post_init__(self):
         self.fingerprint = run_fingerprint(self.spark, self.cfg, self.source)
@@ -91,13 +101,39 @@ class HistoryJob:
             self._record(stage, "complete")
 
     # -- stages ---------------------------------------------------------------------------
+    def _declared(self) -> tuple[dict, list[dict]]:
+        """Keys and joins that the cleaning relies on."""
+        ids = {"positions": "position_id", "users": "user_id", "cohort": "user_id", "positions_raw": "position_id"}
+        keys = {self.tables[role]: [ids[role]] for role in self.tables if role in ids}
+        keys |= {table: [key] for table, key, _ in (self.lookups or {}).values()}
+        spells = self.tables["positions"]
+        joins = [{"name": f"positions_to_{role}", "left": spells, "right": self.tables[role], "left_on": [ids[role]], "right_on": [ids[role]]}
+                 for role in ("users", "cohort", "positions_raw") if role in self.tables]
+        joins += [{"name": f"positions_to_{name}", "left": spells, "right": table, "left_on": [key], "right_on": [key]}
+                  for name, (table, key, _) in (self.lookups or {}).items()]
+        return self.keys or keys, self.joins or joins
+
     def inventory(self) -> None:
         names = sorted(set(self.tables.values()) | {t for t, _, _ in (self.lookups or {}).values()})
         measured = measure_tables(self.spark, self.source, names)
+        signatures = reduce(DataFrame.unionByName, [schema_signatures(self.spark, self.source, n).withColumn("table", F.lit(n)) for n in names])
+        signatures = self._save(signatures, "inventory/part_schemas")
+        self._report(signatures, "part_schemas")
+        tables = {n: read_table(self.spark, self.source, n) for n in names}
+        keys, joins = self._declared()
+        found = inventory(tables, keys, joins, sorted({c for k in keys.values() for c in k or []}), absent_fields=self.wanted_fields, mapping=self.mapping)
+        self._report(found.columns, "columns")
+        self._report(found.keys, "keys")
+        self._report(self._save(found.joins, "inventory/joins"), "joins")
+        if found.absent is not None:
+            self._report(found.absent, "absent_fields")
+        if found.mapping is not None:
+            self._report(found.mapping, "field_mapping")
         if self.manifest is None:
             self._report(measured, "tables")
             return
-        checked = reconcile(self.manifest.where(F.col("table").isin(*names)), measured)
+        schemas = signatures.groupBy("table").agg(F.count(F.lit(1)).alias("distinct_file_schemas"))
+        checked = reconcile(self.manifest.where(F.col("table").isin(*names)), measured, schemas)
         self._report(checked, "tables")
         require_empty(checked.where(F.size("problems") > 0).select("table", "problems"), "inventory reconciliation failed")
 
@@ -120,7 +156,7 @@ class HistoryJob:
     def reports(self) -> None:
         c = self._cleaned(lambda df, name: self._load(f"clean/{name}"))
         p = self._load("panel")
-        self._report(R.coverage_report(c, p, self.cfg, self.refresh_months_since), "coverage")
+        self._report(R.coverage_report(c, p, self.cfg, self.refresh_months_since, self._load("inventory/joins")), "coverage")
         self._report(D.location_missingness(p, self.cfg), "location_missingness")
         if "title_raw" in c.positions.columns:
             self._report(D.title_audit(c.valid), "title_audit")

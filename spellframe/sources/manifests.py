@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,8 @@ def measure_tables(spark: SparkSession, root: str, names: list[str]) -> DataFram
     """(table, rows, parts, bytes) on disk; row counts come from the Parquet footers."""
     from .tables import read_table
     files = file_manifest(spark, root).where(F.col("path").endswith(".parquet"))
-    table = F.regexp_extract(F.col("path"), "^.*?" + root.rstrip("/").split(":")[-1] + "/([^/]+)/", 1)
+    # Paths are listed with another number of slashes behind the scheme than they are given with: the folder's own name decides.
+    table = F.regexp_extract(F.col("path"), f"/{re.escape(root.rstrip('/').rsplit('/', 1)[-1])}/([^/]+)/", 1)
     sizes = files.groupBy(table.alias("table")).agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("bytes"))
     counts = [read_table(spark, root, n).agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(n)) for n in names]
     return reduce(DataFrame.unionByName, counts).join(sizes, "table", "left").select("table", "rows", "parts", "bytes")

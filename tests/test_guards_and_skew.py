@@ -172,3 +172,42 @@ def test_script_from_chinese_passages(table):
     got = G.classify_language(merged, table([(i, [80, 50, 60, 60, 30, 60][i - 1]) for i in range(1, 7)], "id int, letters int"), "id")
     assert {r.id: (r.language_group, r.chinese_script) for r in got.collect()} == {
         1: ("Chinese", "simplified"), 2: (None, None), 3: (None, None), 4: ("Chinese", "traditional"), 5: (None, None), 6: ("English", None)}
+
+
+def test_a_bucket_is_read_by_its_folder(spark, tmp_path):
+    from spellframe.sources.tables import read_partition, write_table
+    path = str(tmp_path / "t")
+    assert write_table(spark.range(100).withColumn("bucket", F.col("id") % 5), path, ["bucket"]) == 100
+    one, none = read_partition(spark, path, "bucket", 3), read_partition(spark, path, "bucket", 77)
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString() and len(one.inputFiles()) >= 1
+    assert sorted(r.id for r in one.collect()) == list(range(3, 100, 5))
+    assert none.count() == 0 and none.columns == ["id", "bucket"]
+
+
+def test_distinct_values_of_all_columns_in_one_pass(table):
+    data = [(0.0, "a", b"x"), (-0.0, "a", b"x"), (1.5, None, b"y"), (float("nan"), "b", None), (float("nan"), "", None)]
+    got = {r.column: r.distinct_values for r in Q.profile_columns(table(data, "d double, s string, b binary"), ["d", "s", "b", "gone"]).collect()}
+    assert got == {"d": 3, "s": 3, "b": 2}
+    assert {r.distinct_values for r in Q.profile_columns(table([(None,)], "n int"), ["n"]).collect()} == {0}
+
+
+def test_inventory_of_the_job(spark, tmp_path):
+    from spellframe.plans.config import HistoryConfig
+    from spellframe.plans.history_job import HistoryJob
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("u1", "p1", "HK"), ("u1", "p2", None), (None, "p3", "HK"), ("u9", "p3", "HK")], "user_id string, position_id string, country string").write.parquet(f"{src}/spells")
+    spark.createDataFrame([("u1", "HK")], "user_id string, user_country string").write.parquet(f"{src}/people")
+    cfg = HistoryConfig(cutoff="2026-08-31", last_complete_quarter="2026Q2", partial_quarter="2026Q3", home="HK", windows={"primary": ("2019Q4", "2023Q3")})
+    tables = {"positions": "spells", "users": "people", "cohort": "people"}
+    HistoryJob(spark, src, out, cfg, tables=tables, wanted_fields={"age": ["age"], "country": ["country"]},
+               mapping=[{"field": "home", "table": "people", "columns": ["user_country", "missing"]}]).run(["inventory"])
+    report = lambda name: spark.read.option("header", True).option("escape", '"').csv(f"{out}/reports/{name}")
+    assert {(r.table, r.column): r.distinct_values for r in report("columns").collect()} == {
+        ("spells", "user_id"): "2", ("spells", "position_id"): "3", ("spells", "country"): None, ("people", "user_id"): "1", ("people", "user_country"): None}
+    keys = {r.table: r for r in report("keys").collect()}
+    assert (keys["spells"].declared_key, keys["spells"].conflicting_keys, keys["people"].conflicting_keys) == ("position_id", "1", "0")
+    joins = {r.name: (r.matched_rows, r.unmatched_rows, r.left_null_key_rows) for r in report("joins").collect()}
+    assert joins == {"positions_to_users": ("2", "1", "1"), "positions_to_cohort": ("2", "1", "1")}
+    assert {r.table: r.files for r in report("part_schemas").groupBy("table").agg(F.sum("files").cast("int").alias("files")).collect()}.keys() == {"spells", "people"}
+    assert {r.field: r.status[:6] for r in report("absent_fields").collect()} == {"age": "absent", "country": "review"}
+    assert {r.column: r.present for r in report("field_mapping").collect()} == {"user_country": "true", "missing": "false"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from spellframe.functions import blank_to_null, period_overlap
@@ -15,10 +18,11 @@ from spellframe.operators import trends as T
 from spellframe.plans import coverage_report as R
 from spellframe.plans import education as ED
 from spellframe.plans import inventory as I
-from spellframe.session import stage
+from spellframe.session import shared_folder, stage
 from spellframe.sources import catalog as CAT
 from spellframe.sources import export as X
 from spellframe.sources import manifests as M
+from spellframe.sources.tables import extract_query, nest_record, read_partition, write_csv, write_json_records, write_table
 from workload import history as H
 from workload import orders_as_spells as W
 from workload.oracle import HISTORY, history, qlabel
@@ -695,6 +699,37 @@ def linked_extract(spark, sf):
     return out
 
 
+def _contents_sql() -> str:
+    """Rows and sums over MD5 pieces of each product."""
+    products = {
+        "people_cohort": ("user_id", "coh"), "individual_positions": ("user_id, position_id, country, rcid, up", "sp"),
+        "individual_user": ("user_id, user_country", "iu WHERE user_id IN (SELECT user_id FROM coh)"),
+        "individual_positions_raw": ("user_id, position_id, l_linenumber", "(SELECT CASE WHEN o_orderkey % 40 <> 0 THEN o_custkey END AS user_id, l_orderkey AS position_id, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey) r "
+                                     "WHERE EXISTS (SELECT 1 FROM sp WHERE sp.user_id IS NOT DISTINCT FROM r.user_id AND sp.position_id = r.position_id)"),
+        "individual_user_education": ("user_id, event_id, rsid", "se"), "postings_cosmos": ("job_id, country, rcid, NULL", "so"),
+        "postings_cosmos_raw": ("o_orderkey, o_orderpriority", "orders WHERE o_orderkey IN (SELECT job_id FROM so)"),
+        "company_mapping": ("rcid, hq", "cm WHERE rcid IN (SELECT rcid FROM co WHERE rcid IS NOT NULL)"), "school_mapping": ("rsid, country", "sm WHERE rsid IN (SELECT rsid FROM sc)"),
+        "sentiment_individual_reviews": ("rcid, up, country", "sr WHERE country = 'N7'"), "workforce_dynamics_geo": ("rcid, country", "wg WHERE country = 'N7'"),
+        "regions": ("'N' || n_nationkey, n_name", "nation WHERE n_nationkey = 7"), "months": ("r_name", "region")}
+    parts = []
+    for name, (columns, source) in products.items():
+        line = "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns.split(", ")) + "))"
+        sums = ", ".join(f"coalesce(sum(CAST('0x' || substr({line}, {at}, 8) AS BIGINT)), 0)::BIGINT AS content_{k}" for k, at in (("a", 1), ("b", 9)))
+        parts.append(f"SELECT '{name}' AS \"table\", count(*) AS rows, {sums} FROM {source}")
+    return PRODUCTS + " UNION ALL ".join(parts)
+
+
+@query(_contents_sql())
+def linked_contents(spark, sf):
+    """Contents of every product, selected by id sets that are written once."""
+    tables = product_tables(spark, sf)
+    parts = []
+    for name, df in L.linked_extract(tables, "N7", keep=stage).items():
+        one = df.select(*tables[name].columns) if name in tables else df
+        parts.append(L.content_sums(one).withColumn("table", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query(PRODUCTS + """SELECT 'individual_positions_raw' AS raw_table, count(*) AS unmatched_rows FROM sp
  WHERE NOT EXISTS (SELECT 1 FROM ir WHERE sp.user_id IS NOT DISTINCT FROM ir.user_id AND sp.position_id = ir.position_id)
 UNION ALL SELECT 'postings_cosmos_raw', count(*) FROM so WHERE job_id NOT IN (SELECT o_orderkey FROM orders)""")
@@ -721,18 +756,83 @@ def row_positions(spark, sf):
                    F.count_distinct("part").alias("parts"), F.sum("c").alias("content"))
 
 
-@query("""SELECT 'orders' AS "table", count(*) AS rows, 'complete' AS status, true AS rows_reconcile FROM orders
-UNION ALL SELECT 'lineitem', count(*), 'complete', false FROM lineitem UNION ALL SELECT 'events', count(*), 'running', true FROM events""")
+def written_root(spark) -> str:
+    """A folder of its own below the shared one, for tables that are written and read again."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query("""SELECT 'orders' AS "table", count(*) AS rows, 'complete' AS status, 3 AS parts, true AS rows_reconcile, true AS parts_reconcile, true AS bytes_reconcile, '' AS problems FROM orders
+UNION ALL SELECT 'lineitem', count(*), 'complete', 5, false, true, true, 'row count differs' FROM lineitem
+UNION ALL SELECT 'events', count(*), 'running', 2, true, false, false, 'table is not complete' FROM events
+UNION ALL SELECT 'part', count(*), NULL, 1, NULL, NULL, NULL, 'on disk but not in the manifest' FROM part
+UNION ALL SELECT 'lost', NULL, 'complete', NULL, NULL, NULL, NULL, 'manifest rows but no parts'""")
 def reconciled_manifest(spark, sf):
-    measured = None
-    for n in ("orders", "lineitem", "events"):
-        one = W.table(spark, sf, n).agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows"), F.lit(1).cast("bigint").alias("parts"), F.lit(0).cast("bigint").alias("bytes"))
-        measured = one if measured is None else measured.unionByName(one)
-    measured = stage(measured, "measured")
-    manifest = measured.select("table", F.when(F.col("table") == "events", "running").otherwise("complete").alias("status"),
-                               (F.col("rows") + F.when(F.col("table") == "lineitem", 1).otherwise(0)).alias("rows"),
-                               F.lit(None).cast("bigint").alias("expected_rows"), "parts", "bytes")
-    return M.reconcile(manifest, measured).select("table", "rows", "status", "rows_reconcile")
+    """Written copies, as they are measured on disk, against a manifest with wrong entries."""
+    root, parts = written_root(spark), {"orders": 3, "lineitem": 5, "events": 2, "part": 1}
+    counts = {}
+    for name, n in parts.items():
+        W.table(spark, sf, name).repartition(n).write.parquet(f"{root}/{name}")
+        counts[name] = W.table(spark, sf, name).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"))
+    listed = M.file_manifest(spark, root).where(F.col("path").endswith(".parquet"))
+    sizes = listed.groupBy(F.element_at(F.split("path", "/"), -2).alias("table")).agg(F.sum("size").alias("bytes"))
+    true = reduce(lambda a, b: a.unionByName(b), [counts[n] for n in ("orders", "lineitem", "events")]).join(sizes, "table")
+    wrong = lambda name, by: F.when(F.col("table") == name, by).otherwise(0)
+    told = true.select("table", F.when(F.col("table") == "events", "running").otherwise("complete").alias("status"), (F.col("rows") + wrong("lineitem", 1)).alias("rows"),
+                       F.lit(None).cast("bigint").alias("expected_rows"),
+                       (F.coalesce(*[F.when(F.col("table") == n, k) for n, k in parts.items()]) + wrong("events", 7)).cast("bigint").alias("parts"), (F.col("bytes") + wrong("events", 1)).alias("bytes"))
+    told = told.unionByName(spark.createDataFrame([("lost", "complete", 9, None, 1, 1)], told.schema))
+    out = M.reconcile(told, M.measure_tables(spark, root, list(parts)))
+    return out.select("table", "rows", "status", "parts", "rows_reconcile", "parts_reconcile", "bytes_reconcile", F.array_join("problems", "; ").alias("problems"))
+
+
+@query(" UNION ALL ".join(f"SELECT {b} AS bucket, count(*) AS rows, coalesce(sum(o_orderkey), 0)::BIGINT AS order_sum, 6 AS columns FROM orders WHERE o_custkey % 8 = {b}" for b in (0, 3, 7, 99)))
+def bucket_round_trip(spark, sf):
+    """Orders written by bucket of their customer; single buckets read back, one of them absent."""
+    path = f"{written_root(spark)}/orders"
+    write_table(W.table(spark, sf, "orders").withColumn("bucket", F.col("o_custkey") % 8), path, ["bucket"])
+    parts = []
+    for b in (0, 3, 7, 99):
+        one = read_partition(spark, path, "bucket", b).drop("bucket")
+        parts.append(one.agg(F.lit(b).alias("bucket"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("o_orderkey"), F.lit(0)).alias("order_sum"), F.lit(len(one.columns)).alias("columns")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("SELECT 'complete' AS status, count(*) AS rows, sum(o_custkey)::BIGINT AS customers FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus = 'O'")
+def extracted_orders(spark, sf):
+    """A statement with bound parameters, its extract and its manifest."""
+    W.table(spark, sf, "orders").createOrReplaceTempView("orders_to_extract")
+    out = written_root(spark)
+    manifest = extract_query(spark, "SELECT o_orderkey, o_custkey FROM orders_to_extract WHERE o_totalprice >= :least AND o_orderstatus = :status", {"least": 100000, "status": "O"}, out)
+    data = spark.read.parquet(f"{out}/data").agg(F.sum("o_custkey").alias("customers"))
+    return manifest.select("status", "rows").join(data)
+
+
+@query("""SELECT 'added' AS status, 1 AS files UNION ALL SELECT 'removed', 1""")
+def manifest_changes(spark, sf):
+    """Files that differ, by listing and content, after one bucket of a written table is replaced."""
+    path = f"{written_root(spark)}/orders"
+    rows = W.table(spark, sf, "orders").withColumn("bucket", F.col("o_custkey") % 4).repartition(4, "bucket")
+    write_table(rows, path, ["bucket"])
+    before = stage(M.file_manifest(spark, path, content_hash=True).where(F.col("path").endswith(".parquet")), "before")
+    rows.where("bucket = 2").withColumn("o_totalprice", F.lit(0.0)).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    after = M.file_manifest(spark, path, content_hash=True).where(F.col("path").endswith(".parquet"))
+    return M.manifest_diff(before, after).groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS format, count(*) AS rows, sum(o_orderkey)::BIGINT AS order_sum, count(DISTINCT o_orderdate)::BIGINT AS dates, count(*) FILTER (WHERE o_custkey % 3 = 0) AS blank FROM orders" for k in ("csv", "json")))
+def text_round_trips(spark, sf):
+    """Records written as CSV and as JSON lines, nested and with missing values, and read back."""
+    root = written_root(spark)
+    rows = W.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    nested = nest_record(rows, ["day", "o_orderpriority"], "detail")
+    write_csv(nested, f"{root}/csv", single=False)
+    write_json_records(nested, f"{root}/json")
+    kind = "struct<day:date,o_orderpriority:string>"
+    back = {"csv": spark.read.option("header", True).option("escape", '"').schema("o_orderkey bigint, detail string").csv(f"{root}/csv").withColumn("detail", F.from_json("detail", kind)),
+            "json": spark.read.schema(f"o_orderkey bigint, detail {kind}").json(f"{root}/json")}
+    counted = [df.agg(F.lit(k).alias("format"), F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("order_sum"), F.count_distinct("detail.day").alias("dates"),
+                      F.count_if(F.col("detail.o_orderpriority").isNull()).alias("blank")) for k, df in back.items()]
+    return counted[0].unionByName(counted[1])
 
 
 @query("""SELECT 'lineitem' AS problem_table, 'l_partkey: integers beyond exact precision, keep as text' AS problem FROM lineitem HAVING max(abs(l_partkey)) * 90071992547409 > 9007199254740992
