@@ -75,24 +75,21 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _phrases() -> str:
-    rows = [(p, v, "true") for p, v in licenses.BASE_PHRASES.items()] + [(p, v, "false") for p, v in licenses.WORDINGS.items()]
-    return ", ".join(f"({i}, string_split('{p}', ' '), '{v}', {b})" for i, (p, v, b) in enumerate(rows))
+    return ", ".join(f"({t}, string_split('{' '.join(w)}', ' '), '{label}', {str(base).lower()}, {need}, {tells})" for t, label, base, _, need, tells, w in licenses.template_rows())
 
 
 LICENSE_SQL = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {WORD_SQL} AS w FROM documents),
-p AS (SELECT * FROM (VALUES {_phrases()}) AS t(template, words, label, base)),
-t AS (SELECT template, label, base, len(words) - 2 AS last, i - 1 AS t_pos, words[i] AS g0, words[i + 1] AS g1
+p AS (SELECT * FROM (VALUES {_phrases()}) AS t(template, words, label, base, need, tells)),
+t AS (SELECT template, label, base, need, tells, len(words) - 1 AS grams, i - 1 AS t_pos, words[i] AS g0, words[i + 1] AS g1
       FROM p, unnest(range(1, len(words))) AS u(i)),
 g AS MATERIALIZED (SELECT doc_id, i - 1 AS pos, w[i] AS g0, w[i + 1] AS g1 FROM d, unnest(range(1, len(w))) AS u(i)),
-v AS MATERIALIZED (SELECT DISTINCT doc_id, template, label, base, last, t_pos, pos - t_pos AS diagonal FROM g JOIN t USING (g0, g1)),
-dg AS (SELECT doc_id, template, label, base, last, diagonal, count(*) AS votes FROM v GROUP BY ALL),
-b AS (SELECT doc_id, label, diagonal FROM dg WHERE base AND votes = last + 1),
-r AS (SELECT *, sum(CASE WHEN diagonal - before <= {licenses.DRIFT} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS region
-      FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM dg)),
-s AS (SELECT r.doc_id, r.label, count(DISTINCT v.t_pos) / (r.last + 1) AS share
-      FROM r JOIN v USING (doc_id, template, diagonal) WHERE NOT r.base GROUP BY r.doc_id, r.template, r.label, r.last, r.region
-      HAVING count(DISTINCT v.t_pos) / (r.last + 1) >= {licenses.SHARE}),
+v AS MATERIALIZED (SELECT DISTINCT doc_id, template, label, base, need, tells, grams, t_pos, pos - t_pos AS diagonal FROM g JOIN t USING (g0, g1)),
+dg AS (SELECT doc_id, template, label, base, need, tells, grams, diagonal, count(*) AS votes FROM v GROUP BY ALL),
+b AS (SELECT doc_id, label, diagonal FROM dg WHERE base AND votes = grams),
+s AS (SELECT dg.doc_id, dg.label, count(DISTINCT v.t_pos) / dg.grams AS share
+      FROM dg JOIN v ON v.doc_id = dg.doc_id AND v.template = dg.template AND v.diagonal BETWEEN dg.diagonal AND dg.diagonal + {licenses.DRIFT} WHERE NOT dg.base
+      GROUP BY dg.doc_id, dg.template, dg.label, dg.grams, dg.need, dg.tells, dg.diagonal HAVING count(DISTINCT v.t_pos) >= dg.need AND bool_or(v.t_pos = dg.tells)),
 lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
         FROM (SELECT doc_id, label, 1.0::DOUBLE AS share FROM b UNION ALL SELECT * FROM s) GROUP BY doc_id),
 bb AS (SELECT doc_id, count(*) AS n, min(diagonal) AS f, max(diagonal) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY doc_id)
