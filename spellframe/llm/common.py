@@ -39,6 +39,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
 
 
+def repeated(df: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as ``copies`` says, without the column; in two steps, so that no list grows with more than a part of the number."""
+    step = 100_000
+    parts = df.withColumn("_first", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies), F.lit(step).cast("long"))))
+    nth = F.sequence(F.col("_first"), F.least(F.col(copies), F.col("_first") + step - 1))
+    return parts.withColumn("_nth", F.explode(nth)).drop(copies, "_first", "_nth")
+
+
 def row_counts(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Rows and bytes of text, to size partitions by."""
     got = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()

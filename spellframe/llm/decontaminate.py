@@ -6,7 +6,7 @@ shuffled join.  Each document is read once: every word position looks its window
 hit is verified word by word, and only hits and one row per document are grouped afterwards.
 
 Cases: a null or empty text has no words and no windows; items without words are ignored; rows that repeat an id and its text
-share one result row; repeated items count once per id, items without an id hit but are not counted; an empty benchmark gives no hits; other columns are not read.
+are looked up alike and give a row each; repeated items count once per id, items without an id hit but are not counted; an empty benchmark gives no hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import following, row_key, stage, words
+from .common import following, repeated, row_key, stage, words
 
 SIZE = 10
 #: Windows that may be broadcast: about 150 bytes each, so some 300 MB at most.
@@ -32,7 +32,12 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text", size: int = SIZE) -> DataFrame:
-    """Per document: id, n_words, hits (start and end word of each occurrence), n_hit, items (sorted ids)."""
+    """Per document: id, text_hash, n_words, hits (start and end word of each occurrence), n_hit, items (sorted ids)."""
+    return repeated(_by_text(docs, items, id_col, text_col, item_id, item_text, size), "copies")
+
+
+def _by_text(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str = "item_id", item_text: str = "text", size: int = SIZE) -> DataFrame:
+    """``contamination`` by id and text, with the number of such rows."""
     wins = stage(item_windows(items, item_id, item_text, size), "windows")
     lengths = sorted(r[0] for r in wins.select("n").distinct().collect())  # at most `size` numbers
     base = docs.select(row_key(id_col, text_col).alias("doc"), words(F.col(text_col)).alias("w"))
@@ -54,16 +59,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     met = at.join(right, (F.col("key") == F.col("wkey")) & (F.col("n") == F.col("m")) & same, "left")
     met = met.where(F.col("m").isNotNull() | F.col("pos").isNull() | ((F.col("pos") == 0) & (F.col("n") == (lengths or [0])[0])))
     hit = F.when(F.col("m").isNotNull(), F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("m")).alias("end")))
-    per = met.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.collect_set(hit).alias("found"),
+    # Every row is here once with its first place and the first length, hit or not.
+    once = (F.col("pos").isNull() | (F.col("pos") == 0)) & (F.col("n") == (lengths or [0])[0])
+    per = met.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.count_if(once).alias("copies"), F.collect_set(hit).alias("found"),
                                  F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(F.array_sort("found"), start, lambda a, x: F.struct(
         (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n"),
         F.greatest(a["end"], x["end"]).alias("end")))["n"]
-    return per.select(F.col("doc.id").alias(id_col), F.col("doc.h").alias("text_hash"), "n_words", F.array_sort("found").alias("hits"), covered.alias("n_hit"), "items")
+    return per.select(F.col("doc.id").alias(id_col), F.col("doc.h").alias("text_hash"), "n_words", F.array_sort("found").alias("hits"), covered.alias("n_hit"), "items", "copies")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a benchmark window; columns as given."""
-    bad = contamination(docs, items, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("_bad"), F.col("text_hash").alias("_h"))
+    bad = _by_text(docs, items, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("_bad"), F.col("text_hash").alias("_h"))
     return docs.join(bad.distinct(), F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_h")), "left_anti")

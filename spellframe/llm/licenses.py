@@ -10,8 +10,8 @@ tells the wording from others, and enough of the rest, so that one changed or mi
 Hits are aggregated by (document, template, diagonal) before they are shuffled; the templates are a
 fixed list of a few hundred k-grams, so their broadcast has a known size.
 
-Cases: null and empty texts have no words and no labels; rows that repeat an id and its text share one result
-row; an empty table gives an empty result; other columns are not read.
+Cases: null and empty texts have no words and no labels; rows that repeat an id and its text are read alike and give a
+row each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import following, row_key, words
+from .common import following, repeated, row_key, words
 
 K = 2
 DRIFT = 2
@@ -74,7 +74,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans by document, template and first diagonal (``start``), whether ``exact`` and whether verified, and their share of the template; a
+    """Spans by document (id and text hash; ``copies``: number of such rows), template and first diagonal (``start``), whether ``exact`` and whether verified, and their share of the template; a
     document without any has one row without a template."""
     at = (docs.select(row_key(id_col, text_col).alias("doc"), words(F.col(text_col)).alias("w"))
               .select("doc", F.size("w").cast("long").alias("n_words"), following(F.col("w"), K).alias("z"))
@@ -83,10 +83,12 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     (F.xxhash64("v.w0", "v.w1") == F.col("key")) & (F.col("v.w0") == F.col("g0")) & (F.col("v.w1") == F.col("g1")), "left")
     voted = voted.where(F.col("key").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0))
     diagonals = (voted.groupBy("doc", "template", "label", "base", "last", "need", "tells", (F.col("pos") - F.col("t_pos")).cast("long").alias("start"))
-                      .agg(F.max("n_words").alias("n_words"), F.collect_set("t_pos").alias("met")))
+                      .agg(F.max("n_words").alias("n_words"), F.collect_set("t_pos").alias("met"), F.count(F.lit(1)).alias("votes")))
     near = Window.partitionBy("doc", "template").orderBy("start").rangeBetween(0, DRIFT)
     spans = diagonals.withColumn("held", F.array_distinct(F.flatten(F.collect_list("met").over(near))))
-    return spans.select("doc", "n_words", "template", "label", "base", "start", (F.size("met") == F.col("last") + 1).alias("exact"),
+    # A row votes once for a place of the template on a diagonal, so votes beyond that are of rows that repeat the id and the text.
+    copies = F.floor(F.col("votes") / F.greatest(F.size("met"), F.lit(1))).cast("long")
+    return spans.select("doc", copies.alias("copies"), "n_words", "template", "label", "base", "start", (F.size("met") == F.col("last") + 1).alias("exact"),
                         (F.array_contains("held", F.col("tells")) & (F.size("held") >= F.col("need"))).alias("verified"), (F.size("held") / (F.col("last") + 1)).alias("share"))
 
 
@@ -96,9 +98,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.col("base") & F.col("exact")
     kept = base | (~F.col("base") & F.col("verified"))
     listed = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
-    return spans.groupBy("doc").agg(
-        F.max("n_words").alias("n_words"), F.count_if(base).alias("n_base"),
+    return repeated(spans.groupBy("doc").agg(
+        F.max("copies").alias("copies"), F.max("n_words").alias("n_words"), F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
         listed(base).alias("base_labels"), listed(kept).alias("labels"),
         F.coalesce(F.max(F.when(kept, F.least(F.col("share"), F.lit(1.0)))), F.lit(0.0)).alias("score"),
-    ).select(F.col("doc.id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    ).select(F.col("doc.id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "copies"), "copies")

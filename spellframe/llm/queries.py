@@ -122,40 +122,51 @@ FROM d
 
 
 def _spans(kind: str, pattern: str) -> str:
-    return f"""SELECT doc_id, '{kind}' AS kind, i, m[i] AS value, b[i] AS gap,
+    return f"""SELECT r, '{kind}' AS kind, i, m[i] AS value,
        list_sum(list_transform(b[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS stop
-       FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS b FROM d), unnest(range(1, len(m) + 1)) AS u(i)"""
+       FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS b FROM d), unnest(range(1, len(m) + 1)) AS u(i)"""
 
 
-# The base patterns as given; the account number with word ends.
+def _by_kind(values: dict) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items()) + " END"
+
+
+def _weighted(weights: list[int]) -> str:
+    return f"list_sum(list_transform(range(1, {len(weights) + 1}), lambda k: digits[k]::INT * ({weights})[k]))"
+
+
+# The base patterns as given.
 PII_SQL = f"""
-WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 p AS MATERIALIZED (
   {_spans('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+')} UNION ALL
   {_spans('ip', '[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)')} UNION ALL
   {_spans('card', '[0-9]([ -]?[0-9])+')} UNION ALL
   {_spans('phone', '[+][0-9][ ().0-9-]+[0-9]')} UNION ALL
-  {_spans('iban', '\\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}\\b')}),
+  {' UNION ALL '.join(_spans(k, rf'\b(?:{v})\b') for k, v in pii.WORDS.items())}),
 q AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits, replace(value, ' ', '') AS flat FROM p),
-ok AS (SELECT doc_id, kind, value, right(gap, 40) AS near, stop - length(value) AS start, stop FROM q WHERE CASE kind
+ok AS (SELECT r, kind, value, stop - length(value) AS start, stop FROM q WHERE CASE kind
   WHEN 'email' THEN true
   WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda x: x::HUGEINT > 255)) = 0
   WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k:
        CASE WHEN k % 2 = 1 THEN digits[length(digits) - k + 1]::INT
             ELSE (digits[length(digits) - k + 1]::INT * 2) % 10 + (digits[length(digits) - k + 1]::INT * 2) // 10 END)) % 10 = 0
   WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
-  ELSE list_reduce(list_prepend(0::BIGINT, list_transform(string_split(flat[5:] || flat[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::BIGINT ELSE (ascii(c) - 55)::BIGINT END)),
-       lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1 END),
-s AS (SELECT *, list_position(['email', 'ip', 'card', 'phone', 'iban'], kind) AS k, kind || ':' || start::BIGINT || ':' || stop::BIGINT AS span,
-  least(1.0, CASE kind WHEN 'email' THEN 0.8 WHEN 'ip' THEN 0.6 WHEN 'card' THEN 0.7 WHEN 'phone' THEN 0.5 ELSE 0.7 END
-  + CASE WHEN regexp_matches(lower(near), CASE kind WHEN 'email' THEN '{pii.CONTEXT['email']}' WHEN 'ip' THEN '{pii.CONTEXT['ip']}' WHEN 'card' THEN '{pii.CONTEXT['card']}'
-    WHEN 'phone' THEN '{pii.CONTEXT['phone']}' ELSE '{pii.CONTEXT['iban']}' END) THEN 0.2 ELSE 0 END) AS score FROM ok),
-a AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+  WHEN 'iban' THEN list_reduce(list_prepend(0::BIGINT, list_transform(string_split(flat[5:] || flat[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::BIGINT ELSE (ascii(c) - 55)::BIGINT END)),
+       lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+  WHEN 'ssn' THEN digits[1:3] NOT IN ('000', '666') AND digits[1] <> '9' AND digits[4:5] <> '00' AND digits[6:9] <> '0000'
+  WHEN 'nhs' THEN {_weighted([10, 9, 8, 7, 6, 5, 4, 3, 2, 1])} % 11 = 0
+  ELSE {_weighted([3, 7, 1] * 3)} % 10 = 0 AND (digits[1:2]::INT BETWEEN 1 AND 12 OR digits[1:2]::INT BETWEEN 21 AND 32) END),
+n AS (SELECT ok.*, translate(right(left(t, start::BIGINT), {pii.NEAR}) || chr(10) || substr(t, stop::BIGINT + 1, {pii.NEAR}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near
+  FROM ok JOIN d USING (r)),
+s AS (SELECT r, kind, start, list_position({list(pii.PATTERNS)}, kind) AS k, kind || ':' || start::BIGINT || ':' || stop::BIGINT AS span,
+  least(1.0, {_by_kind(pii.START)} + CASE WHEN {' OR '.join(f"kind = '{k}' AND regexp_matches(near, '{v}')" for k, v in pii.CONTEXT.items())} THEN {pii.RISE} ELSE 0 END) AS score FROM n),
+a AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
   count(*) FILTER (kind = 'phone') AS n_phone, string_agg(span, ',' ORDER BY k, start) FILTER (k <= 4) AS base, string_agg(span, ',' ORDER BY k, start) AS spans,
-  max(score) AS score FROM s GROUP BY doc_id)
+  max(score) AS score FROM s WHERE k <= 4 OR score >= {pii.ACCEPT} GROUP BY r)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(score, 0)::DOUBLE AS score
-FROM d LEFT JOIN a USING (doc_id)
+FROM d LEFT JOIN a USING (r)
 """
 
 # The unsigned checksum of a decimal number, bit by bit.

@@ -83,7 +83,7 @@ def test_licenses(spark, docs, empty):
     assert (one.n_base, one.first_word, one.last_word, one.base_labels, one.score) == (3, 0, 5, "cc-by,reserved", 1.0)
     assert (got[2, 0].n_base, got[2, 0].first_word, got[2, 0].labels, got[2, 0].score) == (0, None, "", 0.0)
     assert got[4, 8].n_base == 2 and "gpl" in got[4, 8].labels and got[4, 1].labels == ""
-    assert licenses.license_scan(docs).count() == docs.select("doc_id", "text").distinct().count() and licenses.license_scan(empty).count() == 0
+    assert licenses.license_scan(docs).count() == docs.count() and licenses.license_scan(empty).count() == 0
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
@@ -111,7 +111,7 @@ def test_decontamination(spark, docs, empty, monkeypatch, broadcast):
                             ids |= {str(i)} if i is not None else set()
                 candidates.append((len(w), len(hit), sorted(ids)))
         assert (r.n_words, r.n_hit, r["items"]) in candidates
-    assert len(found) == docs.select("doc_id", "text").distinct().count()
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in corpus())
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, none).where("n_hit > 0").count() == 0 and decontaminate.contamination(empty, none).count() == 0
     assert decontaminate.drop_contaminated(docs, none).count() == docs.count()
@@ -169,6 +169,49 @@ def test_pii(spark, empty):
     assert got[5, 0, 0, 0, 0] == f"iban:5:{rows[4][1].index(' and')}"
     assert got[5, 1, 0, 0, 0] == plain_spans(rows[5][1])
     assert pii.pii_report(empty).count() == 0
+    assert pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
+def pii_both_ways(spark, texts):
+    """Spans and scores by the operator and by the SQL, both by row number."""
+    import duckdb
+
+    from spellframe.llm import queries
+    documents = __import__("pandas").DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = {r[0]: (r[6], r[7]) for r in con.execute(queries.PII_SQL).fetchall()}
+    got = {r.doc_id: (r.spans, r.score) for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+    return got
+
+
+def test_pii_context_decides(spark):
+    number, far = "078-05-1120", "x" * 40
+    texts = [f"number {number} here", f"her SSN: {number} here", f"{number} (social security)", f"ssn {far} {number}", f"{number} {far} ssn", "ssn 000-12-3456, 666-12-3456, 912-12-3456, 123-00-4567",
+             "NHS 943 476 5919", "call 943 476 5919", "patient 943 476 5918", "routing 021000021", "database 021000021", "account 021000021", "aba 021000022", "ABA 991000029",
+             "ssn 12 34 56 7 8 9 10 " + number, f"ssn a@b.c {number}", f"{number} 1.2.3.4 {number} ssn", "é" * 39 + f"ssn{number}", f"write to us: a@b.co or {'y' * 30} c@d.co by mail"]
+    got = pii_both_ways(spark, texts)
+    only = [",".join(x for x in got[k][0].split(",") if x.split(":")[0] in pii.ASKED) for k in range(len(texts))]
+    assert only == ["", "ssn:9:20", "ssn:0:11", "", "", "", "nhs:4:16", "", "", "aba:8:17", "", "", "", "", "ssn:22:33", "ssn:10:21", "ssn:0:11,ssn:20:31", "", ""]
+
+
+def test_pii_sql_reads_account_numbers_alike(spark):
+    pii_both_ways(spark, ["pay DE89 3704 0044 0532 0130 00 BIC: COBADEFF", "GB82 WEST 1234 5698 7654 32 OR cash", "DE89370400440532013000 GB82WEST12345698765432", "XX12 3456 7890 1234 5678", "", None,
+                          "mail a.b@c.org_d@e.fr 010.0.0.1 1.2.3.4.5 4111 1111-1111 1111 +49 (30) 123-4567 tel"])
+
+
+def test_rows_that_repeat_give_a_row_each(spark):
+    rows = [(7, "cc by +49 (30) 123-4567 one two"), (7, "cc by +49 (30) 123-4567 one two"), (7, "other"), (None, None), (None, None), (None, ""), (8, "one two cc by cc by"), (8, "one two cc by cc by"), (8, "one two cc by cc by")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two"), (2, "by cc by")], "item_id long, text string")
+    ids = sorted(str(r[0]) for r in rows)
+    for found in (licenses.license_scan(docs), pii.pii_report(docs), decontaminate.contamination(docs, items)):
+        assert sorted(str(r.doc_id) for r in found.collect()) == ids
+    assert sorted(r.n_base for r in licenses.license_scan(docs).where("doc_id = 8").collect()) == [2, 2, 2]
+    assert sorted(r.doc_id or 0 for r in decontaminate.drop_contaminated(docs, items).collect()) == [0, 0, 0, 7]
+    from spellframe.llm import common
+    assert common.repeated(spark.createDataFrame([(1, 250_001)], "a int, n long"), "n").count() == 250_001
 
 
 def test_pii_account_number_before_words(spark):
