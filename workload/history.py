@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,13 @@ from spellframe.operators import spells as S
 from spellframe.plans import clean as K
 from spellframe.session import stage
 from workload import orders_as_spells as W
-from workload.oracle import history, qlabel
+from workload.oracle import history, history_by_window, qlabel
 
 CFG = W.CFG
 VARIANTS = [(k, CFG.last_q) for k in CFG.persistence]
+#: A window to the last quarter and one that ends a year before; runs are cut at the end of each.
+BOTH_ENDS = replace(CFG, windows={"primary": CFG.windows["primary"], "early": ("1997Q4", "1999Q3")})
+HORIZONS = [(k, b) for _, b in BOTH_ENDS.window_quarters.values() for k in CFG.persistence]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -347,3 +352,69 @@ def dense_history(spark, sf):
     p = panel(spark, sf).select("user_id", "end_rule", "qidx", "quarter", "obs_type", "primary_position_id", "loc_country_fallback")
     return P.dense_history(p)
 
+
+def classified_at_ends(spark, sf) -> DataFrame:
+    """Run classes at the end of each window, from one pass over the runs."""
+    return S.classify_runs(runs(spark, sf), HORIZONS)
+
+
+@query(history_by_window("""SELECT user_id, end_rule, spec, k AS persistence_quarters, h AS horizon_q, block_no, run_no, home, start_q, end_q, len, confirmed_before,
+block_final, last_block, run_class FROM cls""", BOTH_ENDS.window_quarters))
+def run_classes_by_horizon(spark, sf):
+    return classified_at_ends(spark, sf).select("user_id", "end_rule", "spec", "persistence_quarters", "horizon_q", "block_no", "run_no", "home",
+                                                "start_q", "end_q", "len", "confirmed_before", "block_final", "last_block", "run_class")
+
+
+@query(history_by_window(_event_sql(), BOTH_ENDS.window_quarters))
+def event_measures_by_horizon(spark, sf):
+    return E.event_measures(E.window_transitions(S.transitions(classified_at_ends(spark, sf)), BOTH_ENDS)).drop("method")
+
+
+@query(history_by_window(_cross_sql(), BOTH_ENDS.window_quarters))
+def cross_measures_by_horizon(spark, sf):
+    """Endpoint classes against events that were confirmed, or still open, at the end of each window."""
+    cls = classified_at_ends(spark, sf)
+    joined = E.window_events(E.endpoints(panel(spark, sf), BOTH_ENDS), S.transitions(cls), S.person_summary(cls), BOTH_ENDS)
+    return E.cross_measures(joined, BOTH_ENDS).drop("method")
+
+
+def clashing(spark: SparkSession, sf: str) -> K.Cleaned:
+    """The spells cleaned with clashes and gaps between their tables, written once a session."""
+    return written_once("clashing", spark, sf, lambda: K.clean(
+        W.clashing_positions(spark, sf), W.clashing_people(spark, sf), W.strange_cohort(spark, sf), CFG, W.clashing_positions_raw(spark, sf), keep=stage))
+
+
+# Keys are judged by counting distinct contents; titles are joined by number and then compared.
+CLASHES = """, pos2 AS (SELECT * FROM positions UNION ALL SELECT * REPLACE (CASE WHEN k % 2 = 0 THEN 'NATION_9' ELSE country END AS country) FROM positions WHERE k % 61 = 0),
+pos_bad AS (SELECT position_id FROM pos2 GROUP BY position_id HAVING count(DISTINCT coalesce(country, '-')) > 1),
+raw2 AS (SELECT CASE WHEN k % 59 = 0 THEN 'x' ELSE '' END || position_id AS pid, raw_user, t FROM src, unnest(CASE WHEN k % 67 = 0 THEN [raw_title, 'Other words'] ELSE [raw_title] END) AS u(t)),
+raw_key AS (SELECT pid, count(DISTINCT coalesce(t, '-')) AS n, first(raw_user) AS raw_user, first(t) AS t FROM raw2 GROUP BY pid),
+ppl2 AS (SELECT user_id, user_country FROM people UNION ALL SELECT user_id, 'NATION_8' FROM people WHERE user_id[2:]::BIGINT % 73 = 0),
+profile AS (SELECT user_id, count(DISTINCT coalesce(user_country, '-')) AS n FROM ppl2 GROUP BY user_id),
+coh2 AS (SELECT CASE WHEN user_id[2:]::BIGINT % 71 = 0 THEN 'X' ELSE '' END || user_id AS user_id FROM people),
+sound AS (SELECT * REPLACE (CASE WHEN user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM coh2) THEN 'user_not_in_cohort' ELSE reason END AS reason)
+  FROM positions WHERE position_id NOT IN (SELECT position_id FROM pos_bad)),
+told AS (SELECT sound.*, CASE WHEN r.n > 1 THEN 'conflicting_raw_key' WHEN r.pid IS NULL THEN 'no_raw_row' WHEN r.raw_user IS DISTINCT FROM sound.user_id THEN 'raw_user_mismatch'
+  WHEN trim(coalesce(r.t, '')) = '' THEN 'blank_title' ELSE 'ok' END AS told FROM sound LEFT JOIN raw_key r ON r.pid = sound.position_id)
+"""
+
+
+@query(history(CLASHES + """SELECT position_id, told AS title_status, reason AS quarantine_reason, country FROM told"""))
+def clashing_titles(spark, sf):
+    """Each sound spell with what became of its title and the rule that sets it aside, where tables clash."""
+    return clashing(spark, sf).positions.select("position_id", "title_status", "quarantine_reason", "country")
+
+
+@query(history(CLASHES + """SELECT 'spells' AS section, reason AS label, count(*) AS rows FROM told WHERE reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'spells', 'conflicting_duplicate_key', count(*) FROM pos2 WHERE position_id IN (SELECT position_id FROM pos_bad) HAVING count(*) > 0
+UNION ALL SELECT 'raw_titles', 'conflicting_duplicate_key', count(*) FROM raw2 WHERE pid IN (SELECT pid FROM raw_key WHERE n > 1) HAVING count(*) > 0
+UNION ALL SELECT 'users', 'conflicting_duplicate_key', count(*) FROM ppl2 WHERE user_id IN (SELECT user_id FROM profile WHERE n > 1) HAVING count(*) > 0
+UNION ALL SELECT 'profile_status', CASE WHEN p.n > 1 THEN 'conflicting_duplicate_key' WHEN p.n = 1 THEN 'ok' ELSE 'no_profile_row' END AS label, count(*)
+FROM (SELECT user_id FROM coh2 UNION SELECT user_id FROM people) LEFT JOIN profile p USING (user_id) GROUP BY label"""))
+def clashing_quarantine(spark, sf):
+    """Rows set aside by table and reason, and the profile status of people, where tables clash."""
+    c = clashing(spark, sf)
+    spells = c.quarantine.groupBy(F.lit("spells").alias("section"), F.col("quarantine_reason").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    other = c.other_quarantine.groupBy(F.col("source_table").alias("section"), F.col("quarantine_reason").alias("label")).agg(F.sum("rows").alias("rows"))
+    status = c.users.groupBy(F.lit("profile_status").alias("section"), F.col("profile_status").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    return spells.unionByName(other).unionByName(status)

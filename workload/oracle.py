@@ -46,7 +46,9 @@ def qlabel(c: str) -> str:
 C = CFG
 HOME = _q(C.home)
 
-HISTORY = f"""WITH
+def history_steps(horizon: int, windows: dict[str, tuple[int, int]]) -> str:
+    """The chain with runs cut at a horizon and the windows given."""
+    return f"""WITH
 base AS (
   SELECT o_orderkey AS k, o_custkey, o_orderstatus AS st, o_orderpriority AS pri, CAST(o_orderdate AS DATE) AS day,
          (o_custkey + (year(o_orderdate) * 12 + month(o_orderdate) - 1) // 18) % 3
@@ -159,8 +161,8 @@ runs AS MATERIALIZED (
          row_number() OVER (PARTITION BY user_id, end_rule, spec ORDER BY start_q) AS run_no FROM runs0),
 variants AS (SELECT unnest([1, 2, 4]) AS k),
 cut AS MATERIALIZED (
-  SELECT r.* EXCLUDE (end_q), k, {C.last_q} AS h, least(end_q, {C.last_q}) AS end_q, least(end_q, {C.last_q}) - start_q + 1 AS len
-  FROM runs r, variants WHERE start_q <= {C.last_q}),
+  SELECT r.* EXCLUDE (end_q), k, {horizon} AS h, least(end_q, {horizon}) AS end_q, least(end_q, {horizon}) - start_q + 1 AS len
+  FROM runs r, variants WHERE start_q <= {horizon}),
 blk AS (
   SELECT user_id, end_rule, spec, k, block_no, min(run_no) AS first_run, max(run_no) AS last_run, min(start_q) AS b_start, max(end_q) AS b_end
   FROM cut GROUP BY ALL),
@@ -205,7 +207,7 @@ moves AS (
          CASE WHEN o.employer = d.employer THEN 'same' WHEN o.employer <> d.employer THEN 'different' ELSE 'unknown' END AS same_rcid
   FROM ev e LEFT JOIN obs o ON o.user_id = e.user_id AND o.end_rule = e.end_rule AND o.spec = e.spec AND o.qidx = e.origin_q
   LEFT JOIN obs d ON d.user_id = e.user_id AND d.end_rule = e.end_rule AND d.spec = e.spec AND d.qidx = e.event_q),
-win AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {a}, {b})" for n, (a, b) in C.window_quarters.items())}) w(window_name, a, b)),
+win AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {a}, {b})" for n, (a, b) in windows.items())}) w(window_name, a, b)),
 specs AS (SELECT unnest(['position_with_profile_fallback', 'position_only']) AS location_spec),
 ends0 AS (
   SELECT window_name, a, b, p.end_rule, location_spec, p.user_id, p.qidx,
@@ -243,5 +245,13 @@ ends AS (
 """
 
 
+HISTORY = history_steps(C.last_q, C.window_quarters)
+
+
 def history(final: str) -> str:
     return HISTORY + final
+
+
+def history_by_window(final: str, windows: dict[str, tuple[int, int]]) -> str:
+    """``final`` for each window with the runs cut at its end, one after the other."""
+    return " UNION ALL ".join(f"SELECT * FROM ({history_steps(b, {n: (a, b)})}{final})" for n, (a, b) in windows.items())

@@ -81,3 +81,41 @@ def people(spark: SparkSession, sf: str) -> DataFrame:
 def cohort(spark: SparkSession, sf: str) -> DataFrame:
     """People named by the two master tables, by id."""
     return people(spark, sf).select("user_id")
+
+
+# The same rows with clashes and gaps between the tables: copies that differ, titles and people that are not found.
+
+
+def _number(column: str):
+    return F.substring(column, 2, 20).cast("long")
+
+
+def _twice(df: DataFrame, when) -> DataFrame:
+    """Rows that fulfil the condition stand twice; ``_nth`` tells them apart."""
+    return df.withColumn("_nth", F.explode(F.when(when, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+
+
+def clashing_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Some spells stand twice: those with an odd number as exact copies, the others in another country."""
+    key = F.col("position_id").cast("long")
+    rows = _twice(positions(spark, sf), key % 61 == 0)
+    return rows.withColumn("country", F.when((F.col("_nth") == 1) & (key % 2 == 0), "NATION_9").otherwise(F.col("country"))).drop("_nth")
+
+
+def clashing_positions_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Some titles stand under a number that no spell has, some twice with other words."""
+    key = F.col("position_id").cast("long")
+    rows = _twice(positions_raw(spark, sf), key % 67 == 0)
+    return rows.select("user_id", F.when(key % 59 == 0, F.concat(F.lit("x"), "position_id")).otherwise(F.col("position_id")).alias("position_id"),
+                       F.when(F.col("_nth") == 1, "Other words").otherwise(F.col("title_raw")).alias("title_raw"))
+
+
+def clashing_people(spark: SparkSession, sf: str) -> DataFrame:
+    """Some profiles stand twice with other countries."""
+    rows = _twice(people(spark, sf), _number("user_id") % 73 == 0)
+    return rows.withColumn("user_country", F.when(F.col("_nth") == 1, "NATION_8").otherwise(F.col("user_country"))).drop("_nth")
+
+
+def strange_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    """Some people stand in the cohort under an id without a profile."""
+    return cohort(spark, sf).select(F.when(_number("user_id") % 71 == 0, F.concat(F.lit("X"), "user_id")).otherwise(F.col("user_id")).alias("user_id"))
