@@ -150,3 +150,11 @@ def test_stage_folder(spark, table):
         shared_folder(_Session("yarn"))
     assert shared_folder(_Session("local[2]")) == shared_folder(_Session("local[2]"))
     assert stage(table([(1, None)], "a int, b string")).where(F.col("b").isNull()).count() == 1
+
+
+def test_refusals_of_products_beyond_64_bits(spark, table, tmp_path):
+    from workload import reports
+    for n, keys in enumerate(([2_000_000, -2_000_000, None], [100], [101])):
+        table([(i, k, 1.0) for i, k in enumerate(keys)], "l_orderkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+    beyond = [("lineitem", "l_partkey: integers beyond exact precision, keep as text")]
+    assert [rows(reports.export_refusals(spark, f"{tmp_path}/{n}")) for n in range(3)] == [beyond, [], beyond]
