@@ -3,8 +3,9 @@
 A character n-gram model trained from labelled text stands in for a detector library;
 the policy on top of it (spans, groups, scripts) is exact for any given spans.  Passages
 tile the whole text: a sentence, or where a sentence is longer than ``PASSAGE_CHARS`` a piece that goes on to the
-end of the word; no word is ever cut.  Texts are dealt over the tasks before they are scored.  A model whose written size is below
-``MODEL_BYTES`` is broadcast, so n-grams are summed where they are made; a larger one is joined by n-gram with salts for the frequent ones.
+end of the word; no word is ever cut.  Texts are dealt over the tasks before they are scored.  N-grams are counted in Arrow batches.  A model
+below ``MODEL_BYTES`` is broadcast, so n-grams are summed where they are made and a passage travels as one row; a larger one is joined by
+n-gram with salts for the frequent ones.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions.periods import _col
 from ..session import stage
+from .grams import GRAM, cuts, label_counts, model_arrays, sums
 from .skew import dealt, find_sized, salted_join
 
-GRAM = 3
 #: Length from which a sentence may end at white space.
 PASSAGE_CHARS = 400
 SCRIPTS = ("simplified", "traditional")
@@ -34,41 +36,55 @@ def letters(text) -> Column:
     return F.length(F.regexp_replace(_col(text), r"[^\p{L}]", ""))
 
 
+def _padded(text: Column) -> Column:
+    """The letters of a text in lower case, one space for all between them and at both ends."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
+
+
 def _grams(text: Column) -> Column:
     """All overlapping character n-grams of the padded, letters-only text, in one linear regex pass."""
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
-    return F.regexp_extract_all(padded, F.lit(f"(?=(.{{{GRAM}}}))"), F.lit(1))
+    return F.regexp_extract_all(_padded(text), F.lit(f"(?=(.{{{GRAM}}}))"), F.lit(1))
 
 
 def passages(df: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, pos, passage): consecutive pieces that together are the whole text."""
-    return df.select(ident, text).select(ident, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PASSAGE), F.lit(0))).alias("pos", "passage"))
+    rows = df.select(ident, text)
+    fields = T.StructType([rows.schema[0], T.StructField("pos", T.IntegerType()), T.StructField("passage", T.StringType())])
+    return rows.mapInArrow(cuts(PASSAGE), fields)
 
 
 def language_profiles(labelled: DataFrame, text: str, label: str, labels: list[str], alpha: float = 0.5) -> DataFrame:
     """(gram, logp array in the order of ``labels``) for all grams of the labelled texts."""
-    pieces = dealt(labelled.where(F.col(label).isin(*labels)).select(label, text)).select(
-        label, F.explode(F.regexp_extract_all(F.col(text), F.lit(PASSAGE), F.lit(0))).alias("p"))
-    number = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label))  # compared per gram: an int is cheaper
-    grams = pieces.select(number.alias("_l"), _grams(F.col("p")).alias("_g")).select("_l", F.explode("_g").alias("gram"))
-    counts = stage(grams.groupBy("gram").agg(*[F.count_if(F.col("_l") == i + 1).alias(f"_c{i}") for i in range(len(labels))]), "gram_counts")
+    pieces = passages(dealt(labelled.where(F.col(label).isin(*labels)).select(label, text)), label, text)
+    number = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label))
+    fields = ", ".join(["gram string", *[f"_c{i} bigint" for i in range(len(labels))]])
+    grams = pieces.select(number.cast("int").alias("_l"), _padded(F.col("passage")).alias("_t")).mapInArrow(label_counts(len(labels)), fields)
+    counts = stage(grams.groupBy("gram").agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(labels))]), "gram_counts")
     total = counts.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(labels))]).first()  # one row
     share = lambda c: F.log((F.col(c) + alpha) / F.lit((total[c] or 0) + alpha * total["n"]))
     return counts.select("gram", F.array(*[share(f"_c{i}") for i in range(len(labels))]).alias("logp"))
 
 
-def _with_model(grams: DataFrame, profiles: DataFrame, labels: list[str], how: str) -> DataFrame:
-    """The n-grams with their log probabilities."""
-    size = profiles.count() * (64 + 8 * len(labels))  # key, offsets and one number per label in a row of the hash table
+def _scored(pieces: DataFrame, text: str, profiles: DataFrame, labels: list[str]) -> DataFrame:
+    """The other columns and ``_s0, _s1, ...``: each piece's sums of log probabilities, NULL without a known n-gram.
+
+    By a small model one row per piece, by a large one a row per n-gram; either way the sums of a piece add up.
+    """
+    kept, names = [c for c in pieces.columns if c != text], [f"_s{i}" for i in range(len(labels))]
+    size = profiles.count() * (64 + 8 * len(labels))  # key, offsets and one number per label in a row of a hash table
     if size <= MODEL_BYTES:
-        return grams.join(F.broadcast(profiles), "gram", how)
-    return salted_join(grams, profiles, ["gram"], how, hot=find_sized(grams, ["gram"]))
+        model = pieces.sparkSession.sparkContext.broadcast(model_arrays(profiles.select("gram", "logp").toArrow()))
+        ready = pieces.select(*kept, _padded(F.col(text)).alias("_t"))
+        fields = T.StructType([*ready.schema.fields[:-1], *[T.StructField(n, T.DoubleType()) for n in names]])
+        return ready.mapInArrow(sums(model, len(labels)), fields)
+    grams = pieces.select(*kept, _grams(F.col(text)).alias("_g")).select(*kept, F.explode_outer("_g").alias("gram"))
+    hit = salted_join(grams, profiles, ["gram"], "left", hot=find_sized(grams, ["gram"]))
+    return hit.select(*kept, *[F.col("logp")[i].alias(n) for i, n in enumerate(names)])
 
 
 def _log_scores(pieces: DataFrame, keys: list[str], profiles: DataFrame, labels: list[str], text: str) -> DataFrame:
-    grams = pieces.select(*keys, F.explode(_grams(F.col(text))).alias("gram"))
-    hit = _with_model(grams, profiles, labels, "inner")
-    return hit.groupBy(*keys).agg(*[F.sum(F.col("logp")[i]).alias(f"_s{i}") for i in range(len(labels))])
+    scored = _scored(pieces.select(*keys, text), text, profiles, labels).where(F.col("_s0").isNotNull())
+    return scored.groupBy(*keys).agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(labels))])
 
 
 def _top_two(scored: DataFrame, labels: list[str]) -> DataFrame:
@@ -97,22 +113,20 @@ def score_passages(df: DataFrame, ident: str, text: str, profiles: DataFrame, la
     """
     parts = passages(dealt(df.select(ident, text)), ident, text)
     scripts = dict(zip(SCRIPTS, alphabets or (), strict=False))
-    # Length and letters are summed with the scores in one aggregate, so passages travel once.
-    # Measured in a projection of their own: next to explode they would be computed per gram.
-    sized = parts.select(ident, "pos", F.length("passage").alias("_len"), letters("passage").alias("_letters"), _grams(F.col("passage")).alias("_g"),
-                         *[F.concat_ws("", exclusive_characters("passage", a)).alias(s) for s, a in scripts.items()])
-    grams = sized.select(ident, "pos", "_len", "_letters", *scripts, F.explode_outer("_g").alias("gram"))
-    hit = _with_model(grams, profiles, labels, "left")
+    sized = parts.select(ident, "pos", F.length("passage").alias("_len"), letters("passage").alias("_letters"),
+                         *[F.concat_ws("", exclusive_characters("passage", a)).alias(s) for s, a in scripts.items()], "passage")
+    # Passages travel once, by document: sums, places and merged spans are made behind that exchange.
+    hit = _scored(sized, "passage", profiles, labels).repartition(ident)
     scored = hit.groupBy(ident, "pos").agg(
         F.max("_len").alias("_len"), F.max("_letters").alias("letters"), *[F.max(s).alias(s) for s in scripts],
-        *[F.sum(F.col("logp")[i]).alias(f"_s{i}") for i in range(len(labels))])
+        *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(labels))])
     w = Window.partitionBy(ident).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = scored.withColumn("end", F.sum("_len").over(w)).withColumn("start", F.col("end") - F.col("_len"))
     return (_top_two(placed.where(F.col("_s0").isNotNull()), labels)
             .select(ident, "start", "end", "language", "letters", "confidence", "second", *scripts))
 
 
-def _joined_characters(column: str) -> Column:
+def _joined_characters(column: Column | str) -> Column:
     """Distinct characters of several short strings; bounded by the alphabet they come from."""
     return F.concat_ws("", F.array_sort(F.array_distinct(F.split(F.array_join(F.collect_set(column), ""), ""))))
 
@@ -150,14 +164,16 @@ def classify_language(merged: DataFrame, documents: DataFrame, ident: str) -> Da
     ``documents``: id, ``letters`` (all letters of the text) and ``chinese_script`` (NULL when
     undecided); without that column the script comes from the characters of the Chinese passages.  Passages below the minimum do not count.
     """
-    if "chinese_script" not in documents.columns:
-        documents = documents.join(chinese_scripts(merged, ident), ident, "left")
     big = F.col("letters") >= V.MIN_PASSAGE_LETTERS
+    given = "chinese_script" in documents.columns
+    told = [] if given else [_joined_characters(F.when(F.col("language") == "Chinese", F.col(s))).alias(s) for s in SCRIPTS]
     per = merged.where(big).groupBy(ident).agg(
         *[F.coalesce(F.sum(F.when(F.col("language") == g, F.col("letters"))), F.lit(0)).alias(f"_{i}")
           for i, g in enumerate(V.LANGUAGE_GROUPS)],
-        F.count_if(F.col("language") != "English").alias("other_passages"))
-    j = documents.select(ident, F.col("letters").alias("_total"), "chinese_script").join(per, ident, "left")
+        F.count_if(F.col("language") != "English").alias("other_passages"), *told)
+    if not given:  # of the same pass: the spans are not made twice
+        per = per.withColumn("chinese_script", _script(*[F.length(s) for s in SCRIPTS])).drop(*SCRIPTS)
+    j = documents.select(ident, F.col("letters").alias("_total"), *(["chinese_script"] if given else [])).join(per, ident, "left")
     share = {g: F.coalesce(F.col(f"_{i}"), F.lit(0)) / F.col("_total") for i, g in enumerate(V.LANGUAGE_GROUPS)}
     amount = {g: F.coalesce(F.col(f"_{i}"), F.lit(0)) for i, g in enumerate(V.LANGUAGE_GROUPS)}
     en, zh = "English", "Chinese"
