@@ -18,7 +18,10 @@ NO_HORIZON = 1_000_000
 
 
 def observations(panel: DataFrame, parent: str = "primary_parent_rcid", employer: str = "primary_rcid") -> DataFrame:
-    """Panel rows seen under each location specification, known status only."""
+    """Panel rows seen under each location specification, known status only.
+
+    Rows are placed by person before they are seen twice: runs, classes, moves and summaries all stay on that placement.
+    """
     null = F.lit(None).cast("string")
     pc = F.col("loc_country_position_only")
     views = F.array(
@@ -27,8 +30,11 @@ def observations(panel: DataFrame, parent: str = "primary_parent_rcid", employer
                  F.col("fallback_timing").alias("timing")),
         F.struct(F.lit(V.POSITION_SPEC).alias("spec"), F.col("home_position_only").alias("home"),
                  pc.alias("country"), F.when(pc.isNotNull(), "position").alias("source"), null.alias("timing")))
-    return (panel.select("user_id", "end_rule", "qidx", F.explode(views).alias("_v"),
-                         F.col(parent).alias("_parent"), F.col(employer).alias("_employer"))
+    need = ["user_id", "end_rule", "qidx", "home_fallback", "loc_country_fallback", "loc_source_fallback", "fallback_timing", "home_position_only",
+            "loc_country_position_only", parent, employer]
+    placed = panel.select(*dict.fromkeys(need)).where(F.col("home_fallback").isNotNull() | F.col("home_position_only").isNotNull()).repartition("user_id")
+    return (placed.select("user_id", "end_rule", "qidx", F.explode(views).alias("_v"),
+                          F.col(parent).alias("_parent"), F.col(employer).alias("_employer"))
                  .where(F.col("_v.home").isNotNull())
                  .select("user_id", "end_rule", "qidx", F.col("_v.spec").alias("spec"), F.col("_v.home").alias("home"),
                          F.struct(F.col("_v.country").alias("country"), F.col("_v.source").alias("source"),

@@ -108,3 +108,30 @@ def test_random_histories(spark, horizon):
                 continue
             assert (got["excursions"], got["unconfirmed_before_gap"]) == (want["excursions"], want["before_gap"]), (u, s, k)
             assert got["terminal_pending_direction"] == (name[want["pending"]] if want["pending"] else None)
+
+
+def test_runs_and_dense_histories_travel_once(table):
+    import contextlib
+    import io
+
+    from spellframe.operators import panel as P
+
+    def plan(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        return out.getvalue()
+
+    p = table([("a", "r", q, t, "x") for q, t in ((200, "position"), (203, "position"), (203, "copy"), (204, "position"))] + [("b", "r", 210, "position", "y")],
+              "user_id string, end_rule string, qidx int, obs_type string, place string").selectExpr("*", "'' AS quarter")
+    dense = P.dense_history(p)
+    assert dense.columns == ["user_id", "end_rule", "qidx", "obs_type", "place", "quarter"]
+    got = {(r.user_id, r.qidx, r.obs_type, r.place) for r in dense.collect()}
+    assert got == {("a", 200, "position", "x"), ("a", 201, "unobserved_gap", None), ("a", 202, "unobserved_gap", None), ("a", 203, "position", "x"),
+                   ("a", 203, "copy", "x"), ("a", 204, "position", "x"), ("b", 210, "position", "y")} and dense.count() == 7
+    text = plan(P.dense_history(p))
+    assert text.count("Exchange") == 1 and "Join" not in text
+    from spellframe.operators import spells as S
+    wide = p.selectExpr("user_id", "end_rule", "qidx", "place = 'x' AS home_fallback", "place = 'x' AS home_position_only", "place AS loc_country_fallback", "place AS loc_country_position_only",
+                        "obs_type AS loc_source_fallback", "obs_type AS fallback_timing", "place AS primary_parent_rcid", "place AS primary_rcid")
+    summary = plan(S.person_summary(S.classify_runs(S.status_runs(S.observations(wide)), [(1, 300)])))
+    assert summary.count("Exchange") == 1 and summary.index("Generate") < summary.index("Exchange")  # seen under each specification behind the exchange
