@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import quarter_label, same_different_unknown
+from ..session import tasks_for
 
 BY = ["user_id", "end_rule", "spec"]
 NO_HORIZON = 1_000_000
@@ -20,7 +21,8 @@ NO_HORIZON = 1_000_000
 def observations(panel: DataFrame, parent: str = "primary_parent_rcid", employer: str = "primary_rcid") -> DataFrame:
     """Panel rows seen under each location specification, known status only.
 
-    Rows are placed by person before they are seen twice: runs, classes, moves and summaries all stay on that placement.
+    Rows are placed by person before they are seen twice: runs, classes, moves and summaries all stay on that placement, over as many
+    tasks as the panel (a written table; its rows are counted) asks for.
     """
     null = F.lit(None).cast("string")
     pc = F.col("loc_country_position_only")
@@ -32,7 +34,8 @@ def observations(panel: DataFrame, parent: str = "primary_parent_rcid", employer
                  pc.alias("country"), F.when(pc.isNotNull(), "position").alias("source"), null.alias("timing")))
     need = ["user_id", "end_rule", "qidx", "home_fallback", "loc_country_fallback", "loc_source_fallback", "fallback_timing", "home_position_only",
             "loc_country_position_only", parent, employer]
-    placed = panel.select(*dict.fromkeys(need)).where(F.col("home_fallback").isNotNull() | F.col("home_position_only").isNotNull()).repartition("user_id")
+    placed = panel.select(*dict.fromkeys(need)).where(F.col("home_fallback").isNotNull() | F.col("home_position_only").isNotNull())
+    placed = placed.repartition(tasks_for(panel.count()), "user_id")
     return (placed.select("user_id", "end_rule", "qidx", F.explode(views).alias("_v"),
                           F.col(parent).alias("_parent"), F.col(employer).alias("_employer"))
                  .where(F.col("_v.home").isNotNull())
