@@ -11,7 +11,7 @@ from spellframe.operators import endpoints as E
 from spellframe.operators import panel as P
 from spellframe.operators import spells as S
 from spellframe.plans import clean as K
-from spellframe.session import stage
+from spellframe.session import fine_tasks, stage
 from workload import orders_as_spells as W
 from workload.oracle import history, history_by_window, qlabel
 
@@ -41,7 +41,7 @@ def input_state(spark: SparkSession, sf: str) -> tuple:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
         [f"{sf}/{t}.parquet" for t in ("orders", "lineitem", "part", "customer", "supplier")])
     one = files.select("path", "length", "modificationTime").agg(
-        F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+        F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
     return spark.sparkContext.applicationId, sf, *one
 
 
@@ -49,7 +49,8 @@ def written_once(name: str, spark: SparkSession, sf: str, make):
     """What ``make`` has written for this state of the input; made by the first report that needs it, read by the others."""
     key = (name, *input_state(spark, sf))
     if key not in _written:
-        _written[key] = make()
+        with fine_tasks(spark, key[4]):
+            _written[key] = make()
     return _written[key]
 
 
