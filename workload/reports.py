@@ -18,7 +18,7 @@ from spellframe.operators import trends as T
 from spellframe.plans import coverage_report as R
 from spellframe.plans import education as ED
 from spellframe.plans import inventory as I
-from spellframe.session import shared_folder, stage
+from spellframe.session import shared_folder, stage, tasks_for
 from spellframe.sources import catalog as CAT
 from spellframe.sources import export as X
 from spellframe.sources import manifests as M
@@ -280,6 +280,7 @@ def two_time_lookup(spark, sf):
     cls = S.classify_runs(S.status_runs(S.observations(p)), H.VARIANTS)
     moves = S.transitions(cls).select("user_id", "end_rule", "spec", "persistence_quarters", "event_q", "origin_q", "kind")
     by = ["user_id", "end_rule"]
+    p = p.select(*by, "qidx", "primary_position_id").repartition(tasks_for(p.count()), "user_id")  # placed like the moves
     return J.attach_at(J.attach_at(moves, p, by, "origin_q", "qidx", ["primary_position_id"], "from_"),
                        p, by, "event_q", "qidx", ["primary_position_id"], "to_").drop("origin_q")
 
