@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import same_different_unknown
 from ..plans.config import HistoryConfig
+from ..session import tasks_for
 from .spells import observations
 
 VARIANT = ["window_name", "end_rule", "location_spec"]
@@ -19,12 +20,13 @@ def endpoints(panel: DataFrame, cfg: HistoryConfig, parent: str = "primary_paren
     """One row per person, end rule, window and specification with a panel row in the window.
 
     A person's rows collapse in one aggregate that keeps the edge quarters of every window and
-    counts status per window; windows and specifications are split afterwards.
+    counts status per window; windows and specifications are split afterwards.  Rows are placed by person over as many tasks as
+    the panel (a written table; its rows are counted) asks for, and only those of edge quarters carry their attributes.
     """
     windows = cfg.window_quarters
     lo, hi = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
     edges = sorted({q for w in windows.values() for q in w})
-    status = {V.FALLBACK_SPEC: F.col("home_fallback"), V.POSITION_SPEC: F.col("home_position_only")}
+    status = {V.FALLBACK_SPEC: F.col("_h0"), V.POSITION_SPEC: F.col("_h1")}
     pc = F.col("loc_country_position_only")
     row = F.struct(
         F.col("home_fallback").alias("h0"), F.col("home_position_only").alias("h1"),
@@ -32,13 +34,16 @@ def endpoints(panel: DataFrame, cfg: HistoryConfig, parent: str = "primary_paren
         F.col("loc_source_fallback").alias("s0"), F.when(pc.isNotNull(), "position").alias("s1"),
         F.col("fallback_timing").alias("t0"), F.lit(None).cast("string").alias("t1"),
         F.col(parent).alias("parent"), F.col(employer).alias("employer"))
-    aggs = [F.max(F.when(F.col("qidx") == q, row)).alias(f"at_{q}") for q in edges]
+    aggs = [F.max(F.when(F.col("qidx") == q, F.col("_row"))).alias(f"at_{q}") for q in edges]
     for name, (a, b) in windows.items():
         inside = F.col("qidx").between(a, b)
         aggs.append(F.count_if(inside).alias(f"rows_{name}"))
         for i, s in enumerate(status.values()):
             aggs += [F.count_if(inside & s).alias(f"in_{name}_{i}"), F.count_if(inside & ~s).alias(f"out_{name}_{i}")]
-    person = panel.where(F.col("qidx").between(lo, hi)).groupBy("user_id", "end_rule").agg(*aggs)
+    seen = panel.where(F.col("qidx").between(lo, hi)).select(
+        "user_id", "end_rule", "qidx", F.col("home_fallback").alias("_h0"), F.col("home_position_only").alias("_h1"),
+        F.when(F.col("qidx").isin(edges), row).alias("_row"))
+    person = seen.repartition(tasks_for(panel.count()), "user_id").groupBy("user_id", "end_rule").agg(*aggs)
 
     def view(name, i, spec):
         a, b = windows[name]
