@@ -5,7 +5,7 @@ it shares a character with the next one.  Tokens inside a multibyte character an
 Byte offsets where tokens of both end cut the text into groups; a link is a pair of tokens of one group.
 
 A space behind something that is not white space starts a new token in both (no piece of the model has a space behind another character; checked),
-so texts are cut there, and each distinct segment is encoded and aligned once per worker.  Documents are taken in blocks of bounded size.  A block lists its
+so texts are cut there, and a worker remembers the segments it meets most often, up to a bound in bytes.  Documents are taken in blocks of bounded size.  A block lists its
 distinct id pairs with the number of its documents that hold each; only these lists are shuffled, to be counted over the corpus and sent back.
 So no document is shuffled, and a frequent pair is one row per block.  The best count of a first id is one row per id of the vocabulary.
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,16 @@ from pyspark.sql.window import Window
 from .common import stage
 
 #: Characters of text in a block, and of new segments that are encoded together.
-BLOCK_CHARS = 16_000_000
-TOGETHER = 200_000
-#: Segments that a worker remembers between blocks.
-REMEMBER = 600_000
+BLOCK_CHARS = 4_000_000
+TOGETHER = 100_000
+#: Segments that a worker remembers between blocks, and bytes of them: a segment without spaces can be long.
+REMEMBER = 360_000
+REMEMBER_BYTES = 128 << 20
+#: About what a remembered segment takes beside its text, its lists and its pairs.
+OBJECTS = 250
+#: Rows, and bytes of text, that are cut into segments together.
 ROWS = 256
+ROWS_BYTES = 1 << 20
 #: Links of a group above which its distinct ids are paired instead of its tokens.
 WIDE = 1_000
 SEGMENTS = re.compile(r"(?<=\S)(?= )")
@@ -92,27 +98,31 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.sizes, self.shown = array("q"), []
         self.codes, self.times, self.starts = array("q"), array("q"), array("q", [0])
-        self.hits = np.zeros(0, np.int64)
+        self.hits, self.held = np.zeros(0, np.int64), 0
 
     def used(self, segments: np.ndarray, documents: np.ndarray) -> None:
+        self.seen()[segments] += documents
+
+    def seen(self) -> np.ndarray:
+        """In how many documents each segment was met."""
         self.hits = np.append(self.hits, np.zeros(len(self.shown) - len(self.hits), np.int64))
-        self.hits[segments] += documents
+        return self.hits
 
     def tidy(self) -> None:
-        """Beyond REMEMBER segments, keep those that were met in several documents."""
-        if len(self.known) <= REMEMBER:
+        """Beyond REMEMBER segments or REMEMBER_BYTES, keep those that were met in the most documents, up to half of both."""
+        if len(self.known) <= REMEMBER and self.held <= REMEMBER_BYTES:
             return
-        keep = self.hits[:len(self.shown)] > 1
-        if not 0 < keep.sum() <= REMEMBER // 2:
-            return self.forget()
-        index, starts = np.flatnonzero(keep), np.array(self.starts, np.int64)
+        hits, starts, names = self.seen(), view(self.starts), list(self.known)
+        weights = OBJECTS + 16 * np.diff(starts) + np.fromiter((len(x) + len(y or b"") for x, y in zip(names, self.shown, strict=True)), np.int64, len(names))
+        order = np.argsort(-hits, kind="stable")[:REMEMBER // 2]
+        order = order[(hits[order] > 1) & (np.cumsum(weights[order]) <= REMEMBER_BYTES // 2)]
+        index = np.sort(order)
         lengths = np.diff(starts)[index]
         where = np.arange(lengths.sum()) + np.repeat(starts[index] - (np.cumsum(lengths) - lengths), lengths)
-        names, hits = list(self.known), self.hits[index] // 2
-        sizes, shown = np.array(self.sizes, np.int64).reshape(-1, 4)[index], [self.shown[i] for i in index.tolist()]
-        codes, times = (np.array(x, np.int64)[where] for x in (self.codes, self.times))
+        sizes, shown = view(self.sizes).reshape(-1, 4)[index], [self.shown[i] for i in index.tolist()]
+        codes, times, hits, held = view(self.codes)[where], view(self.times)[where], hits[index] // 2, int(weights[index].sum())
         self.forget()
-        self.known, self.shown, self.hits = {names[i]: k for k, i in enumerate(index.tolist())}, shown, hits
+        self.known, self.shown, self.hits, self.held = {names[i]: k for k, i in enumerate(index.tolist())}, shown, hits, held
         for own, values in ((self.sizes, sizes), (self.codes, codes), (self.times, times), (self.starts, np.cumsum(lengths))):
             own.frombytes(np.ascontiguousarray(values).tobytes())
 
@@ -207,11 +217,17 @@ class Aligner:
         pieces = np.concatenate([np.where(a_last, bar[a_ids], inside[a_ids]), np.where(b_last, end[b_ids], comma[b_ids])])
         ordered = pieces[np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")].tolist()
         to = np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
+        self.held += OBJECTS * n + len(whole) + sum(map(len, ordered)) + 16 * len(first)
         for i, (x, k, m, fine) in enumerate(zip(segments, [0, *to], to, good.tolist(), strict=False), len(self.shown)):
             self.known[x] = i
             self.shown.append(b"".join(ordered[k:m]) if fine else None)
 
 
+def view(numbers: array) -> np.ndarray:
+    """The numbers as they lie, not copied; drop it before they grow."""
+    return np.frombuffer(numbers, np.int64) if numbers else np.zeros(0, np.int64)
+
+
 def split(text: str) -> list[str]:
     return SEGMENTS.split(" " + text) if text else []
 
@@ -227,7 +243,7 @@ class Block:
     def add(self, ids: list, texts: list[str], shown: bool = False) -> None:
         t, parts = self.t, [split(x) for x in texts]
         t.learn(list(set().union(*parts).difference(t.known)))
-        sizes = np.array(t.sizes, np.int64).reshape(-1, 4)
+        sizes = view(t.sizes).reshape(-1, 4)
         for parts_of, text in zip(parts, texts, strict=True):
             at = np.fromiter(map(t.known.__getitem__, parts_of), np.int64, len(parts_of))
             listed = [t.shown[i] for i in at.tolist()]
@@ -247,7 +263,7 @@ class Block:
     def row(self, number: int, id_type: pa.DataType) -> pa.RecordBatch:
         """One row: sums of each document, the block's pairs with their documents, and who uses what, packed."""
         t = self.t
-        codes, times, starts = (np.array(x, np.int64) for x in (t.codes, t.times, t.starts))
+        codes, times, starts = (view(x) for x in (t.codes, t.times, t.starts))
         uses = np.concatenate([*self.uses, np.zeros(0, np.int64)])
         segments, local = np.unique(uses, return_inverse=True)
         lengths = starts[segments + 1] - starts[segments]
@@ -255,14 +271,14 @@ class Block:
         where = np.arange(offsets[-1]) + np.repeat(starts[segments] - offsets[:-1], lengths)
         pairs, pair_at = np.unique(codes[where], return_inverse=True)
         t.used(segments, np.bincount(local, minlength=len(segments)))
-        holders, held, at = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool), 0
+        holders, last, at = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64), 0
         for use in self.uses:
             mine = local[at:at + len(use)]
             at += len(use)
-            spots = np.arange(int(lengths[mine].sum())) + np.repeat(offsets[mine] - (np.cumsum(lengths[mine]) - lengths[mine]), lengths[mine])
-            held[:] = False
-            held[pair_at[spots]] = True
-            holders += held
+            nth = np.arange(int(lengths[mine].sum()))
+            held = pair_at[nth + np.repeat(offsets[mine] - (np.cumsum(lengths[mine]) - lengths[mine]), lengths[mine])]
+            last[held] = nth
+            holders[held[last[held] == nth]] += 1  # each pair of the document once
         docs = np.array([len(u) for u in self.uses], np.int64)
         deltas = np.diff(local, prepend=0)
         packed = [docs, deltas, np.concatenate([*self.counts, np.zeros(0, np.int64)]), lengths, pair_at, times[where]]
@@ -311,9 +327,12 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            part = batch.slice(start, ROWS)
+        to, start = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while start < batch.num_rows:
+            fits = int(np.searchsorted(to, (to[start - 1] if start else 0) + ROWS_BYTES, "right")) - start
+            part = batch.slice(start, min(max(fits, 1), ROWS))
             yield part.column("id").to_pylist(), part.column("text").to_pylist()
+            start += part.num_rows
 
 
 def alignment_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -331,6 +350,7 @@ def alignment_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if block.size >= BLOCK_CHARS:
                     yield block.row(number, id_type)
                     number, block = number + 1, None
+                    pa.default_memory_pool().release_unused()
         if block:
             yield block.row(number, id_type)
 
@@ -376,6 +396,7 @@ def token_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _scored(blocks: pa.Table, counts: pa.Table, id_type: pa.DataType, id_col: str) -> pa.Table:
     """Rows of one block's documents with their counts."""
+    _made.clear()  # the worker may be one that made blocks: what it remembers is of no use here
     row = {c: blocks.column(c)[0] for c in ROW}
     docs, deltas, used, lengths, spots, times = (unpack(row[c].as_py()) for c in PACKED)
     order = np.argsort(counts.column("spot").to_numpy(), kind="stable")

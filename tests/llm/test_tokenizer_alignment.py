@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -107,3 +108,49 @@ def test_nothing_and_text_ids(spark):
 def test_packed_numbers():
     for values in ([], [0], [1, -5, 70_000, 2**31 - 1]):
         assert ta.unpack(ta.pack(np.array(values, np.int64))).tolist() == values
+
+
+def kept(aligner):
+    """Bytes of what an aligner remembers."""
+    size = sys.getsizeof
+    return size(aligner.known) + size(aligner.shown) + sum(map(size, [*aligner.known, *aligner.shown, aligner.codes, aligner.times, aligner.starts, aligner.sizes]))
+
+
+def test_long_segments_are_not_remembered_without_a_bound(aligner, monkeypatch):
+    monkeypatch.setattr(ta, "REMEMBER_BYTES", 20 << 20, raising=False)
+    rng = random.Random(2)
+    aligner.forget()
+    for _ in range(9):
+        block = ta.Block(aligner)
+        assert kept(aligner) < 24 << 20  # all 900 take 36 MB, and are far fewer than REMEMBER
+        block.add(list(range(100)), ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2000)) for _ in range(100)])
+        block.row(0, ta.pa.int64())
+    ta.Block(aligner)
+    assert kept(aligner) < 24 << 20
+    aligner.forget()
+
+
+def test_a_block_and_the_rows_cut_together_are_small(spark):
+    text = "the river bends " * 30_000  # 480,000 characters
+    frame = spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string").coalesce(1)
+    blocks = ta.alignment_blocks(frame).select("ids").collect()
+    assert sorted(i for b in blocks for i in b.ids) == list(range(20)) and max(len(b.ids) for b in blocks) <= 11
+    batch = ta.pa.RecordBatch.from_pydict({"id": list(range(300)), "text": ["x" * 5_000_000, *["y" * 100_000] * 30, *[""] * 269]})
+    parts = list(ta._in_rows([batch]))
+    assert [i for ids, _ in parts for i in ids] == list(range(300)) and all(len(t) == 1 or sum(map(len, t)) <= 2_000_000 for _, t in parts)
+    assert list(ta._in_rows([batch.slice(0, 0)])) == []
+
+
+def test_pairs_of_a_block_after_segments_were_forgotten(aligner, monkeypatch):
+    monkeypatch.setattr(ta, "REMEMBER_BYTES", 60_000)
+    aligner.forget()
+    rows = corpus() * 2
+    for start in range(0, len(rows), 40):
+        part = rows[start:start + 40]
+        block = ta.Block(aligner)
+        block.add([r[0] for r in part], [r[1] or "" for r in part])
+        row = block.row(0, ta.pa.int64())
+        want = Counter(x << 32 | y for r in part for x, y in {(x, y) for a, b in plain(r[1]) for x in a for y in b})
+        assert dict(zip(row.column("pairs")[0].as_py(), row.column("holders")[0].as_py(), strict=True)) == want
+    assert len(aligner.known) == len(aligner.shown) == len(aligner.starts) - 1 and 4 * len(aligner.known) == len(aligner.sizes)
+    aligner.forget()
