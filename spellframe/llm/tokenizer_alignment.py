@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import small_batches
 from .common import stage
 
 #: Characters of text in a block, and of new segments that are encoded together.
@@ -45,6 +46,8 @@ OBJECTS = 250
 #: Rows, and bytes of text, that are cut into segments together.
 ROWS = 256
 ROWS_BYTES = 1 << 20
+#: Bytes of documents that Spark hands to a worker at once.
+BATCH_BYTES = 4 << 20
 #: Links of a group above which its distinct ids are paired instead of its tokens.
 WIDE = 1_000
 SEGMENTS = re.compile(r"(?<=\S)(?= )")
@@ -359,6 +362,11 @@ def alignment_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _plain(docs, id_col, text_col).mapInArrow(run, f"block long, {lists}, " + ", ".join(f"{c} binary" for c in PACKED))
 
 
+def _written_blocks(docs: DataFrame, *names: str | None) -> DataFrame:
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return stage(alignment_blocks(docs, *names), "blocks")
+
+
 def counted_pairs(blocks: DataFrame) -> DataFrame:
     """Per block and pair: its place in the block's list, and how many documents of the corpus hold it."""
     listed = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "holders")).alias("spot", "p")).select("block", "spot", "p.pairs", "p.holders")
@@ -371,7 +379,7 @@ def first_id(pair: Column) -> Column:
 
 def pair_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """Linked id pairs of the corpus: a_id, b_id, n_docs."""
-    blocks = stage(alignment_blocks(docs, id_col, text_col, a_path, b_path), "blocks")
+    blocks = _written_blocks(docs, id_col, text_col, a_path, b_path)
     listed = blocks.select(F.inline(F.arrays_zip("pairs", "holders"))).groupBy("pairs").agg(F.sum("holders").alias("n_docs"))
     return listed.select(first_id(F.col("pairs")).cast("int").alias("a_id"), F.col("pairs").bitwiseAND(0xFFFFFFFF).cast("int").alias("b_id"), "n_docs")
 
@@ -413,7 +421,7 @@ def _scored(blocks: pa.Table, counts: pa.Table, id_type: pa.DataType, id_col: st
 
 def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    blocks = stage(alignment_blocks(docs, id_col, text_col, a_path, b_path), "blocks")
+    blocks = _written_blocks(docs, id_col, text_col, a_path, b_path)
     counted = stage(counted_pairs(blocks), "pairs")
     highest = counted.groupBy(first_id(F.col("pair")).alias("a")).agg(F.max("n").alias("highest"))  # a row per id of the vocabulary
     answers = counted.join(F.broadcast(highest), first_id(F.col("pair")) == F.col("a")).select("block", "spot", "n", (F.col("n") == F.col("highest")).alias("best"))

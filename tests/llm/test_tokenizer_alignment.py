@@ -122,7 +122,7 @@ def test_long_segments_are_not_remembered_without_a_bound(aligner, monkeypatch):
     aligner.forget()
     for _ in range(9):
         block = ta.Block(aligner)
-        assert kept(aligner) < 24 << 20  # all 900 take 36 MB, and are far fewer than REMEMBER
+        assert kept(aligner) < 24 << 20  # all 900 take more, and are far fewer than REMEMBER
         block.add(list(range(100)), ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2000)) for _ in range(100)])
         block.row(0, ta.pa.int64())
     ta.Block(aligner)
@@ -154,3 +154,17 @@ def test_pairs_of_a_block_after_segments_were_forgotten(aligner, monkeypatch):
         assert dict(zip(row.column("pairs")[0].as_py(), row.column("holders")[0].as_py(), strict=True)) == want
     assert len(aligner.known) == len(aligner.shown) == len(aligner.starts) - 1 and 4 * len(aligner.known) == len(aligner.sizes)
     aligner.forget()
+
+
+def test_long_documents_come_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, text = spark.conf.get(key, None), "y" * 1_000_000
+
+    def sizes(batches):
+        for batch in batches:
+            yield ta.pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    frame = spark.createDataFrame([(i,) for i in range(12)], "i int").coalesce(1).select(ta.F.lit(text).alias("text"))
+    with ta.small_batches(spark, ta.BATCH_BYTES):
+        seen = [r.n for r in frame.mapInArrow(sizes, "n long").collect()]
+    assert sum(seen) == 12 and max(seen) <= 6 and spark.conf.get(key, None) == before
