@@ -3,16 +3,17 @@
 A byte goes when it lies in a string of ``LENGTH`` bytes that also starts in a document with a smaller id.
 
 1. Every window of ``LENGTH`` bytes has an anchor, the 24-byte gram in it with the least hash; equal windows have equal anchors.  Anchors that
-   occur in two documents are found by hash: first within a piece of input, then, with one entry per piece, between pieces.
-2. Around each shared anchor the segment of its windows is cut out.  Equal segments inside a piece are settled there; the
+   occur in two documents are found by hash: first within some megabytes of input, then, with one entry for each of these, between them.
+2. Around each shared anchor the segment of its windows is cut out.  Equal segments inside a group of documents are settled there; the
    first document's entry goes to the bucket of the anchor's hash, where all segments with that anchor meet.
-3. In a bucket the distinct segments are joined to a text and its suffixes sorted.  Breadth-first backward extension on the
+3. In a bucket equal segments are settled too: behind the smallest id they go whole.  Where an anchor has segments that differ, these
+   are joined to a text and its suffixes sorted.  Breadth-first backward extension on the
    Burrows-Wheeler transform finds the common prefixes of neighbouring suffixes in increasing order: boundaries of the intervals of all
    strings of n bytes give, one step back along each letter, those of n + 1 bytes.  It stops at ``LENGTH``; suffixes not parted then share a window.
    The smallest id in an interval decides for every entry of it.
 4. The removed runs meet their documents again.
 
-A passage that fills a third of the corpus has one entry per piece of some megabytes, and a document's own text never meets
+A passage that fills a third of the corpus has one entry per group of some megabytes, and a document's own text never meets
 another document's outside of shared segments.
 
 Cases: null text is empty text; texts under LENGTH bytes keep all; rows that repeat an id do not remove from each other; a row without an id counts as larger than
@@ -22,7 +23,6 @@ every id; each row gives a row; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +37,13 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of corpus that a bucket stands for.
 BUCKET_BYTES = 16_000_000
-#: Bytes of documents that meet their results together.
-GROUP_BYTES = 4_000_000
-#: Bytes of segments whose suffixes are sorted at once.
-SORT_BYTES = 1_500_000
+#: Bytes of documents that meet their results together, and of input whose anchors are listed together; rows in the shuffles grow with buckets times
+#: groups and buckets times lists.
+GROUP_BYTES = JOINT_BYTES = 8_000_000
+#: Bytes of distinct segments whose suffixes are sorted at once.
+SORT_BYTES = 600_000
 NOBODY = np.iinfo(np.int64).max
+_codec = pa.Codec("zstd", 1)
 
 
 def _rolling(data: np.ndarray) -> np.ndarray:
@@ -92,38 +94,45 @@ def _low(h: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per piece: anchors by bucket, and (bucket < 0) the rows whose anchor another row of the piece has."""
-    names = ["bucket", "lows", "rows", "names"]
+    """Per joint of pieces: anchors by bucket, and (bucket < 0) the rows whose anchor another row of the joint has."""
     for whole in batches:
         for part in range(0, whole.num_rows, 50_000):
             batch = whole.slice(part, 50_000)
-            keys = batch.column("key").to_numpy()
+            keys, held, size = batch.column("key").to_numpy(), [], 0
             for a, b, data, offsets in pieces(batch.column("text")):
                 h, _, _, row, _ = anchors(data, offsets)
-                order = np.argsort(h, kind="stable")
-                h, row = h[order], row[order]
-                once = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[:len(h)]
-                h, row = h[once], row[once]
-                new = np.append(True, h[1:] != h[:-1])[:len(h)]
-                many = ~new
-                many[:-1] |= ~new[1:]
-                out = []
-                if many.any():
-                    shared_row, shared_low = row[many], _low(h[many])
-                    order = np.argsort(shared_row, kind="stable")
-                    out.append((-1 - int(keys[a] % buckets), shared_low[order].tobytes(), None, keys[a:b][shared_row[order]].tobytes()))
-                mark = np.where(many, 65_535, row).astype(np.uint16)[new]
-                h = h[new]
-                bucket = (h % _U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
-                for group in np.split(order, cuts[1:]) if len(order) else []:
-                    marks = mark[group]
-                    used = np.unique(marks[marks != 65_535])
-                    marks = np.where(marks == 65_535, 65_535, np.searchsorted(used, marks)).astype(np.uint16)
-                    out.append((int(bucket[group[0]]), _low(h[group]).tobytes(), marks.tobytes(), keys[a:b][used].tobytes()))
-                columns = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]], names)
+                held.append((h, row + a))
+                size += len(data)
+                if size >= JOINT_BYTES or b == batch.num_rows:
+                    yield _listed(*(np.concatenate(x) for x in zip(*held, strict=True)), keys, buckets)
+                    held, size = [], 0
+
+
+def _listed(h: np.ndarray, row: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[:len(h)]
+    h, row = h[once], row[once]
+    new = np.append(True, h[1:] != h[:-1])[:len(h)]
+    many = ~new
+    many[:-1] |= ~new[1:]
+    out = []
+    if many.any():
+        shared_row, shared_low = row[many], _low(h[many])
+        order = np.argsort(shared_row, kind="stable")
+        out.append((-1 - int(keys[shared_row[0]] % buckets), shared_low[order].tobytes(), None, keys[shared_row[order]].tobytes()))
+    mark = np.where(many, 65_535, row).astype(np.uint16)[new]
+    h = h[new]
+    bucket = (h % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
+    for group in np.split(order, cuts[1:]) if len(order) else []:
+        marks = mark[group]
+        used = np.unique(marks[marks != 65_535])
+        marks = np.where(marks == 65_535, 65_535, np.searchsorted(used, marks)).astype(np.uint16)
+        out.append((int(bucket[group[0]]), _low(h[group]).tobytes(), marks.tobytes(), keys[used].tobytes()))
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]], ["bucket", "lows", "rows", "names"])
 
 
 def _shared(table: pa.Table, groups: int) -> pa.Table:
@@ -171,38 +180,45 @@ def _segments(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
     """Entries by bucket, and (bucket < 0) runs that are settled inside the group of documents."""
     names = ["bucket", "keys", "docs", "places", "lengths", "lows", "content"]
     kinds = [pa.int64()] + [pa.binary()] * 6
-    wanted = np.unique(_pair(_joined(found, "c0", np.int64), _joined(found, "c1", np.uint32)))
-    tables = []
+    wanted = np.sort(_pair(_joined(found, "c0", np.int64), _joined(found, "c1", np.uint32)))
+    held = []
     for batch in docs.combine_chunks().to_batches() if len(wanted) else []:
         keys, docs_of = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
         for a, b, data, offsets in pieces(batch.column("text")):
             h, first, last, row, total = anchors(data, offsets)
-            use = np.flatnonzero(np.isin(_pair(keys[a:b][row], _low(h)), wanted))
+            asked = _pair(keys[a:b][row], _low(h))
+            use = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)] == asked)
             h, first, last, row = h[use], first[use], last[use], row[use]
             stop = last + LENGTH
-            content, doc, key, place = _stretch(total, first, stop, len(data)), docs_of[a:b][row], keys[a:b][row], first - offsets[row]
-            order = np.lexsort((doc, content))
-            new = np.append(True, content[order][1:] != content[order][:-1])[:len(order)]
-            least = np.zeros(len(order), np.int64)
-            if len(order):
-                least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = doc > least
-            out = []
-            if later.any():
-                k, s, e = _union(key[later], place[later], (place + stop - first)[later])
-                out.append((-1 - int(k[0] % buckets), k.tobytes(), None, s.astype(np.int32).tobytes(), e.astype(np.int32).tobytes(), None, None))
-            go = np.flatnonzero(~later)
-            bucket = (h[go] % _U(buckets)).astype(np.int64)
-            go = go[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(go) else []
-            for group in np.split(go, cuts[1:]) if len(go) else []:
-                lengths = (stop - first)[group]
-                at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[group], lengths)
-                out.append((int(h[group[0]] % _U(buckets)), key[group].tobytes(), doc[group].tobytes(), place[group].astype(np.int32).tobytes(), lengths.astype(np.int32).tobytes(),
-                            _low(h[group]).tobytes(), zlib.compress(data[at].tobytes(), 1)))
-            tables.append(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True)], names))
-    return pa.concat_tables(tables) if tables else pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+            held.append((h, _stretch(total, first, stop, len(data)), docs_of[a:b][row], keys[a:b][row], first - offsets[row], stop - first, data[_spread(first, stop - first)]))
+    out = []
+    if held:
+        h, content, doc, key, place, lengths, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        begin = np.cumsum(lengths) - lengths
+        order = np.lexsort((doc, content))
+        new = np.append(True, content[order][1:] != content[order][:-1])[:len(order)]
+        least = np.zeros(len(order), np.int64)
+        if len(order):
+            least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = doc > least
+        if later.any():
+            k, s, e = _union(key[later], place[later], (place + lengths)[later])
+            out.append((-1 - int(k[0] % buckets), k.tobytes(), None, s.astype(np.int32).tobytes(), e.astype(np.int32).tobytes(), None, None))
+        go = np.flatnonzero(~later)
+        bucket = (h[go] % _U(buckets)).astype(np.int64)
+        go = go[np.argsort(bucket, kind="stable")]
+        bucket = np.sort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(go) else []
+        for group in np.split(go, cuts[1:]) if len(go) else []:
+            out.append((int(h[group[0]] % _U(buckets)), key[group].tobytes(), doc[group].tobytes(), place[group].astype(np.int32).tobytes(),
+                        lengths[group].astype(np.int32).tobytes(), _low(h[group]).tobytes(), _codec.compress(data[_spread(begin[group], lengths[group])].tobytes(), asbytes=True)))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True)], names)
+
+
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Every place of the stretches that begin at ``start``, one stretch after the other."""
+    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
 
 
 def _union(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,25 +238,47 @@ def _union(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a text of small codes, sorted by at least their first LENGTH codes."""
-    n = len(text)
-    padded = np.append(text, np.zeros(8, text.dtype)).astype(_U)
-    value = np.zeros(n, _U)
-    for k in range(7):  # codes need 9 bits
-        value = value << _U(9) | padded[k:n + k]
-    order = np.argsort(value, kind="stable")
-    done = 7
-    while True:
-        new = np.append(True, value[order][1:] != value[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if done >= LENGTH or new.all():
-            return order
-        behind = np.zeros(n, np.int64)
-        behind[:n - done] = rank[done:]
-        value = (rank << 32 | behind).view(_U)
-        order = np.argsort(value, kind="stable")
+    """Suffixes of a text of small codes, sorted by at least their first LENGTH codes; code 0 ends a string, and ends stand in the order of the text.
+
+    The first codes are packed with the place into one number to sort; from then on ranks are doubled, for suffixes that are not told apart yet.
+    """
+    n, bits = len(text), len(text).bit_length()
+    present = np.bincount(text) > 0
+    present[0] = False
+    dense = np.cumsum(present).astype(_U)
+    width = max(1, int(dense[-1]).bit_length())
+    done = max(1, min(LENGTH, (64 - bits) // width))
+    dense[0] = 0
+    padded = np.append(dense[text], np.zeros(done, _U))
+    value, ended = np.zeros(n, _U), np.zeros(n, bool)
+    for k in range(done):
+        value = value << _U(width) | padded[k:n + k]
+        ended |= padded[k:n + k] == 0
+    mask, shift = _U((1 << bits) - 1), _U(bits)
+    packed = np.sort(value << shift | np.arange(n, dtype=_U))
+    order = (packed & mask).astype(np.int64)
+    packed >>= shift
+    head = np.append(True, packed[1:] != packed[:-1]) | ended[order]
+    rank = np.zeros(n + 1, _U)  # 0 beyond the text
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0)).astype(_U) + _U(1)
+    open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
+    while done < LENGTH and len(open_):
+        here = order[open_]
+        own, behind = rank[here], rank[here + done]
+        if 3 * bits <= 64:
+            packed = np.sort((own << shift | behind) << shift | here.astype(_U))
+            here = (packed & mask).astype(np.int64)
+            packed >>= shift
+            head = np.append(True, packed[1:] != packed[:-1])
+        else:
+            by = np.lexsort((behind, own))
+            here, own, behind = here[by], own[by], behind[by]
+            head = np.append(True, (own[1:] != own[:-1]) | (behind[1:] != behind[:-1]))
+        order[open_] = here
+        rank[here] = np.maximum.accumulate(np.where(head, open_, 0)).astype(_U) + _U(1)
+        open_ = open_[~(head & np.append(head[1:], True))]
         done *= 2
+    return order
 
 
 def intervals(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -252,64 +290,77 @@ def intervals(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.n
     parted = np.append(True, (first[1:] != first[:-1]) | (first[1:] == 0))
     # Neighbours j - 1, j of one letter came from ranks a, b; they part at n + 1 codes if a and b are parted at n.
     unknown = np.flatnonzero(~parted)
+    a, b = step[unknown - 1], step[unknown]
+    label = np.empty(n, np.int32)
     for _ in range(1, length):
         if not len(unknown):
             break
-        label = np.cumsum(parted, dtype=np.int32)
-        apart = label[step[unknown - 1]] != label[step[unknown]]
+        np.cumsum(parted, dtype=np.int32, out=label)
+        apart = label[a] != label[b]
         parted[unknown[apart]] = True
-        unknown = unknown[~apart]
+        unknown, a, b = unknown[~apart], a[~apart], b[~apart]
     return np.cumsum(parted) - 1
 
 
-def _decide(segments: np.ndarray, lengths: np.ndarray, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Removed runs (key, start, stop) of entries whose segments stand one after the other."""
-    stops = np.cumsum(lengths)
-    starts = stops - lengths
-    content = _stretch(_rolling(segments), starts, stops, len(segments))
-    _, kind, which = np.unique(content, return_index=True, return_inverse=True)
-    least = np.full(len(kind), NOBODY)
-    np.minimum.at(least, which, doc)
-    size = lengths[kind]
+def _decide(segments: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (segment, start, stop) of distinct segments, one after the other, whose strings also stand in a segment with a smaller id."""
     at = np.cumsum(size + 1) - size - 1
     text = np.zeros(int((size + 1).sum()), np.int16)
-    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    text[np.repeat(at, size) + inner] = segments[np.repeat(starts[kind], size) + inner].astype(np.int16) + 1
+    text[_spread(at, size)] = segments.astype(np.int16) + 1
     order = suffix_order(text)
     label = intervals(text, order)
     owner = np.repeat(least, size + 1)
     lowest = np.minimum.reduceat(owner[order], np.flatnonzero(np.append(True, label[1:] != label[:-1])))
     smallest = np.empty(len(text), np.int64)
     smallest[order] = lowest[label]
-    windows = lengths - LENGTH + 1
-    inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = smallest[np.repeat(at[which], windows) + inner] < np.repeat(doc, windows)
-    entry = np.repeat(np.arange(len(doc)), windows)[gone]
-    start = np.repeat(place, windows)[gone] + inner[gone]
-    new = np.append(True, (entry[1:] != entry[:-1]) | (start[1:] != start[:-1] + 1))[:len(entry)]
+    windows = size - LENGTH + 1
+    start = _spread(np.zeros(len(size), np.int64), windows)
+    gone = smallest[np.repeat(at, windows) + start] < np.repeat(least, windows)
+    segment, start = np.repeat(np.arange(len(size)), windows)[gone], start[gone]
+    new = np.append(True, (segment[1:] != segment[:-1]) | (start[1:] != start[:-1] + 1))[:len(segment)]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(entry))[:len(first)] - 1
-    return key[entry[first]], start[first], start[last] + LENGTH
+    last = np.append(first[1:], len(segment))[:len(first)] - 1
+    return segment[first], start[first], start[last] + LENGTH
 
 
 def _removed(table: pa.Table, groups: int) -> pa.Table:
-    """Removed runs of one bucket, a part of its hashes at a time, by group of documents."""
+    """Removed runs of one bucket, by group of documents.
+
+    Equal segments of an anchor are one: behind the smallest id they go whole.  Anchors with several are sorted, a part of their hashes at a time.
+    """
     key, place, lengths = _joined(table, "keys", np.int64), _joined(table, "places", np.int32).astype(np.int64), _joined(table, "lengths", np.int32).astype(np.int64)
     if table.column("bucket")[0].as_py() < 0:  # settled: places and ends
         return _by_group(groups, key, place.astype(np.int32), lengths.astype(np.int32))
     doc, lows = _joined(table, "docs", np.int64), _joined(table, "lows", np.uint32)
-    data = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in table.column("content").to_pylist()])
-    begin = np.cumsum(lengths) - lengths
-    order = np.argsort(lows, kind="stable")
-    filled, changed = np.cumsum(lengths[order]) // SORT_BYTES, np.append(True, np.diff(lows[order].astype(np.int64)) != 0)
+    stops = np.cumsum(lengths)
+    sizes = np.diff(np.concatenate([[0], stops[np.cumsum([len(x) // 8 for x in table.column("keys").to_pylist()]) - 1]]))
+    data = np.concatenate([np.frombuffer(_codec.decompress(x, int(n)), np.uint8) for x, n in zip(table.column("content").to_pylist(), sizes, strict=True)])
+    begin = stops - lengths
+    content = []
+    for part in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(stops // SORT_BYTES)) + 1):
+        low = begin[part[0]]
+        content.append(_stretch(_rolling(data[low:stops[part[-1]]]), begin[part] - low, stops[part] - low, int(stops[part[-1]] - low)))
+    _, kind, which = np.unique(_pair(np.concatenate(content), lows), return_index=True, return_inverse=True)
+    least = np.full(len(kind), NOBODY)
+    np.minimum.at(least, which, doc)
+    later = doc > least[which]
+    out = [(key[later], place[later], (place + lengths)[later])]
+    kind_low, size = lows[kind], lengths[kind]
+    order = np.argsort(kind_low, kind="stable")
+    new = np.append(True, kind_low[order][1:] != kind_low[order][:-1])
+    several = ~(new & np.append(new[1:], True))
+    order, firsts = order[several], np.flatnonzero(new[several])
     # A part begins with a new hash once the one before is full.
-    firsts = np.flatnonzero(changed)
-    firsts = firsts[np.append(True, filled[firsts[1:]] != filled[firsts[:-1]])]
-    out = []
-    for group in np.split(order, firsts[1:]):
-        n = lengths[group]
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[group], n)
-        out.append(_decide(data[at], n, key[group], doc[group], place[group]))
+    filled = np.cumsum(size[order]) // SORT_BYTES
+    firsts = firsts[np.append(True, filled[firsts[1:]] != filled[firsts[:-1]])] if len(firsts) else firsts
+    owners = np.flatnonzero(~later)
+    owners = owners[np.argsort(which[owners], kind="stable")]
+    for group in np.split(order, firsts[1:]) if len(firsts) else []:
+        segment, start, stop = _decide(data[_spread(begin[kind[group]], size[group])], size[group], least[group])
+        low = np.searchsorted(which[owners], group[segment])
+        times = np.searchsorted(which[owners], group[segment], "right") - low
+        entry = owners[_spread(low, times)]
+        out.append((key[entry], place[entry] + np.repeat(start, times), place[entry] + np.repeat(stop, times)))
     key, start, stop = _union(*(np.concatenate(x) for x in zip(*out, strict=True)))
     return _by_group(groups, key, start.astype(np.int32), stop.astype(np.int32))
 
