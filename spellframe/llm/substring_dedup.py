@@ -65,7 +65,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none.astype(_U), none, none, none, total
-    grams = _stretch(total, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1), n)
+    with np.errstate(over="ignore"):  # as _stretch, of every place
+        grams = mix((total[GRAM:] - total[:-GRAM]) * _power("back", _BACK, n)[:n - GRAM + 1] + _U(GRAM))
     bits = _U(22)
     low = grams >> bits << bits | np.arange(len(grams), dtype=_U) & ((_U(1) << bits) - _U(1))
     span, width = 1, LENGTH - GRAM + 1
@@ -291,14 +292,20 @@ def intervals(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.n
     # Neighbours j - 1, j of one letter came from ranks a, b; they part at n + 1 codes if a and b are parted at n.
     unknown = np.flatnonzero(~parted)
     a, b = step[unknown - 1], step[unknown]
+    near = b == a + 1  # most are; a, b part with b then
+    unknown, near, far, a, b = unknown[~near], unknown[near], b[near], a[~near], b[~near]
     label = np.empty(n, np.int32)
     for _ in range(1, length):
-        if not len(unknown):
+        if not len(unknown) and not len(near):
             break
-        np.cumsum(parted, dtype=np.int32, out=label)
-        apart = label[a] != label[b]
-        parted[unknown[apart]] = True
-        unknown, a, b = unknown[~apart], a[~apart], b[~apart]
+        apart = parted[far]
+        if len(unknown):
+            np.cumsum(parted, dtype=np.int32, out=label)
+            wide = label[a] != label[b]
+            parted[unknown[wide]] = True
+            unknown, a, b = unknown[~wide], a[~wide], b[~wide]
+        parted[near[apart]] = True
+        near, far = near[~apart], far[~apart]
     return np.cumsum(parted) - 1
 
 
